@@ -1,0 +1,6 @@
+"""Queries of the reference's operators and their DuckDB SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE: dict = {}

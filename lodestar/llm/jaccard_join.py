@@ -325,3 +325,21 @@ def jaccard_components(docs: DataFrame, k: int = WORDS) -> DataFrame:
     smallest = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_node = nodes.select("node").distinct().join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root")).join(smallest, "root").select("node", "component_id")
     return features.join(by_node, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs without the documents that are linked, directly or through others, to one of a smaller doc_id. Rows of one
+    doc_id and equal text count as one document; rows without an id are only dropped when their group has an id."""
+    found = materialize(jaccard_components(docs), "components")
+    dropped = found.filter("component_id is not null and not doc_id <=> component_id").select(F.col("doc_id").alias("dropped_id")).distinct()
+    again = found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select(F.col("doc_id").alias("again_id"))
+    dropped, again = materialize(dropped, "dropped"), materialize(again, "again")
+    if dropped.count() <= BROADCAST_ROWS:
+        dropped = F.broadcast(dropped)
+    kept = docs.join(dropped, docs["doc_id"] == dropped["dropped_id"], "left_anti")
+    if again.isEmpty():
+        return kept
+    if again.count() <= BROADCAST_ROWS:
+        again = F.broadcast(again)
+    same = docs["doc_id"] == again["again_id"]
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))

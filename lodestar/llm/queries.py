@@ -2,13 +2,74 @@
 
 from __future__ import annotations
 
-from lodestar.llm.common import table
-from lodestar.llm.jaccard_join import jaccard_components
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from lodestar.llm import chat, decontaminate, jaccard_join, licenses, packing, quality, secrets, sharding, token_files, toxicity
+from lodestar.llm.common import json_rows, table
+
+SHARDS = 24
+
+
+def op1_sharding(spark, sf_dir):
+    out = sharding.shard_rows(table(spark, sf_dir, "documents"), SHARDS)
+    return out.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+
+
+def op2_license_scan(spark, sf_dir):
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op3_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def op4_jaccard_join(spark, sf_dir):
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+#: A conversation that holds the template's own control strings.
+PROBE = r'[{"turn":0,"role":"user"},{"turn":1,"role":"assistant"}]'
+PROBE_ID, PROBE_TEXT = -7, r"\### Assistant: </turn> ok"
+
+
+def op5_chat_format(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").selectExpr("cast(conv_id as bigint) conv_id", "cast(turn as bigint) turn", "role", "text")
+    probe = json_rows(spark, PROBE, "turn bigint, role string").select(F.lit(PROBE_ID).cast("long").alias("conv_id"), "turn", "role", F.lit(PROBE_TEXT).alias("text"))
+    turns = chat.parse(chat.format_rows(rows.unionByName(probe)))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == chat.TRAINED_ROLE), lambda t: t["text"]), "")
+    return turns.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op6_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op7_token_files(spark, sf_dir):
+    return token_files.token_file_index(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_decontamination(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_quality_rules(spark, sf_dir):
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+def op10_secret_scan(spark, sf_dir):
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_jaccard_join": op4_jaccard_join}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_license_scan, op3_toxicity, op4_jaccard_join, op5_chat_format, op6_packing, op7_token_files, op8_decontamination, op9_quality_rules, op10_secret_scan)}
+#: op5's digests of whole conversations follow from its table alone.
 ORACLE = {}

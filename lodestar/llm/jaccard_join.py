@@ -4,8 +4,9 @@ Sets of word shingles are linked when their Jaccard similarity reaches num/den (
 used to skip work without losing a link:
 
 * Answer-level skipping. Equal sets are one node. Sets that share a min-hash key get a star of verified links to one
-  leader, so a set that is highly similar to its leader takes over the leader's component and is never again compared
-  inside it. Only pairs of sets from different components remain.
+  leader, and so do the sets of a long inverted list to the set with the fewest rare tokens, which the others most
+  likely resemble. A set that is highly similar to its leader takes over the leader's component and is never again
+  compared inside it. Only pairs of sets from different components remain.
 * Index-level skipping. The remaining pairs come from inverted lists of prefix tokens in one global order (rare tokens
   first). A list whose sets have one component is skipped whole; a long list is cut into blocks by set size, and a
   block is skipped when its sizes or its smallest position cannot reach the required overlap.
@@ -37,6 +38,8 @@ FREQUENT_TOKENS, FREQUENT_FROM = 1 << 20, 8
 #: Rows of the candidate side up to which it is broadcast; above, the join shuffles.
 BROADCAST_ROWS = 1_000_000
 BLOCK = 64
+#: Lists from this length on get a star before their pairs.
+STAR_FROM = 16
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -89,24 +92,9 @@ def _prefix_length(n: int) -> int:
     return n - -(-NUM * n // DEN) + 1
 
 
-def _prefixes(docs: DataFrame, k: int) -> DataFrame:
-    """(node, n, tokens): of each distinct set the lower half of its 32-bit tokens, and as many as its prefix at least."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, sizes, tokens = [], [], []
-            for _, found, node in _sets(batch, k):
-                if node is None:
-                    continue
-                low = (found >> np.uint64(32)).astype(np.uint32)
-                low = low[: max(int(np.searchsorted(low, 1 << 31)), _prefix_length(len(found)))]
-                nodes.append(node)
-                sizes.append(len(found))
-                tokens.append(np.diff(low, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.binary())], ["node", "n", "tokens"])
-
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "node long, n long, tokens binary")
-    return found.dropDuplicates(["node"])
+def _packed(tokens: np.ndarray) -> bytes:
+    """Sorted tokens as differences, by planes of bytes, which compress."""
+    return np.diff(tokens, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
 def _tokens(blob: bytes) -> np.ndarray:
@@ -114,19 +102,27 @@ def _tokens(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.uint32)
 
 
-def _frequent(sets: DataFrame, buckets: int) -> np.ndarray:
-    """The tokens of the lower half found in the most sets, FREQUENT_TOKENS at most, sorted. Any choice of them gives
-    the same result; it only sets the global order of tokens."""
+def _frequent(docs: DataFrame, k: int, buckets: int) -> np.ndarray:
+    """The 32-bit tokens found in the most documents, FREQUENT_TOKENS at most, sorted. Any choice of them gives the same
+    result; it only sets the global order of tokens."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(sets: dict) -> pa.RecordBatch:
+            every = np.sort(np.concatenate(list(sets.values())))
+            cuts = np.searchsorted((every.astype(np.uint64) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64), np.arange(buckets + 1))
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(buckets), pa.int64()), pa.array([_packed(every[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["bucket", "tokens"])
+
+        sets, size = {}, 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            every = np.sort(np.concatenate([_tokens(x) for x in batch.column("tokens").to_pylist()]))
-            bucket = (every.astype(np.uint64) * np.uint64(2 * buckets) >> np.uint64(32)).astype(np.int64)
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-            parts = [every[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets), pa.int64()), pa.array([np.diff(x, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes() for x in parts], pa.binary())], ["bucket", "tokens"])
+            for _, found, node in _sets(batch, k):
+                if node is not None and node not in sets:
+                    sets[node] = (found >> np.uint64(32)).astype(np.uint32)
+                    size += len(found)
+                    if size > 4 << 20:
+                        yield flush(sets)
+                        sets, size = {}, 0
+        if sets:
+            yield flush(sets)
 
     def count(found: pa.Table) -> pa.Table:
         every = [_tokens(x) for x in found.column("tokens").to_pylist() if x]
@@ -134,7 +130,8 @@ def _frequent(sets: DataFrame, buckets: int) -> np.ndarray:
         often = df >= FREQUENT_FROM
         return pa.table({"token": pa.array(token[often].astype(np.int64)), "df": pa.array(df[often].astype(np.int64))})
 
-    counts = materialize(sets.select("tokens").mapInArrow(spread, "bucket long, tokens binary").groupBy("bucket").applyInArrow(count, "token long, df long"), "frequent")
+    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(spread, "bucket long, tokens binary").groupBy("bucket").applyInArrow(count, "token long, df long")
+    counts = materialize(counts, "frequent")
     level = F.floor(F.log2("df"))
     total, least = 0, None
     for row in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # 64 rows at most
@@ -147,6 +144,33 @@ def _frequent(sets: DataFrame, buckets: int) -> np.ndarray:
     return np.sort(rows["token"].to_numpy().astype(np.uint32))
 
 
+def _prefixes(docs: DataFrame, frequent, k: int) -> DataFrame:
+    """(node, n, n_rare, rare, late): of each distinct set the first tokens in the global order, which puts the rare ones
+    first and each kind in order of the token, and how many rare ones it has in all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = frequent.value
+        for batch in batches:
+            nodes, sizes, rares, rare, late = [], [], [], [], []
+            for _, found, node in _sets(batch, k):
+                if node is None:
+                    continue
+                mine = (found >> np.uint64(32)).astype(np.uint32)
+                often = np.zeros(len(mine), bool)
+                if len(last):
+                    often = last[np.minimum(np.searchsorted(last, mine), len(last) - 1)] == mine
+                length = _prefix_length(len(found))
+                first = mine[~often][:length]
+                nodes.append(node)
+                sizes.append(len(found))
+                rares.append(len(mine) - int(often.sum()))
+                rare.append(_packed(first))
+                late.append(_packed(mine[often][: length - len(first)]))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(rares, pa.int64()), pa.array(rare, pa.binary()), pa.array(late, pa.binary())], ["node", "n", "n_rare", "rare", "late"])
+
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "node long, n long, n_rare long, rare binary, late binary").dropDuplicates(["node"])
+
+
 def list_pairs(token: np.ndarray, node: np.ndarray, group: np.ndarray, size: np.ndarray, position: np.ndarray) -> np.ndarray:
     """Candidate pairs (smaller node, larger node) of inverted lists: arrays of entries in any order.
 
@@ -199,11 +223,22 @@ def list_pairs(token: np.ndarray, node: np.ndarray, group: np.ndarray, size: np.
     return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
 
 
-def _candidates(sets: DataFrame, groups: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
-    """(src, dst): pairs of sets of different groups that share a prefix token and can reach the overlap."""
-    spark = sets.sparkSession
-    last = spark.sparkContext.broadcast(frequent)
-    fields = ["token", "entry", "place", "node", "grp", "size"]
+def list_stars(token: np.ndarray, node: np.ndarray, group: np.ndarray, size: np.ndarray, rare: np.ndarray) -> np.ndarray:
+    """Pairs of each entry of a long inverted list with the entry of the fewest rare tokens, where groups differ."""
+    order = np.lexsort((node, rare, token))
+    token, node, group, size = token[order], node[order], group[order], size[order]
+    firsts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+    lengths = np.diff(np.append(firsts, len(token)))
+    head = np.repeat(firsts, lengths)
+    good = (np.repeat(lengths, lengths) >= STAR_FROM) & (group != group[head]) & (DEN * np.minimum(size, size[head]) >= NUM * np.maximum(size, size[head]))
+    x, y = node[good], node[head[good]]
+    return np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+
+
+def _candidates(sets: DataFrame, groups: DataFrame, buckets: int, stars: bool) -> DataFrame:
+    """(src, dst): pairs of sets of different groups that share a prefix token and can reach the overlap; with stars,
+    of the lists of frequent tokens the stars only."""
+    fields = ["token", "entry", "place", "node", "grp", "size", "n_rare"]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,13 +246,8 @@ def _candidates(sets: DataFrame, groups: DataFrame, frequent: np.ndarray, bucket
                 continue
             size = batch.column("n").to_numpy()
             token, entry, place = [], [], []
-            for i, blob in enumerate(batch.column("tokens").to_pylist()):
-                mine = _tokens(blob)
-                at = np.searchsorted(last.value, mine)
-                late = np.zeros(len(mine), bool)
-                late[at < len(last.value)] = last.value[at[at < len(last.value)]] == mine[at < len(last.value)]
-                late = late.astype(np.int8) + 2 * (mine >= 1 << 31)
-                mine = mine[np.argsort(late, kind="stable")][: _prefix_length(int(size[i]))]
+            for i, (rare, late) in enumerate(zip(batch.column("rare").to_pylist(), batch.column("late").to_pylist(), strict=True)):
+                mine = _tokens(late) if stars else np.concatenate([_tokens(rare), _tokens(late)])
                 token.append(mine)
                 entry.append(np.full(len(mine), i, np.uint32))
                 place.append(np.minimum(np.arange(len(mine)), 65535).astype(np.uint16))
@@ -225,7 +255,7 @@ def _candidates(sets: DataFrame, groups: DataFrame, frequent: np.ndarray, bucket
             order = np.argsort(token, kind="stable")
             token, entry, place = token[order], entry[order], place[order]
             bucket = (mix(token.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            node, group = batch.column("node").to_numpy(), batch.column("grp").to_numpy()
+            node, group, n_rare = (batch.column(c).to_numpy() for c in ("node", "grp", "n_rare"))
             rows = {f: [] for f in ["bucket", *fields]}
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -234,29 +264,32 @@ def _candidates(sets: DataFrame, groups: DataFrame, frequent: np.ndarray, bucket
                 if not len(mine):
                     continue
                 used, entries = np.unique(entry[mine], return_inverse=True)
-                for f, x in zip(["bucket", *fields], (b, np.diff(token[mine], prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes(), entries.astype(np.uint16 if len(used) < 65536 else np.uint32).tobytes(), place[mine].tobytes(), node[used].tobytes(), group[used].tobytes(), size[used].tobytes()), strict=True):
+                for f, x in zip(["bucket", *fields], (b, _packed(token[mine]), entries.astype(np.uint16 if len(used) < 65536 else np.uint32).tobytes(), place[mine].tobytes(), node[used].tobytes(), group[used].tobytes(), size[used].tobytes(), n_rare[used].tobytes()), strict=True):
                     rows[f].append(x)
             yield pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int64()), *(pa.array(rows[f], pa.binary()) for f in fields)], ["bucket", *fields])
 
     def pairs(found: pa.Table) -> pa.Table:
-        cols = [[] for _ in range(5)]
+        cols = [[] for _ in range(6)]
         for row in found.to_pylist():
             token = _tokens(row["token"])
             entry = np.frombuffer(row["entry"], np.uint16 if len(row["entry"]) == 2 * len(token) else np.uint32)
-            node, group, size = (np.frombuffer(row[f], np.int64) for f in ("node", "grp", "size"))
-            for c, x in zip(cols, (token, node[entry], group[entry], size[entry], np.frombuffer(row["place"], np.uint16).astype(np.int64)), strict=True):
+            node, group, size, rare = (np.frombuffer(row[f], np.int64) for f in ("node", "grp", "size", "n_rare"))
+            for c, x in zip(cols, (token, node[entry], group[entry], size[entry], np.frombuffer(row["place"], np.uint16).astype(np.int64), rare[entry]), strict=True):
                 c.append(x)
-        found = list_pairs(*map(np.concatenate, cols))
+        *entries, place, rare = map(np.concatenate, cols)
+        found = list_stars(*entries, rare) if stars else list_pairs(*entries, place)
         return pa.table({"src": pa.array(found[:, 0]), "dst": pa.array(found[:, 1])})
 
-    grouped = sets.join(groups.select("node", F.col("root").alias("grp")), "node", "left").select("node", "n", "tokens", F.coalesce("grp", "node").alias("grp"))
+    grouped = sets.join(groups.select("node", F.col("root").alias("grp")), "node", "left").select("node", "n", "n_rare", "rare", "late", F.coalesce("grp", "node").alias("grp"))
     spreaded = grouped.mapInArrow(spread, "bucket long, " + ", ".join(f"{f} binary" for f in fields))
     return spreaded.groupBy("bucket").applyInArrow(pairs, "src long, dst long").distinct()
 
 
 def _verified(docs: DataFrame, features: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """The pairs (src, dst) of nodes whose whole sets reach the similarity."""
-    pairs = materialize(pairs, "pairs")
+    sizes = features.filter("node is not null").select("node", "n_shingles").distinct()
+    pairs = pairs.join(sizes.select(F.col("node").alias("src"), F.col("n_shingles").alias("n1")), "src").join(sizes.select(F.col("node").alias("dst"), F.col("n_shingles").alias("m1")), "dst")
+    pairs = materialize(pairs.filter(f"{DEN} * least(n1, m1) >= {NUM} * greatest(n1, m1)").select("src", "dst"), "pairs")
     nodes = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     chosen = materialize(features.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("chosen_id")), "chosen")
     ids = chosen.select("chosen_id").distinct()
@@ -298,9 +331,7 @@ def _verified(docs: DataFrame, features: DataFrame, pairs: DataFrame, k: int) ->
 
     left = sets.select(F.col("node").alias("src"), "n", F.col("tokens").alias("a"))
     right = sets.select(F.col("node").alias("dst"), F.col("n").alias("m"), F.col("tokens").alias("b"))
-    sized = pairs.join(sets.select(F.col("node").alias("src"), F.col("n").alias("n1")), "src").join(sets.select(F.col("node").alias("dst"), F.col("n").alias("m1")), "dst")
-    sized = sized.filter(f"{DEN} * least(n1, m1) >= {NUM} * greatest(n1, m1)").select("src", "dst")
-    return materialize(sized.join(left, "src").join(right, "dst").mapInArrow(verify, "src long, dst long"), "links")
+    return materialize(pairs.join(left, "src").join(right, "dst").mapInArrow(verify, "src long, dst long"), "links")
 
 
 def jaccard_components(docs: DataFrame, k: int = WORDS) -> DataFrame:
@@ -310,16 +341,21 @@ def jaccard_components(docs: DataFrame, k: int = WORDS) -> DataFrame:
     features = materialize(shingle_sets(docs, k), "features")
     nodes = features.filter("node is not null")
 
-    # Stars: each min-hash key sends its sets to the smallest of them.
+    # Stars: each min-hash key sends its sets to the first and last of them, in two orders.
     keyed = nodes.select("node", F.explode("keys").alias("key")).distinct()
-    leaders = keyed.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("other")).filter("leader <> other").select("key", "leader")
-    stars = keyed.join(leaders, "key").filter("node <> leader").select(F.col("node").alias("src"), F.col("leader").alias("dst")).distinct()
+    mixed = F.xxhash64("node")
+    ends = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.min_by("node", mixed).alias("c"), F.max_by("node", mixed).alias("d")).filter("a <> b")
+    leaders = ends.select("key", F.array_distinct(F.array("a", "b", "c", "d")).alias("leaders"))
+    stars = keyed.join(leaders, "key").select(F.col("node").alias("src"), F.explode("leaders").alias("dst")).filter("src <> dst")
+    stars = stars.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
     links = _verified(docs, features, stars, k)
     groups = connected_components(links)
 
-    sets = materialize(_prefixes(docs, k), "prefixes")
-    others = _verified(docs, features, _candidates(sets, groups, _frequent(sets, buckets), buckets), k)
-    groups = connected_components(links.unionByName(others))
+    frequent = spark.sparkContext.broadcast(_frequent(docs, k, buckets))
+    sets = materialize(_prefixes(docs, frequent, k), "prefixes")
+    for stars in (True, False):
+        links = links.unionByName(_verified(docs, features, _candidates(sets, groups, buckets, stars), k))
+        groups = connected_components(links)
 
     labelled = nodes.join(groups, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
     smallest = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))

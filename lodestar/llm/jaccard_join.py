@@ -365,9 +365,10 @@ def jaccard_components(docs: DataFrame, k: int = WORDS) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without the documents that are linked, directly or through others, to one of a smaller doc_id. Rows of one
-    doc_id and equal text count as one document; rows without an id are only dropped when their group has an id."""
+    doc_id and equal text count as one document; rows without an id can't be named
+    and always stay."""
     found = materialize(jaccard_components(docs), "components")
-    dropped = found.filter("component_id is not null and not doc_id <=> component_id").select(F.col("doc_id").alias("dropped_id")).distinct()
+    dropped = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("dropped_id")).distinct()
     again = found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select(F.col("doc_id").alias("again_id"))
     dropped, again = materialize(dropped, "dropped"), materialize(again, "again")
     if dropped.count() <= BROADCAST_ROWS:

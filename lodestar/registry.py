@@ -1,6 +1,527 @@
-"""Queries of the reference's operators and their DuckDB SQL."""
+"""Queries over the driver's tables, and the DuckDB SQL that each must equal where SQL can express it.
+
+Roles: embeddings are chunk and tag vectors (vec_id) and, for vec_id < 10, queries; an order's lineitems are a file, with
+brand and type of the part as its tags in order; documents are diaries; conversations are conversations. Doubles are
+rounded to 6 places; weights that are sums of short decimals to 10, so that no tie of rounding decides.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lodestar.config import Config
+from lodestar.functions import text, vec
+from lodestar.operators import audit, axes, dedup, fusion, graph, propagation, residual, similarity
+from lodestar.plans import inject, recall
+from lodestar.sources import diaries, store
+from lodestar.tables import table, written
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(c, name: str, places: int = 6):
+    return (F.round(c, places) + 0.0).alias(name)
+
+
+# --- inputs
+
+
+def vectors(spark, d, first: int | None = None) -> DataFrame:
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
+    return rows if first is None else rows.filter(F.col("item_id") < first)
+
+
+def asked(spark, d) -> DataFrame:
+    return vectors(spark, d, 10).select(F.col("item_id").alias("query_id"), "vector")
+
+
+def tagged(spark, d) -> DataFrame:
+    """(file, name, pos)"""
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"))
+    part = table(spark, d, "part").select("p_partkey", F.concat_ws("/", "p_brand", "p_type").alias("name"))
+    rows = table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    return rows.select(F.col("l_orderkey").alias("file"), "name", place.alias("pos"))
+
+
+def tag_names(rows: DataFrame) -> DataFrame:
+    """(name, tag_id): ids by name from 0; one task numbers the vocabulary."""
+    return rows.select("name").distinct().select("name", (F.row_number().over(Window.orderBy("name")) - 1).cast("long").alias("tag_id"))
+
+
+def occurrences(spark, d) -> DataFrame:
+    rows = tagged(spark, d)
+    return graph.occurrences(rows.join(tag_names(rows), "name").select("file", "tag_id", "pos"))
+
+
+def tag_vectors(spark, d) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("tag_id"), F.col("embedding").alias("vector"))
+
+
+def tag_table(spark, d) -> DataFrame:
+    return tag_names(tagged(spark, d)).join(tag_vectors(spark, d), "tag_id", "left")
+
+
+def facts(spark, d) -> DataFrame:
+    return graph.fact_matrix(occurrences(spark, d), tag_vectors(spark, d))
+
+
+V = "list_dot_product(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[]))"
+DOT = V.format("a.embedding", "b.embedding")
+OCC = """li AS (SELECT l_orderkey AS file, concat_ws('/', p_brand, p_type) AS name, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS pos, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem JOIN part ON l_partkey = p_partkey),
+tags AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS tag_id FROM (SELECT DISTINCT name FROM li)),
+occ AS (SELECT file, tag_id, pos, n, CASE WHEN n <= 1 THEN 0.9 ELSE 0.9 - 0.4 * (pos - 1) / (n - 1) END::DOUBLE AS phi FROM li JOIN tags USING (name))"""
+PAIRS = f"""{OCC}, pairs AS (SELECT a.tag_id AS src, b.tag_id AS dst, sum(a.phi * b.phi * exp(-0.08::DOUBLE * (b.pos - a.pos - 1))) AS e, count(*) AS c FROM occ a JOIN occ b ON a.file = b.file AND a.pos < b.pos AND a.tag_id <> b.tag_id GROUP BY 1, 2)"""
+FACT = f"""{PAIRS}, sides AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, sum(CASE WHEN src < dst THEN e ELSE 0 END) AS up, sum(CASE WHEN src > dst THEN e ELSE 0 END) AS down FROM pairs GROUP BY 1, 2),
+sims AS (SELECT s.*, {V.format('x.embedding', 'y.embedding')} / (sqrt({V.format('x.embedding', 'x.embedding')}) * sqrt({V.format('y.embedding', 'y.embedding')})) AS sim FROM sides s LEFT JOIN embeddings x ON x.vec_id = a LEFT JOIN embeddings y ON y.vec_id = b),
+safe AS (SELECT *, CASE WHEN sim IS NULL OR sim <= 0 THEN 0.1::DOUBLE ELSE sim END AS s FROM sims),
+gains AS (SELECT *, CASE WHEN s < 0.15 THEN 0.4 + s ELSE 0.5 + 0.8 * exp(-pow(s - 0.65, 2) / 0.125) END AS gain FROM safe),
+fact AS (SELECT a AS src, b AS dst, gain * (up + 0.35::DOUBLE * down) AS weight FROM gains UNION ALL SELECT b, a, gain * (down + 0.35::DOUBLE * up) FROM gains)"""
+KERNEL = f"""{FACT}, ev AS (SELECT src, dst, ln(1 + weight) AS e FROM fact WHERE weight > 0),
+cond AS (SELECT src, dst, e >= 1 AS is_wormhole, e * CASE WHEN e >= 1 THEN 1.35::DOUBLE ELSE 1 END AS g FROM ev),
+inflow AS (SELECT dst, sum(g) AS inflow FROM cond GROUP BY dst),
+med AS (SELECT list_sort(list(inflow))[count(*) // 2 + 1] AS median FROM inflow),
+damped AS (SELECT src, dst, is_wormhole, g * greatest(0.55::DOUBLE, least(1.8::DOUBLE, pow(inflow / (median + greatest(1e-9, median * 0.1::DOUBLE)), -0.3::DOUBLE))) AS h FROM cond JOIN inflow USING (dst), med),
+sums AS (SELECT src, sum(h) AS total, sum(CASE WHEN is_wormhole THEN h END) AS strong FROM damped GROUP BY src),
+kernel AS (SELECT src, dst, is_wormhole, (0.95::DOUBLE - CASE WHEN strong > 0 THEN 0.05::DOUBLE ELSE 0 END) * h / total + CASE WHEN is_wormhole THEN 0.05::DOUBLE * h / strong ELSE 0 END AS p FROM damped JOIN sums USING (src))"""
+TOP = f"{KERNEL}, top AS (SELECT src, dst, p, is_wormhole, rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY p DESC, dst) AS rank FROM kernel) WHERE rank <= 20)"
+
+
+# --- similarity
+
+
+@query(f"""SELECT query_id, item_id, round(score, 6) + 0.0 AS score, rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS item_id, {DOT} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {DOT} DESC, b.vec_id) AS rank
+FROM embeddings a, embeddings b WHERE a.vec_id < 10 AND a.vec_id <> b.vec_id AND {DOT} >= 0.2) WHERE rank <= 6""")
+def knn_topk(spark, d):
+    out = similarity.top_k(asked(spark, d), vectors(spark, d), 6, 0.2, exclude_self=True)
+    return out.select("query_id", "item_id", r6("score", "score"), "rank")
+
+
+@query(f"""SELECT query_id, item_id, round(score, 6) + 0.0 AS score, rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS item_id, {DOT} / sqrt({V.format('a.embedding', 'a.embedding')}) / sqrt({V.format('b.embedding', 'b.embedding')}) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {DOT} / sqrt({V.format('a.embedding', 'a.embedding')}) / sqrt({V.format('b.embedding', 'b.embedding')}) DESC, b.vec_id) AS rank
+FROM embeddings a, embeddings b WHERE a.vec_id < 10 AND b.vec_id < 150) WHERE rank <= 10""")
+def tag_search_topk(spark, d):
+    return similarity.top_k(asked(spark, d), vectors(spark, d, 150), 10, cosine=True).select("query_id", "item_id", r6("score", "score"), "rank")
+
+
+@query(f"""SELECT a.vec_id, round({DOT}, 6) + 0.0 AS dot, round(sqrt({V.format('a.embedding', 'a.embedding')}), 6) + 0.0 AS norm, round({DOT} / (sqrt({V.format('a.embedding', 'a.embedding')}) * sqrt({V.format('b.embedding', 'b.embedding')})), 6) + 0.0 AS cosine
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+def vector_functions(spark, d):
+    a = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("a"))
+    b = table(spark, d, "embeddings").select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
+    return a.join(b, "vec_id").select("vec_id", r6(vec.dot(F.col("a"), F.col("b")), "dot"), r6(vec.norm(F.col("a")), "norm"), r6(vec.cosine_or_null(F.col("a"), F.col("b")), "cosine"))
+
+
+# --- graph
+
+
+@query(f"WITH {OCC} SELECT file, tag_id, pos, n, round(phi, 6) + 0.0 AS phi FROM occ")
+def tag_positions(spark, d):
+    return occurrences(spark, d).select("file", "tag_id", F.col("pos").cast("long").alias("pos"), "n", r6(vec.phi(F.col("pos"), F.col("n")), "phi"))
+
+
+@query(f"WITH {FACT} SELECT src, dst, round(weight, 10) + 0.0 AS weight FROM fact WHERE weight > 0")
+def fact_matrix(spark, d):
+    return facts(spark, d).select("src", "dst", r6("weight", "weight", 10))
+
+
+@query(f"WITH {FACT} SELECT (SELECT count(DISTINCT file) FROM occ) AS files, (SELECT CAST(sum(c) AS BIGINT) FROM pairs) AS pairs, (SELECT count(*) FROM fact WHERE weight > 0) AS edges")
+def fact_diagnostics(spark, d):
+    occ = occurrences(spark, d)
+    return graph.fact_diagnostics(occ, graph.fact_matrix(occ, tag_vectors(spark, d)))
+
+
+@query(f"WITH {KERNEL} SELECT src, dst, round(p, 6) + 0.0 AS p FROM kernel")
+def kernel(spark, d):
+    return graph.kernel(facts(spark, d)).select("src", "dst", r6("p", "p"))
+
+
+@query(f"WITH {KERNEL} SELECT src, dst FROM kernel WHERE is_wormhole")
+def kernel_wormholes(spark, d):
+    return graph.kernel(facts(spark, d)).filter("is_wormhole").select("src", "dst")
+
+
+@query(f"WITH {KERNEL} SELECT src, round(sum(p), 6) + 0.0 AS mass FROM kernel GROUP BY src")
+def kernel_row_mass(spark, d):
+    return graph.kernel(facts(spark, d)).groupBy("src").agg(r6(F.sum("p"), "mass"))
+
+
+@query(f"WITH {KERNEL} SELECT round(median, 4) + 0.0 AS median, (SELECT count(*) FROM inflow) AS targets FROM med")
+def kernel_inflow_median(spark, d):
+    flow = graph.inflows(graph.conductance(facts(spark, d)))
+    return graph.upper_median(flow, "inflow").crossJoin(flow.agg(F.count("*").alias("targets"))).select(r6("median", "median", 4), "targets")
+
+
+@query(f"WITH {TOP} SELECT src, dst, round(p, 6) + 0.0 AS p, rank FROM top")
+def neighbor_top20(spark, d):
+    return graph.neighbours(graph.kernel(facts(spark, d))).select("src", "dst", r6("p", "p"), "rank")
+
+
+# --- propagation: five queries, each with five seeds
+
+
+def seeds(spark, d) -> DataFrame:
+    ids = tag_names(tagged(spark, d)).filter("tag_id % 30 < 5")
+    return ids.select((F.col("tag_id") % 30).alias("query_id"), F.col("tag_id").alias("node"), (1 + F.col("tag_id") / 100).alias("weight"), (F.col("tag_id") % 2 == 0).alias("is_core"))
+
+
+SEEDS = "seeds AS (SELECT tag_id % 30 AS query_id, tag_id AS node, 1 + tag_id / 100.0::DOUBLE AS energy, CASE WHEN tag_id % 2 = 0 THEN 'core' ELSE 'seed' END AS source_type FROM tags WHERE tag_id % 30 < 5)"
+_TAPS = vec.fir_weights()
+
+
+def _hops() -> str:
+    parts = [f"{TOP}, {SEEDS}", "live0 AS (SELECT query_id, CAST(NULL AS BIGINT) AS prev, node, energy, 2 AS momentum, source_type FROM seeds)"]
+    for h in range(1, 5):
+        parts.append(f"""flow{h} AS (SELECT s.query_id, s.node AS prev, t.dst AS node, s.energy * t.p * CASE WHEN t.is_wormhole THEN 0.7::DOUBLE ELSE 0.25::DOUBLE END * CASE WHEN s.prev IS NOT NULL AND t.dst = s.prev THEN 0.15::DOUBLE ELSE 1 END AS energy, s.momentum - CASE WHEN t.is_wormhole THEN 0 ELSE 1 END AS momentum, s.source_type, t.is_wormhole FROM live{h - 1} s JOIN top t ON t.src = s.node WHERE s.energy >= 0.1 AND s.momentum >= 0),
+merged{h} AS (SELECT query_id, prev, node, sum(energy) AS energy, max(momentum) AS momentum, min(source_type) AS source_type FROM flow{h} WHERE energy >= 0.01 AND (momentum >= 0 OR is_wormhole) GROUP BY 1, 2, 3),
+hop{h} AS (SELECT * FROM merged{h} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY energy DESC, prev, node) <= 2000),
+nodes{h} AS (SELECT query_id, node, sum(energy) AS total, min(source_type) AS origin_type FROM hop{h} GROUP BY 1, 2),
+live{h} AS (SELECT * FROM hop{h} WHERE query_id IN (SELECT query_id FROM nodes{h} WHERE total > 0.01))""")
+    field = f"SELECT query_id, node, energy * {_TAPS[0]!r}::DOUBLE AS energy, 0 AS hop, source_type, CAST(NULL AS VARCHAR) AS origin_type FROM seeds"
+    for h in range(1, 5):
+        field += f" UNION ALL SELECT query_id, node, total * {_TAPS[h]!r}::DOUBLE, {h}, 'emergent', origin_type FROM nodes{h}"
+    parts.append(f"field AS ({field})")
+    return "WITH " + ", ".join(parts)
+
+
+HOPS = _hops()
+
+
+@query(f"{HOPS} SELECT query_id, node, round(sum(energy), 6) + 0.0 AS energy FROM field GROUP BY 1, 2")
+def energy_field(spark, d):
+    return propagation.propagate(seeds(spark, d), graph.kernel(facts(spark, d))).select("query_id", "node", r6("energy", "energy"))
+
+
+@query(f"{HOPS} SELECT query_id, node, hop, source_type, origin_type FROM field QUALIFY row_number() OVER (PARTITION BY query_id, node ORDER BY hop) = 1")
+def provenance(spark, d):
+    return propagation.propagate(seeds(spark, d), graph.kernel(facts(spark, d))).select("query_id", "node", "hop", "source_type", "origin_type")
+
+
+@query(f"{HOPS} SELECT query_id, prev, node, round(energy, 6) + 0.0 AS energy, momentum FROM hop1")
+def propagate_hop1(spark, d):
+    start = seeds(spark, d).select("query_id", F.lit(None).cast("long").alias("prev"), "node", F.col("weight").alias("energy"), F.lit(2).alias("momentum"), F.when(F.col("is_core"), "core").otherwise("seed").alias("source_type"))
+    return propagation.hop(start, graph.neighbours(graph.kernel(facts(spark, d)))).select("query_id", "prev", "node", r6("energy", "energy"), "momentum")
+
+
+@query(f"""{HOPS}, back AS (SELECT s.query_id, s.energy * t.p * CASE WHEN t.is_wormhole THEN 0.7::DOUBLE ELSE 0.25::DOUBLE END * 0.85::DOUBLE AS x FROM live1 s JOIN top t ON t.src = s.node AND t.dst = s.prev WHERE s.energy >= 0.1 AND s.momentum >= 0)
+SELECT query_id, round(sum(x), 6) + 0.0 AS suppressed FROM back GROUP BY query_id""")
+def return_flow_suppressed(spark, d):
+    top = written(graph.neighbours(graph.kernel(facts(spark, d))), "top")
+    start = seeds(spark, d).select("query_id", F.lit(None).cast("long").alias("prev"), "node", F.col("weight").alias("energy"), F.lit(2).alias("momentum"), F.when(F.col("is_core"), "core").otherwise("seed").alias("source_type"))
+    return propagation.suppressed_mass(propagation.hop(start, top), top).select("query_id", r6("suppressed", "suppressed"))
+
+
+# --- text
+
+_WIDE = "[\\u3000-\\u303F\\u3400-\\u4DBF\\u4E00-\\u9FFF\\uF900-\\uFAFF\\uFF00-\\uFFEF]".encode().decode("unicode_escape")
+
+
+@query(f"SELECT doc_id, CAST(ceil(1.5 * (length(text) - length(regexp_replace(text, '{_WIDE}', '', 'g'))) + 0.25 * length(regexp_replace(text, '{_WIDE}', '', 'g'))) AS BIGINT) AS tokens FROM documents")
+def token_estimate(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+@query("""SELECT doc_id, i AS sentence, parts[i + 1] AS text FROM (SELECT doc_id, regexp_extract_all(text, '[^。？！.!?\n]*[。？！.!?\n]|[^。？！.!?\n]+') AS parts FROM documents), LATERAL (SELECT unnest(range(len(parts))) AS i)""")
+def sentence_split(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("sentence", "text")).withColumn("sentence", F.col("sentence").cast("long"))
+
+
+DIARY = "concat('[2026-01-01] - ', lang, chr(10), '[10:00]', chr(10), substr(text, 1, 40), chr(10), 'Tag: old', chr(10), '  Tag： ', source, ' ，  ', lang, '、x  y , ,')"
+
+
+def _diaries(spark, d) -> DataFrame:
+    """Documents as diaries with two tag lines."""
+    raw = F.concat(F.lit("[2026-01-01] - "), F.col("lang"), F.lit("\n[10:00]\n"), F.substring("text", 1, 40), F.lit("\nTag: old\n  Tag： "), F.col("source"), F.lit(" ，  "), F.col("lang"), F.lit("、x  y , ,"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("file"), raw.alias("raw"))
+
+
+@query("SELECT doc_id AS file, i AS pos, CASE i WHEN 1 THEN source WHEN 2 THEN lang ELSE 'x y' END AS name FROM documents, LATERAL (SELECT unnest([1, 2, 3]) AS i)")
+def parse_tags(spark, d):
+    return diaries.tag_occurrences(_diaries(spark, d)).select("file", F.col("pos").cast("long").alias("pos"), "name")
+
+
+@query("SELECT n_nationkey, trim(regexp_replace(regexp_replace(concat(' ', n_name, '，', n_name, '、  b '), '[，、]', ', ', 'g'), '\\s+', ' ', 'g')) AS tag FROM nation")
+def clean_tag(spark, d):
+    return table(spark, d, "nation").select("n_nationkey", text.clean_tag(F.concat(F.lit(" "), "n_name", F.lit("，"), "n_name", F.lit("、  b "))).alias("tag"))
+
+
+@query("SELECT page_id, regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(concat('..', url, '?  a ', chr(9), '.'), '[\\\\/:*?\"<>|\\x00-\\x1F]', '', 'g'), '\\s+', ' ', 'g')), '^\\.+', ''), '\\.+$', '') AS title FROM pages")
+def sanitize_title(spark, d):
+    return table(spark, d, "pages").select("page_id", text.sanitize_title(F.concat(F.lit(".."), "url", F.lit("?  a \t."))).alias("title"))
+
+
+@query("SELECT doc_id, lower(trim(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '\\r\\n?', chr(10), 'g'), '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(13) || chr(9))) AS norm FROM documents")
+def normalize_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("norm"))
+
+
+@query("SELECT page_id, lower(replace(trim(concat(' ', replace(url, '/', '\\'), ' ')), '\\', '/')) AS path FROM pages")
+def normalize_path(spark, d):
+    return table(spark, d, "pages").select("page_id", text.normalize_path(F.concat(F.lit(" "), F.replace("url", F.lit("/"), F.lit("\\")), F.lit(" "))).alias("path"))
+
+
+@query("SELECT doc_id, CAST((length(text) - length(replace(text, 'the', ''))) // 3 AS BIGINT) AS n FROM documents")
+def occurrence_count(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.occurrences(F.col("text"), F.lit("the")).alias("n"))
+
+
+@query("SELECT doc_id AS file, md5(text) AS content_md5 FROM documents")
+def md5_manifest(spark, d):
+    return store.manifest(table(spark, d, "documents").select(F.col("doc_id").alias("file"), F.col("text").alias("raw")))
+
+
+@query("SELECT n_nationkey, [CAST(coalesce(list_sum(list_transform(list_filter(string_split(n_name, ''), lambda c: unicode(c) % 8 = e), lambda c: unicode(c))), 0) AS DOUBLE) FOR e IN range(8)] AS vector FROM nation")
+def hash_embedding(spark, d):
+    return table(spark, d, "nation").select("n_nationkey", text.hash_embedding(F.col("n_name")).alias("vector"))
+
+
+@query("SELECT p_partkey, NOT regexp_matches(p_name, '[一-龥]') AND regexp_matches(p_name, '^[A-Za-z0-9_.\\s-]+$') AS technical FROM part")
+def technical_name(spark, d):
+    return table(spark, d, "part").select("p_partkey", text.is_technical(F.col("p_name")).alias("technical"))
+
+
+@query()
+def chunk_text(spark, d):
+    """Chunks of 200 tokens with an overlap of 40."""
+    return diaries.chunked(table(spark, d, "documents").select(F.col("doc_id").alias("file"), F.col("text").alias("raw")), 200, 40)
+
+
+# --- dedup
+
+
+@query("SELECT lang AS query_id, doc_id AS ord FROM documents QUALIFY row_number() OVER (PARTITION BY lang, lower(trim(regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(13) || chr(9))) ORDER BY length(text) DESC, doc_id) = 1")
+def hard_dedup(spark, d):
+    rows = table(spark, d, "documents").select(F.col("lang").alias("query_id"), F.col("doc_id").alias("ord"), F.length("text").alias("score"), text.normalize_text(F.col("text")).alias("norm_text"))
+    return dedup.hard_dedup_ranked(rows).select("query_id", "ord")
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 0 ELSE 0 END + CASE WHEN value > 50 THEN 40 WHEN value > 25 THEN 50 ELSE 0 END AS priority, round(coalesce(CASE WHEN value > 90 THEN value END, CASE WHEN value > 80 THEN value / 2 END, value / 4), 6) + 0.0 AS score FROM events")
+def dedup_preference(spark, d):
+    v = F.col("value")
+    source = F.when(v > 50, "bm25_other").when(v > 25, F.lit(None).cast("string")).otherwise("elsewhere")
+    null = F.lit(None).cast("double")
+    score = dedup.effective_score(F.when(v > 90, v), F.when(v > 80, v / 2), v / 4, null)
+    return table(spark, d, "events").select("event_id", dedup.source_priority(source).alias("priority"), r6(score, "score"))
+
+
+@query()
+def semantic_dedup(spark, d):
+    near = similarity.top_k(asked(spark, d), vectors(spark, d), 40).join(vectors(spark, d), "item_id")
+    rows = near.select("query_id", F.col("item_id").alias("ord"), "score", F.lit(50).alias("priority"), F.col("vector").cast("array<double>").alias("vector"))
+    return dedup.semantic_dedup(rows, asked(spark, d), 0.3).select("query_id", "ord", r6("score", "score"))
+
+
+# --- axes and pyramid
+
+
+@query()
+def epa_axes(spark, d):
+    basis = axes.train(tag_table(spark, d))
+    return spark.createDataFrame([(i, float(e), n) for i, (e, n) in enumerate(zip(basis.energies, basis.labels, strict=False))], "axis int, energy double, label string")
+
+
+def _unit_basis(dim: int = 64) -> axes.Basis:
+    """The first eight coordinates: a basis that SQL can project on."""
+    import numpy as np
+
+    return axes.Basis(np.zeros(dim), np.eye(8, dim), np.ones(8), [f"x{i}" for i in range(8)])
+
+
+SPECTRUM = """WITH p AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings), q AS (SELECT vec_id, list_transform(x, lambda v: v * v / list_sum(list_transform(x, lambda w: w * w))) AS p FROM p),
+s AS (SELECT vec_id, p, -list_sum(list_transform(p, lambda v: CASE WHEN v > 1e-9 THEN v * log2(v) ELSE 0 END)) / 3 AS entropy, list_reverse_sort(list_filter(p, lambda v: v > 0.05)) AS top FROM q)"""
+
+
+@query(f"{SPECTRUM} SELECT vec_id AS query_id, round(entropy, 6) + 0.0 AS entropy, round(1 - entropy, 6) + 0.0 AS depth, CAST(len(top) AS INTEGER) AS axes FROM s")
+def epa_project(spark, d):
+    rows = axes.project(vectors(spark, d).select(F.col("item_id").alias("query_id"), "vector"), _unit_basis())
+    return rows.select("query_id", r6("entropy", "entropy"), r6("depth", "depth"), F.size("dominant").alias("axes"))
+
+
+@query(f"{SPECTRUM} SELECT vec_id AS query_id, round(coalesce(list_sum(list_transform(top[2:], lambda v: CASE WHEN sqrt(top[1] * v) > 0.15 THEN sqrt(top[1] * v) ELSE 0 END)), 0), 6) + 0.0 AS resonance FROM s")
+def epa_resonance(spark, d):
+    rows = axes.project(vectors(spark, d).select(F.col("item_id").alias("query_id"), "vector"), _unit_basis())
+    return rows.select("query_id", r6(axes.resonance(F.col("dominant")), "resonance"))
+
+
+@query()
+def residual_pyramid(spark, d):
+    rows = residual.pyramid(asked(spark, d), tag_table(spark, d))
+    return rows.select("query_id", "level", r6("explained", "explained"), r6("ratio", "ratio"), F.size("tags").alias("tags"))
+
+
+@query()
+def pyramid_features(spark, d):
+    q = asked(spark, d)
+    return residual.features(q, residual.pyramid(q, tag_table(spark, d))).select("query_id", "pyramid_depth", *(r6(c, c) for c in ("coverage", "novelty", "coherence", "activation")))
+
+
+# --- fusion
+
+
+@query("""WITH x AS (SELECT c_custkey, (c_custkey % 100) / 100.0::DOUBLE AS depth, (c_custkey % 37) / 37.0::DOUBLE AS entropy, (c_custkey % 11) / 5.0::DOUBLE AS resonance, (c_custkey % 7) / 7.0::DOUBLE AS activation, (c_custkey % 13) / 13.0::DOUBLE AS coverage FROM customer)
+SELECT c_custkey, round(0.15::DOUBLE * greatest(0.3::DOUBLE, least(2::DOUBLE, depth * (1 + ln(1 + resonance)) / (1 + 0.5::DOUBLE * entropy) * (0.5::DOUBLE + activation))), 6) + 0.0 AS boost, round(1.2::DOUBLE + 0.2::DOUBLE * (0.5::DOUBLE * depth + 0.5::DOUBLE * (1 - coverage)), 6) + 0.0 AS core_boost FROM x""")
+def dynamic_boost(spark, d):
+    k = F.col("c_custkey")
+    depth, entropy, resonance, activation, coverage = (k % a / float(b) for a, b in ((100, 100), (37, 37), (11, 5), (7, 7), (13, 13)))
+    return table(spark, d, "customer").select("c_custkey", r6(vec.effective_boost(depth, entropy, resonance, activation), "boost"), r6(vec.core_boost(depth, coverage), "core_boost"))
+
+
+@query("""WITH w AS (SELECT label AS query_id, 1 + vec_id % 5 AS weight, embedding FROM embeddings), flat AS (SELECT query_id, weight, unnest(range(64)) AS pos, unnest(embedding) AS x FROM w),
+m AS (SELECT query_id, pos, sum(CAST(x AS DOUBLE) * weight) / sum(weight) AS x FROM flat GROUP BY 1, 2), n AS (SELECT query_id, sqrt(sum(x * x)) AS n FROM m GROUP BY 1)
+SELECT query_id, pos, round(x / n, 6) + 0.0 AS x FROM m JOIN n USING (query_id)""")
+def context_vector(spark, d):
+    rows = table(spark, d, "embeddings").select(F.col("label").alias("query_id"), (1 + F.col("vec_id") % 5).alias("weight"), F.col("embedding").alias("vector"))
+    return fusion.context_vector(rows).select("query_id", F.posexplode("context").alias("pos", "x")).select("query_id", F.col("pos").cast("long").alias("pos"), r6("x", "x"))
+
+
+@query("""WITH p AS (SELECT a.vec_id, unnest(range(64)) AS pos, unnest(a.embedding) AS x, unnest(b.embedding) AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1), m AS (SELECT vec_id, pos, 0.7::DOUBLE * CAST(x AS DOUBLE) + 0.3::DOUBLE * CAST(y AS DOUBLE) AS z FROM p), n AS (SELECT vec_id, sqrt(sum(z * z)) AS n FROM m GROUP BY 1)
+SELECT vec_id, pos, round(z / n, 6) + 0.0 AS x FROM m JOIN n USING (vec_id)""")
+def combined_query(spark, d):
+    a = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("user_vector"))
+    b = table(spark, d, "embeddings").select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("assistant_vector"))
+    return inject.combined(a.join(b, "vec_id")).select("vec_id", F.posexplode("vector").alias("pos", "x")).select("vec_id", F.col("pos").cast("long").alias("pos"), r6("x", "x"))
+
+
+# --- recall
+
+
+def _index(spark, d) -> recall.Index:
+    """Chunks are embeddings; chunk i belongs to the i-th order."""
+    tags = written(tag_table(spark, d), "tags")
+    occ = written(occurrences(spark, d), "occurrences")
+    chunks = vectors(spark, d).select(F.col("item_id").alias("chunk_id"), F.col("item_id").alias("file"), F.lit(0).alias("chunk_index"), F.concat(F.lit("chunk "), F.col("item_id").cast("string")).alias("content"), "vector")
+    return recall.Index(chunks, tags, occ.select("file", "tag_id"), written(graph.kernel(graph.fact_matrix(occ, tag_vectors(spark, d))), "kernel"), axes.train(tags))
+
+
+def _recalled(spark, d):
+    q = asked(spark, d)
+    cores = tag_names(tagged(spark, d)).filter("tag_id < 10").select(F.col("tag_id").alias("query_id"), F.upper("name").alias("name"))
+    config = Config()
+    return recall.recall(q, cores, _index(spark, d), config)
+
+
+@query(f"""SELECT query_id, rank, item_id AS chunk_id, round(score, 6) + 0.0 AS score FROM (SELECT a.vec_id AS query_id, b.vec_id AS item_id, {DOT} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {DOT} DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id < 10 AND {DOT} >= 0.4) WHERE rank <= 6""")
+def plain_recall(spark, d):
+    chunks = vectors(spark, d).select(F.col("item_id").alias("chunk_id"), F.col("item_id").alias("file"), F.lit(0).alias("chunk_index"), F.lit("").alias("content"), "vector")
+    return recall.plain(asked(spark, d), chunks).select("query_id", "rank", "chunk_id", r6("score", "score"))
+
+
+@query()
+def wave_recall(spark, d):
+    return _recalled(spark, d)[0].select("query_id", "rank", "chunk_id", r6("score", "score"), "via_structure")
+
+
+@query()
+def matched_tags(spark, d):
+    return _recalled(spark, d)[1]
+
+
+@query()
+def recall_stats(spark, d):
+    return _recalled(spark, d)[2]
+
+
+# --- injection
+
+
+ELIGIBLE = """SELECT conv_id, turn, text AS user_text, before AS assistant_text FROM (SELECT *, last_value(CASE WHEN role = 'assistant' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM conversations) WHERE role = 'user' AND trim(coalesce(text, '')) <> ''"""
+
+
+@query(ELIGIBLE)
+def seed_select(spark, d):
+    return inject.eligible(table(spark, d, "conversations"))
+
+
+@query(f"SELECT conv_id, turn, coalesce(user_text || chr(10) || coalesce(assistant_text, '') = lag(user_text || chr(10) || coalesce(assistant_text, '')) OVER (PARTITION BY conv_id ORDER BY turn), false) AS skip FROM ({ELIGIBLE})")
+def throttle(spark, d):
+    return inject.throttled(inject.eligible(table(spark, d, "conversations"))).select("conv_id", "turn", "skip")
+
+
+_ROOM = 2000 - len(inject.HEAD) - len(inject.FOOT)
+
+
+@query(f"""WITH b AS (SELECT lang AS query_id, source AS file, doc_id AS ord, substr(text, 1, 700) AS text, (doc_id % 100) / 100.0::DOUBLE AS score FROM documents WHERE doc_id < 100), r AS (SELECT *, row_number() OVER w AS n FROM b WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, ord)),
+h AS (SELECT *, length(concat(chr(10), '[', n, '] (score ', printf('%.2f', score), ' · ', file, ')', chr(10))) + 1 + length(text) AS cost FROM r), t AS (SELECT *, sum(cost) OVER (PARTITION BY query_id ORDER BY n) AS total FROM h)
+SELECT query_id, count(*) AS used, CAST(sum(cost) AS BIGINT) + {len(inject.HEAD) + len(inject.FOOT)} AS chars FROM t WHERE total <= {_ROOM} GROUP BY query_id""")
+def memory_block_pack(spark, d):
+    rows = table(spark, d, "documents").filter("doc_id < 100").select(F.col("lang").alias("query_id"), F.col("source").alias("file"), F.col("doc_id").alias("ord"), F.substring("text", 1, 700).alias("text"), (F.col("doc_id") % 100 / 100.0).alias("score"))
+    return inject.packed(rows).select("query_id", "used", F.length("text").cast("long").alias("chars"))
+
+
+# --- ingest and audit
+
+
+@query("""SELECT coalesce(a.doc_id, b.doc_id) AS file, CASE WHEN b.doc_id IS NULL THEN 'added' WHEN a.doc_id IS NULL THEN 'deleted' ELSE 'changed' END AS change
+FROM (SELECT doc_id, md5(text) AS m FROM documents WHERE doc_id % 7 <> 0) a FULL JOIN (SELECT doc_id, md5(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS m FROM documents WHERE doc_id % 3 <> 0) b USING (doc_id) WHERE a.m IS DISTINCT FROM b.m""")
+def manifest_diff(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("file"), F.col("text").alias("raw"))
+    before = docs.filter("file % 3 <> 0").withColumn("raw", F.when(F.col("file") % 5 == 0, F.concat("raw", F.lit("!"))).otherwise(F.col("raw")))
+    return store.changes(store.manifest(docs.filter("file % 7 <> 0")), store.manifest(before))
+
+
+@query("SELECT doc_id AS file, length(text) + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS size FROM documents WHERE doc_id % 7 <> 0")
+def upsert(spark, d):
+    old = table(spark, d, "documents").select(F.col("doc_id").alias("file"), F.length("text").cast("long").alias("size"))
+    touched = old.filter("file % 5 = 0 or file % 7 = 0")
+    return store.upserted(old, touched.filter("file % 7 <> 0").withColumn("size", F.col("size") + 1), touched)
+
+
+@query(f"WITH {OCC} SELECT name, count(*) AS occurrences, count(DISTINCT file) AS files, tag_id IN (SELECT vec_id FROM embeddings) AS vectorized FROM occ JOIN tags USING (tag_id) GROUP BY name, tag_id")
+def tag_usage(spark, d):
+    return audit.tag_usage(occurrences(spark, d), tag_table(spark, d))
+
+
+@query("SELECT doc_id AS file FROM documents ANTI JOIN labels USING (doc_id)")
+def audit_unindexed(spark, d):
+    return audit.unindexed(table(spark, d, "documents").select(F.col("doc_id").alias("file")), table(spark, d, "labels").select(F.col("doc_id").alias("file")))
+
+
+@query("SELECT DISTINCT doc_id AS file FROM labels ANTI JOIN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) USING (doc_id)")
+def audit_orphans(spark, d):
+    return audit.orphans(table(spark, d, "labels").select(F.col("doc_id").alias("file")), table(spark, d, "documents").filter("doc_id % 2 = 0").select(F.col("doc_id").alias("file")))
+
+
+@query(f"WITH {OCC} SELECT (SELECT count(*) FROM documents) AS diaries, (SELECT count(*) FROM labels) AS chunks, (SELECT count(*) FROM tags) AS tags, (SELECT count(*) FROM tags WHERE tag_id IN (SELECT vec_id FROM embeddings)) AS vectorized_tags")
+def store_stats(spark, d):
+    return audit.store_stats(table(spark, d, "documents"), table(spark, d, "labels"), tag_table(spark, d))
+
+
+@query(f"""WITH {OCC} SELECT 'signature' AS "check", false AS ok, 1::BIGINT AS n UNION ALL SELECT 'orphan_chunks', count(*) = 0, count(*) FROM (SELECT DISTINCT doc_id FROM labels ANTI JOIN documents USING (doc_id))
+UNION ALL SELECT 'unindexed_files', count(*) = 0, count(*) FROM (SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)) UNION ALL SELECT 'vectorless_tags', count(*) = 0, count(*) FROM tags WHERE tag_id NOT IN (SELECT vec_id FROM embeddings) UNION ALL SELECT 'stale_axes', false, 1""")
+def doctor(spark, d):
+    files = table(spark, d, "documents").select(F.col("doc_id").alias("file"))
+    return audit.doctor(files, table(spark, d, "labels").select(F.col("doc_id").alias("file")), tag_table(spark, d), "model@64", "model@32", None)
+
+
+@query()
+def tag_fingerprint(spark, d):
+    return audit.tag_fingerprint(tag_table(spark, d), "model@64")
+
+
+@query("""WITH k AS (SELECT s.o_orderkey, concat(o_orderstatus, '/', strftime(date_trunc('month', o_orderdate), '%Y-%m-%d-00_00_00'), '-', trim(o_orderpriority)) AS stem, o_orderpriority FROM orders s)
+SELECT o_orderkey, concat(stem, CASE WHEN n > 0 THEN '-' || n ELSE '' END, '.md') AS file FROM (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY o_orderpriority, o_orderkey) - 1 AS n FROM k)""")
+def diary_file_names(spark, d):
+    notes = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("agent"), F.date_trunc("month", "o_orderdate").alias("ts"), F.col("o_orderpriority").alias("title"), F.col("o_orderkey").alias("content"))
+    return store.file_names(notes).select("o_orderkey", "file")
+
+
+@query("""WITH r AS (SELECT item_id AS request_id, substr(text, 1, 40) AS target FROM benchmark), h AS (SELECT request_id, doc_id, (length(text) - length(replace(text, target, ''))) // length(target) AS n FROM r JOIN documents ON contains(text, target)),
+b AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY doc_id DESC) = 1) SELECT request_id, CASE WHEN n = 1 THEN doc_id END AS file, CASE WHEN n IS NULL THEN 'not found' WHEN n > 1 THEN 'ambiguous' END AS error FROM r LEFT JOIN b USING (request_id)""")
+def update_diary(spark, d):
+    files = table(spark, d, "documents").select(F.col("doc_id").alias("file"), F.col("text").alias("raw"), F.col("doc_id").alias("mtime"))
+    requests = table(spark, d, "benchmark").select(F.col("item_id").alias("request_id"), F.substring("text", 1, 40).alias("target"), F.lit("new").alias("replacement"))
+    return store.updates(files, requests).select("request_id", "file", "error")
+
+
+def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return QUERIES[name](spark, sf_dir)

@@ -70,11 +70,11 @@ def document_shingles_k(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndar
 
 
 def shingle_sets(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """(doc_id, node, n_shingles, keys): one row per document; node is null for an empty set."""
+    """(doc_id, node, n_shingles, keys, counts): one row per document; node is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, keys, counts = [], [], [], []
             for _, found, node in _sets(batch, k):
                 nodes.append(node)
                 sizes.append(len(found))
@@ -83,9 +83,28 @@ def shingle_sets(docs: DataFrame, k: int = WORDS) -> DataFrame:
                     part = mix(found ^ np.uint64(j * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)).min()
                     mine.append(int(_signed(mix(np.array([part + np.uint64(j)])))[0]))
                 keys.append(mine)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "n_shingles", "keys"])
+                counts.append(_counts(found))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(counts, pa.binary())], ["doc_id", "node", "n_shingles", "keys", "counts"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, node long, n_shingles long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, node long, n_shingles long, keys array<long>, counts binary")
+
+
+def _counts(found: np.ndarray) -> bytes | None:
+    """How many shingles fall into each of about n / 2 classes; None where a class has more than a byte can say."""
+    classes = 64
+    while 2 * classes < len(found):
+        classes *= 2
+    counts = np.bincount((found & np.uint64(classes - 1)).astype(np.int64), minlength=classes)
+    return None if counts.max(initial=0) > 255 else counts.astype(np.uint8).tobytes()
+
+
+def most_shared(a: bytes | None, b: bytes | None) -> int | None:
+    """A bound of the size of the intersection of two sets by their counts."""
+    if a is None or b is None:
+        return None
+    x, y = (np.frombuffer(c, np.uint8).astype(np.int64) for c in (a, b))
+    classes = min(len(x), len(y))
+    return int(np.minimum(x.reshape(-1, classes).sum(axis=0), y.reshape(-1, classes).sum(axis=0)).sum())
 
 
 def _prefix_length(n: int) -> int:
@@ -240,33 +259,35 @@ def _candidates(sets: DataFrame, groups: DataFrame, buckets: int, stars: bool) -
     of the lists of frequent tokens the stars only."""
     fields = ["token", "entry", "place", "node", "grp", "size", "n_rare"]
 
+    def flush(rows: list[tuple]) -> pa.RecordBatch:
+        token = np.concatenate([r[0] for r in rows])
+        lengths = np.array([len(r[0]) for r in rows])
+        entry = np.repeat(np.arange(len(rows), dtype=np.uint32), lengths)
+        place = np.minimum(np.concatenate([np.arange(n) for n in lengths]), 65535).astype(np.uint16)
+        node, group, size, n_rare = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3, 4))
+        bucket = (mix(token.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((token, bucket))
+        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        out = {f: [] for f in ["bucket", *fields]}
+        for b in np.flatnonzero(np.diff(cuts)):
+            mine = order[cuts[b] : cuts[b + 1]]
+            used, entries = np.unique(entry[mine], return_inverse=True)
+            for f, x in zip(["bucket", *fields], (b, _packed(token[mine]), entries.astype(np.uint16 if len(used) < 65536 else np.uint32).tobytes(), place[mine].tobytes(), node[used].tobytes(), group[used].tobytes(), size[used].tobytes(), n_rare[used].tobytes()), strict=True):
+                out[f].append(x)
+        return pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int64()), *(pa.array(out[f], pa.binary()) for f in fields)], ["bucket", *fields])
+
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            size = batch.column("n").to_numpy()
-            token, entry, place = [], [], []
-            for i, (rare, late) in enumerate(zip(batch.column("rare").to_pylist(), batch.column("late").to_pylist(), strict=True)):
+            for rare, late, *about in zip(*(batch.column(c).to_pylist() for c in ("rare", "late", "node", "grp", "n", "n_rare")), strict=True):
                 mine = _tokens(late) if stars else np.concatenate([_tokens(rare), _tokens(late)])
-                token.append(mine)
-                entry.append(np.full(len(mine), i, np.uint32))
-                place.append(np.minimum(np.arange(len(mine)), 65535).astype(np.uint16))
-            token, entry, place = map(np.concatenate, (token, entry, place))
-            order = np.argsort(token, kind="stable")
-            token, entry, place = token[order], entry[order], place[order]
-            bucket = (mix(token.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            node, group, n_rare = (batch.column(c).to_numpy() for c in ("node", "grp", "n_rare"))
-            rows = {f: [] for f in ["bucket", *fields]}
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for b in range(buckets):
-                mine = order[cuts[b] : cuts[b + 1]]
-                if not len(mine):
-                    continue
-                used, entries = np.unique(entry[mine], return_inverse=True)
-                for f, x in zip(["bucket", *fields], (b, _packed(token[mine]), entries.astype(np.uint16 if len(used) < 65536 else np.uint32).tobytes(), place[mine].tobytes(), node[used].tobytes(), group[used].tobytes(), size[used].tobytes(), n_rare[used].tobytes()), strict=True):
-                    rows[f].append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int64()), *(pa.array(rows[f], pa.binary()) for f in fields)], ["bucket", *fields])
+                rows.append((mine, *about))
+                held += len(mine)
+                if held > 2 << 20:
+                    yield flush(rows)
+                    rows, held = [], 0
+        if held:
+            yield flush(rows)
 
     def pairs(found: pa.Table) -> pa.Table:
         cols = [[] for _ in range(6)]
@@ -287,9 +308,19 @@ def _candidates(sets: DataFrame, groups: DataFrame, buckets: int, stars: bool) -
 
 def _verified(docs: DataFrame, features: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """The pairs (src, dst) of nodes whose whole sets reach the similarity."""
-    sizes = features.filter("node is not null").select("node", "n_shingles").distinct()
-    pairs = pairs.join(sizes.select(F.col("node").alias("src"), F.col("n_shingles").alias("n1")), "src").join(sizes.select(F.col("node").alias("dst"), F.col("n_shingles").alias("m1")), "dst")
-    pairs = materialize(pairs.filter(f"{DEN} * least(n1, m1) >= {NUM} * greatest(n1, m1)").select("src", "dst"), "pairs")
+    sizes = features.filter("node is not null").select("node", "n_shingles", "counts").dropDuplicates(["node"])
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m, a, b = (batch.column(c).to_pylist() for c in ("n", "m", "a", "b"))
+            bound = [most_shared(x, y) for x, y in zip(a, b, strict=True)]
+            good = [s is None or DEN * s >= NUM * (i + j - s) for s, i, j in zip(bound, n, m, strict=True)]
+            yield batch.select(["src", "dst"]).filter(pa.array(good, pa.bool_()))
+
+    # Sizes and counts of classes rule out most pairs before whole sets are moved.
+    pairs = pairs.join(sizes.select(F.col("node").alias("src"), F.col("n_shingles").alias("n"), F.col("counts").alias("a")), "src")
+    pairs = pairs.join(sizes.select(F.col("node").alias("dst"), F.col("n_shingles").alias("m"), F.col("counts").alias("b")), "dst")
+    pairs = materialize(pairs.filter(f"{DEN} * least(n, m) >= {NUM} * greatest(n, m)").mapInArrow(likely, "src long, dst long"), "pairs")
     nodes = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     chosen = materialize(features.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("chosen_id")), "chosen")
     ids = chosen.select("chosen_id").distinct()

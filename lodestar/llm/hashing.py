@@ -67,11 +67,12 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         lo = hi
 
 
-def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word hashes, first word of each document and the end): documents in order."""
+def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple:
+    """(word hashes, first word of each document and the end): documents in order. With prefixes, lengths in bytes, also
+    a list of (words, hashes of their prefixes) of all words that are longer."""
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return (np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)) + (([],) if prefixes else ())
     inside = ~separators[data]
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True
@@ -84,8 +85,15 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tupl
     total *= _power(_BASE, n)
     np.cumsum(total, out=total)
     before = np.where(at > 0, total[at - 1], np.uint64(0))
-    hashes = (total[to] - before) * _power(_BASE_INV, n)[at]
-    return mix(hashes + (to - at + 1).astype(np.uint64) * _STEP), np.searchsorted(at, offsets)
+    inverse, length = _power(_BASE_INV, n)[at], to - at + 1
+    out = mix((total[to] - before) * inverse + length.astype(np.uint64) * _STEP), np.searchsorted(at, offsets)
+    if not prefixes:
+        return out
+    starts = []
+    for k in prefixes:
+        longer = np.flatnonzero(length > k)
+        starts.append((longer, mix((total[at[longer] + k - 1] - before[longer]) * inverse[longer] ^ np.uint64(0x3C6EF372FE94F82B + k))))
+    return *out, starts
 
 
 def shingles(word: np.ndarray, firsts: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:

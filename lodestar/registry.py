@@ -1,6 +1,6 @@
 """Queries over the driver's tables, and the DuckDB SQL that each must equal where SQL can express it.
 
-Roles: embeddings are chunk and tag vectors (vec_id) and, for vec_id < 10, queries; an order's lineitems are a file, with
+Roles: embeddings are chunk and tag vectors (vec_id) and, where vec_id is divisible by 20, queries; an order's lineitems are a file, with
 brand and type of the part as its tags in order; documents are diaries; conversations are conversations. Doubles are
 rounded to 6 places; weights that are sums of short decimals to 10, so that no tie of rounding decides.
 """
@@ -38,13 +38,13 @@ def r6(c, name: str, places: int = 6):
 # --- inputs
 
 
-def vectors(spark, d, first: int | None = None) -> DataFrame:
-    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
-    return rows if first is None else rows.filter(F.col("item_id") < first)
+def vectors(spark, d) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
 
 
 def asked(spark, d) -> DataFrame:
-    return vectors(spark, d, 10).select(F.col("item_id").alias("query_id"), "vector")
+    """The query set of all searches."""
+    return vectors(spark, d).filter("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "vector")
 
 
 def tagged(spark, d) -> DataFrame:
@@ -102,16 +102,16 @@ TOP = f"{KERNEL}, top AS (SELECT src, dst, p, is_wormhole, rank FROM (SELECT *,
 
 
 @query(f"""SELECT query_id, item_id, round(score, 6) + 0.0 AS score, rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS item_id, {DOT} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {DOT} DESC, b.vec_id) AS rank
-FROM embeddings a, embeddings b WHERE a.vec_id < 10 AND a.vec_id <> b.vec_id AND {DOT} >= 0.2) WHERE rank <= 6""")
+FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id AND {DOT} >= 0.2) WHERE rank <= 6""")
 def knn_topk(spark, d):
     out = similarity.top_k(asked(spark, d), vectors(spark, d), 6, 0.2, exclude_self=True)
     return out.select("query_id", "item_id", r6("score", "score"), "rank")
 
 
 @query(f"""SELECT query_id, item_id, round(score, 6) + 0.0 AS score, rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS item_id, {DOT} / sqrt({V.format('a.embedding', 'a.embedding')}) / sqrt({V.format('b.embedding', 'b.embedding')}) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {DOT} / sqrt({V.format('a.embedding', 'a.embedding')}) / sqrt({V.format('b.embedding', 'b.embedding')}) DESC, b.vec_id) AS rank
-FROM embeddings a, embeddings b WHERE a.vec_id < 10 AND b.vec_id < 150) WHERE rank <= 10""")
+FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0) WHERE rank <= 10""")
 def tag_search_topk(spark, d):
-    return similarity.top_k(asked(spark, d), vectors(spark, d, 150), 10, cosine=True).select("query_id", "item_id", r6("score", "score"), "rank")
+    return similarity.top_k(asked(spark, d), vectors(spark, d), 10, cosine=True).select("query_id", "item_id", r6("score", "score"), "rank")
 
 
 @query(f"""SELECT a.vec_id, round({DOT}, 6) + 0.0 AS dot, round(sqrt({V.format('a.embedding', 'a.embedding')}), 6) + 0.0 AS norm, round({DOT} / (sqrt({V.format('a.embedding', 'a.embedding')}) * sqrt({V.format('b.embedding', 'b.embedding')})), 6) + 0.0 AS cosine
@@ -167,15 +167,15 @@ def neighbor_top20(spark, d):
     return graph.neighbours(graph.kernel(facts(spark, d))).select("src", "dst", r6("p", "p"), "rank")
 
 
-# --- propagation: five queries, each with five seeds
+# --- propagation: every tag is a seed of one of thirty queries
 
 
 def seeds(spark, d) -> DataFrame:
-    ids = tag_names(tagged(spark, d)).filter("tag_id % 30 < 5")
+    ids = tag_names(tagged(spark, d))
     return ids.select((F.col("tag_id") % 30).alias("query_id"), F.col("tag_id").alias("node"), (1 + F.col("tag_id") / 100).alias("weight"), (F.col("tag_id") % 2 == 0).alias("is_core"))
 
 
-SEEDS = "seeds AS (SELECT tag_id % 30 AS query_id, tag_id AS node, 1 + tag_id / 100.0::DOUBLE AS energy, CASE WHEN tag_id % 2 = 0 THEN 'core' ELSE 'seed' END AS source_type FROM tags WHERE tag_id % 30 < 5)"
+SEEDS = "seeds AS (SELECT tag_id % 30 AS query_id, tag_id AS node, 1 + tag_id / 100.0::DOUBLE AS energy, CASE WHEN tag_id % 2 = 0 THEN 'core' ELSE 'seed' END AS source_type FROM tags)"
 _TAPS = vec.fir_weights()
 
 
@@ -236,12 +236,9 @@ def sentence_split(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("sentence", "text")).withColumn("sentence", F.col("sentence").cast("long"))
 
 
-DIARY = "concat('[2026-01-01] - ', lang, chr(10), '[10:00]', chr(10), substr(text, 1, 40), chr(10), 'Tag: old', chr(10), '  Tag： ', source, ' ，  ', lang, '、x  y , ,')"
-
-
 def _diaries(spark, d) -> DataFrame:
     """Documents as diaries with two tag lines."""
-    raw = F.concat(F.lit("[2026-01-01] - "), F.col("lang"), F.lit("\n[10:00]\n"), F.substring("text", 1, 40), F.lit("\nTag: old\n  Tag： "), F.col("source"), F.lit(" ，  "), F.col("lang"), F.lit("、x  y , ,"))
+    raw = F.concat(F.lit("[2026-01-01] - "), F.col("lang"), F.lit("\n[10:00]\n"), F.col("text"), F.lit("\nTag: old\n  Tag： "), F.col("source"), F.lit(" ，  "), F.col("lang"), F.lit("、x  y , ,"))
     return table(spark, d, "documents").select(F.col("doc_id").alias("file"), raw.alias("raw"))
 
 
@@ -410,7 +407,7 @@ def _recalled(spark, d):
     return recall.recall(q, cores, _index(spark, d), config)
 
 
-@query(f"""SELECT query_id, rank, item_id AS chunk_id, round(score, 6) + 0.0 AS score FROM (SELECT a.vec_id AS query_id, b.vec_id AS item_id, {DOT} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {DOT} DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id < 10 AND {DOT} >= 0.4) WHERE rank <= 6""")
+@query(f"""SELECT query_id, rank, item_id AS chunk_id, round(score, 6) + 0.0 AS score FROM (SELECT a.vec_id AS query_id, b.vec_id AS item_id, {DOT} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {DOT} DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND {DOT} >= 0.4) WHERE rank <= 6""")
 def plain_recall(spark, d):
     chunks = vectors(spark, d).select(F.col("item_id").alias("chunk_id"), F.col("item_id").alias("file"), F.lit(0).alias("chunk_index"), F.lit("").alias("content"), "vector")
     return recall.plain(asked(spark, d), chunks).select("query_id", "rank", "chunk_id", r6("score", "score"))
@@ -450,11 +447,11 @@ def throttle(spark, d):
 _ROOM = 2000 - len(inject.HEAD) - len(inject.FOOT)
 
 
-@query(f"""WITH b AS (SELECT lang AS query_id, source AS file, doc_id AS ord, substr(text, 1, 700) AS text, (doc_id % 100) / 100.0::DOUBLE AS score FROM documents WHERE doc_id < 100), r AS (SELECT *, row_number() OVER w AS n FROM b WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, ord)),
+@query(f"""WITH b AS (SELECT lang AS query_id, source AS file, doc_id AS ord, text, (doc_id % 100) / 100.0::DOUBLE AS score FROM documents), r AS (SELECT *, row_number() OVER w AS n FROM b WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, ord)),
 h AS (SELECT *, length(concat(chr(10), '[', n, '] (score ', printf('%.2f', score), ' · ', file, ')', chr(10))) + 1 + length(text) AS cost FROM r), t AS (SELECT *, sum(cost) OVER (PARTITION BY query_id ORDER BY n) AS total FROM h)
-SELECT query_id, count(*) AS used, CAST(sum(cost) AS BIGINT) + {len(inject.HEAD) + len(inject.FOOT)} AS chars FROM t WHERE total <= {_ROOM} GROUP BY query_id""")
+SELECT query_id, count(*) FILTER (WHERE total <= {_ROOM} OR n = 1) AS used, CAST(sum(CASE WHEN total <= {_ROOM} THEN cost WHEN n = 1 THEN {_ROOM} END) AS BIGINT) + {len(inject.HEAD) + len(inject.FOOT)} AS chars FROM t GROUP BY query_id""")
 def memory_block_pack(spark, d):
-    rows = table(spark, d, "documents").filter("doc_id < 100").select(F.col("lang").alias("query_id"), F.col("source").alias("file"), F.col("doc_id").alias("ord"), F.substring("text", 1, 700).alias("text"), (F.col("doc_id") % 100 / 100.0).alias("score"))
+    rows = table(spark, d, "documents").select(F.col("lang").alias("query_id"), F.col("source").alias("file"), F.col("doc_id").alias("ord"), "text", (F.col("doc_id") % 100 / 100.0).alias("score"))
     return inject.packed(rows).select("query_id", "used", F.length("text").cast("long").alias("chars"))
 
 
@@ -462,18 +459,21 @@ def memory_block_pack(spark, d):
 
 
 @query("""SELECT coalesce(a.doc_id, b.doc_id) AS file, CASE WHEN b.doc_id IS NULL THEN 'added' WHEN a.doc_id IS NULL THEN 'deleted' ELSE 'changed' END AS change
-FROM (SELECT doc_id, md5(text) AS m FROM documents WHERE doc_id % 7 <> 0) a FULL JOIN (SELECT doc_id, md5(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS m FROM documents WHERE doc_id % 3 <> 0) b USING (doc_id) WHERE a.m IS DISTINCT FROM b.m""")
+FROM (SELECT doc_id, md5(text) AS m FROM documents) a FULL JOIN (SELECT doc_id, md5(CASE WHEN lang = 'de' THEN text || '!' ELSE text END) AS m FROM documents SEMI JOIN labels USING (doc_id) UNION ALL SELECT -1 - item_id, md5(text) FROM benchmark) b USING (doc_id) WHERE a.m IS DISTINCT FROM b.m""")
 def manifest_diff(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("file"), F.col("text").alias("raw"))
-    before = docs.filter("file % 3 <> 0").withColumn("raw", F.when(F.col("file") % 5 == 0, F.concat("raw", F.lit("!"))).otherwise(F.col("raw")))
-    return store.changes(store.manifest(docs.filter("file % 7 <> 0")), store.manifest(before))
+    """All documents now; before, the labelled ones, German ones with another text, and files that are gone."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("file"), "lang", F.col("text").alias("raw"))
+    before = docs.join(table(spark, d, "labels").select(F.col("doc_id").alias("file")), "file", "left_semi").select("file", F.when(F.col("lang") == "de", F.concat("raw", F.lit("!"))).otherwise(F.col("raw")).alias("raw"))
+    gone = table(spark, d, "benchmark").select((-1 - F.col("item_id")).alias("file"), F.col("text").alias("raw"))
+    return store.changes(store.manifest(docs), store.manifest(before.unionByName(gone)))
 
 
-@query("SELECT doc_id AS file, length(text) + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS size FROM documents WHERE doc_id % 7 <> 0")
+@query("SELECT doc_id AS file, length(text) + CASE WHEN lang = 'de' THEN 1 ELSE 0 END AS size FROM documents WHERE lang <> 'fr'")
 def upsert(spark, d):
-    old = table(spark, d, "documents").select(F.col("doc_id").alias("file"), F.length("text").cast("long").alias("size"))
-    touched = old.filter("file % 5 = 0 or file % 7 = 0")
-    return store.upserted(old, touched.filter("file % 7 <> 0").withColumn("size", F.col("size") + 1), touched)
+    """German files changed, French ones are gone."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("file"), "lang", F.length("text").cast("long").alias("size"))
+    new = docs.filter("lang = 'de'").select("file", (F.col("size") + 1).alias("size"))
+    return store.upserted(docs.select("file", "size"), new, docs.filter("lang in ('de', 'fr')"))
 
 
 @query(f"WITH {OCC} SELECT name, count(*) AS occurrences, count(DISTINCT file) AS files, tag_id IN (SELECT vec_id FROM embeddings) AS vectorized FROM occ JOIN tags USING (tag_id) GROUP BY name, tag_id")
@@ -486,9 +486,9 @@ def audit_unindexed(spark, d):
     return audit.unindexed(table(spark, d, "documents").select(F.col("doc_id").alias("file")), table(spark, d, "labels").select(F.col("doc_id").alias("file")))
 
 
-@query("SELECT DISTINCT doc_id AS file FROM labels ANTI JOIN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) USING (doc_id)")
+@query("SELECT DISTINCT doc_id AS file FROM labels ANTI JOIN (SELECT doc_id FROM documents WHERE lang = 'en') USING (doc_id)")
 def audit_orphans(spark, d):
-    return audit.orphans(table(spark, d, "labels").select(F.col("doc_id").alias("file")), table(spark, d, "documents").filter("doc_id % 2 = 0").select(F.col("doc_id").alias("file")))
+    return audit.orphans(table(spark, d, "labels").select(F.col("doc_id").alias("file")), table(spark, d, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("file")))
 
 
 @query(f"WITH {OCC} SELECT (SELECT count(*) FROM documents) AS diaries, (SELECT count(*) FROM labels) AS chunks, (SELECT count(*) FROM tags) AS tags, (SELECT count(*) FROM tags WHERE tag_id IN (SELECT vec_id FROM embeddings)) AS vectorized_tags")
@@ -515,11 +515,11 @@ def diary_file_names(spark, d):
     return store.file_names(notes).select("o_orderkey", "file")
 
 
-@query("""WITH r AS (SELECT item_id AS request_id, substr(text, 1, 40) AS target FROM benchmark), h AS (SELECT request_id, doc_id, (length(text) - length(replace(text, target, ''))) // length(target) AS n FROM r JOIN documents ON contains(text, target)),
+@query("""WITH r AS (SELECT item_id AS request_id, text AS target FROM benchmark), h AS (SELECT request_id, doc_id, (length(text) - length(replace(text, target, ''))) // length(target) AS n FROM r JOIN documents ON contains(text, target)),
 b AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY doc_id DESC) = 1) SELECT request_id, CASE WHEN n = 1 THEN doc_id END AS file, CASE WHEN n IS NULL THEN 'not found' WHEN n > 1 THEN 'ambiguous' END AS error FROM r LEFT JOIN b USING (request_id)""")
 def update_diary(spark, d):
     files = table(spark, d, "documents").select(F.col("doc_id").alias("file"), F.col("text").alias("raw"), F.col("doc_id").alias("mtime"))
-    requests = table(spark, d, "benchmark").select(F.col("item_id").alias("request_id"), F.substring("text", 1, 40).alias("target"), F.lit("new").alias("replacement"))
+    requests = table(spark, d, "benchmark").select(F.col("item_id").alias("request_id"), F.col("text").alias("target"), F.lit("new").alias("replacement"))
     return store.updates(files, requests).select("request_id", "file", "error")
 
 

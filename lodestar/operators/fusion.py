@@ -73,3 +73,11 @@ def matched_tags(rows: DataFrame, c: Config = Config()) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("weight"), "tag_id")).cast("long")
     rows = rows.withColumn("rank", rank).filter(F.col("rank") <= c.fusion.matched_tags)
     return rows.select("query_id", "rank", name.alias("tag"), "weight", "level", "source_type", "hop", notation(F.col("name"), F.col("tag_id").cast("string"), F.col("weight"), F.col("source_type"), F.col("hop").cast("string")).alias("notation"))
+
+
+def level_tags(levels: DataFrame, tags: DataFrame, limit: int = 8) -> DataFrame:
+    """(query_id, rank, tag, weight): tags of all pyramid levels by name at their largest contribution, without a graph."""
+    each = levels.select("query_id", "level", F.inline("tags")).join(tags.select("tag_id", "name"), "tag_id")
+    best = each.groupBy("query_id", F.col("name").alias("tag")).agg(F.max("contribution").alias("weight"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("weight"), "tag")).cast("long")
+    return best.withColumn("rank", rank).filter(F.col("rank") <= limit).select("query_id", "rank", "tag", "weight")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.config import Injection
+from lodestar.config import Config, Injection
 from lodestar.functions import vec
+from lodestar.plans.recall import recall
+from lodestar.tables import written
 
 # The wrapping of remembered context.
 HEAD, FOOT = "<memory>\nRemembered from earlier conversations, for reference:\n\n", "</memory>"
@@ -49,3 +53,20 @@ def packed(blocks: DataFrame, max_chars: int = Injection.max_chars) -> DataFrame
     parts = F.array_sort(F.collect_list(F.when(F.col("body").isNotNull(), F.struct("n", F.concat("head", "body", F.lit("\n")).alias("part")))))
     out = rows.groupBy("query_id").agg(parts.alias("parts"))  # as many as fit the budget
     return out.select("query_id", F.size("parts").cast("long").alias("used"), F.concat(F.lit(HEAD), F.array_join(F.transform("parts", lambda p: p["part"]), ""), F.lit(FOOT)).alias("text"))
+
+
+def injected(turns: DataFrame, embedded, index, c: Config = Config()) -> DataFrame:
+    """(conv_id, turn, used, text): remembered context for the eligible turns that are not throttled.
+
+    embedded: a function of a DataFrame and a text column that adds `vector`. Structural supplements, which lie below the
+    floor, are left out again. A turn whose text has no vector, or that nothing resembles, gets none.
+    """
+    seeds = throttled(eligible(turns)).filter("not skip").withColumn("query_id", F.xxhash64("conv_id", "turn"))
+    users = embedded(seeds.select("query_id", "user_text"), "user_text").select("query_id", F.col("vector").alias("user_vector"))
+    others = embedded(seeds.filter("assistant_text is not null").select("query_id", "assistant_text"), "assistant_text").select("query_id", F.col("vector").alias("assistant_vector"))
+    rows = combined(users.join(others, "query_id", "left"), c.injection).filter("vector is not null").select("query_id", "vector")
+    rows = written(rows, "seeds")
+    options = replace(c, recall=replace(c.recall, k=c.injection.k, floor=c.injection.floor))
+    blocks = recall(rows, rows.select("query_id", F.lit(None).cast("string").alias("name")).limit(0), index, options)[0]
+    blocks = blocks.filter(F.col("score") >= c.injection.floor).withColumn("ord", F.col("chunk_id"))
+    return seeds.select("conv_id", "turn", "query_id").join(packed(blocks, c.injection.max_chars), "query_id").drop("query_id")

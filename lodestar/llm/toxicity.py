@@ -85,7 +85,7 @@ def fit_linear(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     for _ in range(STEPS):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
         gradient = x.T @ (p - y) + penalty * w
-        hessian = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + np.diag(penalty)
+        hessian = (x * np.maximum(p * (1 - p), 1e-6).astype(x.dtype)[:, None]).T @ x + np.diag(penalty)
         step = np.linalg.solve(hessian, gradient)
         w -= step
         if np.abs(step).max() < 1e-4:
@@ -98,7 +98,7 @@ def fit_chain(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> list[np.ndarray
     weights, earlier = [], np.zeros((len(y), 0))
     ones = np.ones((len(y), 1))
     for k in range(y.shape[1]):
-        mine = np.concatenate([x, earlier, ones], axis=1)
+        mine = np.concatenate([x, earlier, ones], axis=1, dtype=np.float32)  # with its copies, what the driver holds most
         weights.append(fit_linear(mine, y[:, k]))
         held = np.zeros(len(y))
         for f in np.unique(fold):

@@ -27,7 +27,7 @@ from lodestar.llm.encoding import Encoder
 
 CAPACITY, END_ID = 2048, 0
 #: Parts that the pieces of one size are ranked in.
-SALTS = 16
+SALTS = 64
 #: Exchanges tried for the emptiest bins.
 MAX_MOVES = 20_000
 

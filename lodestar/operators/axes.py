@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.config import Axes
+from lodestar.tables import written
 
 
 @dataclass
@@ -26,7 +27,7 @@ def train(tags: DataFrame, c: Axes = Axes()) -> Basis | None:
     driver are sums of at most `clusters` vectors. The first centroids are the tags of the smallest hash, so training gives
     the same axes each time.
     """
-    known = tags.filter("vector is not null").select("tag_id", "name", F.col("vector").cast("array<double>").alias("vector"))
+    known = written(tags.filter("vector is not null").select("tag_id", "name", F.col("vector").cast("array<double>").alias("vector")), "axis-tags")
     n = known.count()
     if n < c.min_tags:
         return None
@@ -53,10 +54,9 @@ def train(tags: DataFrame, c: Axes = Axes()) -> Basis | None:
         centroids = fresh
         if moved < 1e-4:
             break
-    names = []
-    for row in centroids:
-        score = F.aggregate(F.zip_with(F.col("vector"), F.lit(row.tolist()), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-        names.append(known.select("name", "tag_id", score.alias("s")).orderBy(F.desc("s"), "tag_id").first()["name"])
+    score = lambda row: F.aggregate(F.zip_with(F.col("vector"), F.lit(row.tolist()), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    nearest = known.agg(*(F.max_by("name", F.struct(score(row), -F.col("tag_id"))).alias(f"c{i}") for i, row in enumerate(centroids))).first()
+    names = list(nearest)
     return principal_axes(centroids, sizes, names, c)
 
 

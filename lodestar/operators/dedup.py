@@ -91,19 +91,24 @@ def semantic_dedup(candidates: DataFrame, queries: DataFrame, threshold: float =
         query = _unit(rows["query_vector"].iloc[0])
         units = [_unit(v) for v in rows["vector"]]
         near = [float(u @ query) if u is not None and query is not None and len(u) == len(query) else -1.0 for u in units]
-        order = sorted(range(len(rows)), key=lambda i: (-near[i], -rows["score"].iloc[i], -rows["priority"].iloc[i], rows["ord"].iloc[i]))
+        score, priority, place = (rows[c].tolist() for c in ("score", "priority", "ord"))
+        order = sorted(range(len(rows)), key=lambda i: (-near[i], -score[i], -priority[i], place[i]))
         kept: list[int] = []
-        matrix: list[np.ndarray] = []
+        known: dict[int, tuple[np.ndarray, int]] = {}  # by dimension: unit vectors kept so far, in a matrix that doubles
         for i in order:
             if len(kept) >= limit:
                 break
             u = units[i]
-            if u is not None and any(len(m) == len(u) and float(m @ u) >= threshold for m in matrix):
-                continue
-            kept.append(i)
             if u is not None:
-                matrix.append(u)
-        return rows.iloc[sorted(kept, key=lambda i: (-rows["priority"].iloc[i], -rows["score"].iloc[i], rows["ord"].iloc[i]))][columns]
+                matrix, n = known.get(len(u), (np.empty((16, len(u))), 0))
+                if n and float((matrix[:n] @ u).max()) >= threshold:
+                    continue
+                if n == len(matrix):
+                    matrix = np.concatenate([matrix, np.empty_like(matrix)])
+                matrix[n] = u
+                known[len(u)] = matrix, n + 1
+            kept.append(i)
+        return rows.iloc[sorted(kept, key=lambda i: (-priority[i], -score[i], place[i]))][columns]
 
     return joined.groupBy("query_id").applyInPandas(run, candidates.schema)
 

@@ -1,7 +1,7 @@
 """Secret scans: fixed credential patterns, and password guess-cost dynamic programming on credential-context values.
 
-Every value that stands in a credential context (a key such as password or auth, then : or =) is cut into segments of
-least total guess cost (log10 of guesses): common words with capitals and letter substitutions, dates, repeats of a
+Every value that stands in a credential context (a key such as password or auth, then : or =, or a Bearer header) is
+taken whole, to white space or its closing quote, symbols included, and cut into segments of least total guess cost (log10 of guesses): common words with capitals and letter substitutions, dates, repeats of a
 unit, keyboard walks and alphabet runs, and brute-force characters. A value whose cheapest cut costs GUESS_LEAST or
 more can't be a placeholder or an easily guessed word and is reported as kind guess.
 
@@ -27,8 +27,11 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ASSIGN_HINTS = ("passw", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_MORE = re.compile(r"""(?:pwd|passphrase|credentials?|auth|bearer|access_?key|private_?key|client_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{6,})""", re.I | re.A)
-_MORE_HINTS = ("pwd", "passphrase", "credential", "auth", "bearer", "key")
+_KEY = re.compile(r"""(?:(?:password|passwd|pwd|passphrase|secret|token|credentials?|auth|authorization|bearer|(?:api|access|private|client)_?key)["']?\x20*[:=]\x20*|(?<![^\W_])bearer\x20+(?=\S*\d))""", re.I)
+_KEY_HINTS = ("pass", "pwd", "secret", "token", "credential", "auth", "bearer", "key")
+# A scheme is no part of the value. In quotes the value is what stands between them on a line, else what white space ends,
+# or a quote with white space or closing signs after it.
+_VALUE = re.compile(r"""(?P<quote>["'])(?:(?:bearer|basic)\x20+)?(?P<quoted>(?:[^"'\\\r\n]|\\.|(?!(?P=quote))["']|["'](?=\w))+)(?P=quote)|["']?(?:(?:bearer|basic)\x20+)?(?P<bare>(?:[^\s"'`]|["'`](?![\s,;:.?)\]}>/<&"'`]|\Z))+)""", re.I)
 
 # Words that guessers try first, in rough order of frequency.
 COMMON = """password admin welcome login letmein monkey dragon master qwerty sunshine princess football baseball shadow
@@ -104,31 +107,41 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
+def _values(text: str) -> Iterator[tuple[int, int, int]]:
+    """(start of the key, start, end) of the whole values in credential contexts; none that lies in the one before."""
+    last = 0
+    for key in _KEY.finditer(text):
+        if key.end() < last and text[key.end()] not in "\"'":
+            continue
+        if m := _VALUE.match(text, key.end()):
+            start, end = m.span("bare" if m["quoted"] is None else "quoted")
+            if end > last:
+                last = end
+                yield key.start(), start, end
+
+
 def spans(text: str | None) -> list[tuple[int, int, int]]:
     """(start, place of the kind in KINDS, end), sorted: base spans of each kind, and values that are hard to guess."""
     text = text or ""
-    low, out, values = text.lower(), [], []
+    low, out = text.lower(), []
     if any(h in low for h in _ASSIGN_HINTS):
-        for m in _ASSIGN.finditer(text):
-            if len(m[2]) >= 6:
-                out.append((m.start(), 0, m.end()))
-                values.append(m.span(2))
+        out += [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
     if "AKIA" in text:
         out += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)]
     out += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
-    if any(h in low for h in _MORE_HINTS):
-        values += [m.span(1) for m in _MORE.finditer(text)]
-    out += [(a, 3, b) for a, b in set(values) if guess_cost(text[a:b]) >= GUESS_LEAST]
+    if any(h in low for h in _KEY_HINTS):
+        out += [(a, 3, b) for _, a, b in _values(text) if guess_cost(text[a:b]) >= GUESS_LEAST]
     return sorted(out)
 
 
 def redacted(text: str, found: list[tuple[int, int, int]]) -> str:
-    """text with every span, or union of overlapping spans, replaced."""
+    """text with every span, or union of overlapping spans, replaced; a span of kind assign to the end of its value."""
     out, at = [], 0
-    for start, _, end in found:
+    whole = {key: end for key, _, end in _values(text)} if any(k == 0 for _, k, _ in found) else {}
+    for start, kind, end in found:
         if start >= at:
             out += [text[at:start], REPLACEMENT]
-        at = max(at, end)
+        at = max(at, end, whole.get(start, 0) if kind == 0 else 0)
     return "".join([*out, text[at:]])
 
 

@@ -29,8 +29,9 @@ class Index:
     basis: axes.Basis | None
 
 
-#: Candidates of a query above the floor that enter the suppression of near-duplicates, which keeps as many at most.
-POOL = Config().recall.max_results
+#: Candidates of a query above the floor that enter the suppression of near-duplicates first, and how the number grows for
+#: queries with too few survivors.
+POOL, GROWTH = Config().recall.max_results, 8
 
 
 def plain(queries: DataFrame, chunks: DataFrame, c: Config = Config()) -> DataFrame:
@@ -40,6 +41,33 @@ def plain(queries: DataFrame, chunks: DataFrame, c: Config = Config()) -> DataFr
     return rows.select("query_id", "rank", F.col("item_id").alias("chunk_id"), "file", "chunk_index", "score", "text", F.lit(False).alias("via_structure"))
 
 
+def survivors(queries: DataFrame, detail: DataFrame, need: int, floor: float | None, threshold: float, limit: int = Config().recall.max_results) -> DataFrame:
+    """(query_id, rank, ord, score, priority, and columns of detail): the `need` best candidates of queries (query_id,
+    vector) at or above the floor that remain when equal texts and near-duplicates are suppressed, `limit` at most.
+
+    detail: (item_id, text, vector of length 1, ...), so that the score gives the order of suppression and the survivors
+    among the best candidates are those among all. A query with too few survivors and candidates left is searched again
+    with a larger pool, so no number of copies hides what ranks behind them; only pools of copies grow so.
+    """
+    others = [x for x in detail.columns if x != "item_id"]
+    asked, pool, out = queries.select("query_id", "vector"), POOL, None
+    while True:
+        near = written(top_k(asked, detail.select("item_id", "vector"), pool, floor), "near")
+        rows = near.join(detail.withColumn("vector", F.col("vector").cast("array<double>")), "item_id")
+        rows = rows.select("query_id", F.col("item_id").alias("ord"), "score", F.lit(50).alias("priority"), *others, normalize_text(F.col("text")).alias("norm_text"))
+        kept = written(semantic_dedup(hard_dedup_ranked(rows), asked, threshold, limit), "survivors")
+        full = near.groupBy("query_id").count().filter(F.col("count") >= pool)
+        enough = kept.groupBy("query_id").count().filter(F.col("count") >= min(need, limit))
+        again = written(asked.join(full, "query_id", "left_semi").join(enough, "query_id", "left_anti"), "again")
+        settled = kept.join(again, "query_id", "left_anti")
+        out = settled if out is None else out.unionByName(settled)
+        if again.isEmpty():
+            break
+        asked, pool = again, pool * GROWTH
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "ord")).cast("long")
+    return out.withColumn("rank", rank).filter(F.col("rank") <= need).drop("norm_text")
+
+
 @dataclass
 class Wave:
     fused: DataFrame
@@ -72,9 +100,8 @@ def recall(queries: DataFrame, cores: DataFrame, index: Index, c: Config = Confi
         return blocks, queries.sparkSession.createDataFrame([], "query_id long, rank long, tag string, weight double, level int, source_type string, hop int, notation string"), queries.select("query_id", F.lit(False).alias("fused"))
     w = wave(queries, cores, index, c)
     fused = written(w.fused, "fused")
-    items = index.chunks.select(F.col("chunk_id").alias("item_id"), "vector")
     detail = index.chunks.select(F.col("chunk_id").alias("item_id"), "file", "chunk_index", F.col("content").alias("text"), F.col("vector").cast("array<double>").alias("vector"))
-    near = top_k(fused, items, POOL, c.recall.floor).join(detail, "item_id").withColumn("via_structure", F.lit(False))
+    near = survivors(fused.filter("fused"), detail, c.recall.k, c.recall.floor, c.recall.dedup, c.recall.max_results).withColumn("via_structure", F.lit(False))
 
     strongest = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("energy"), "node"))
     nodes = w.field.filter("energy > 0").withColumn("r", strongest).filter(F.col("r") <= c.spread.max_emergent).select("query_id", F.col("node").alias("tag_id"))
@@ -83,13 +110,11 @@ def recall(queries: DataFrame, cores: DataFrame, index: Index, c: Config = Confi
     touched = files.join(detail, "file").join(fused.select("query_id", F.col("vector").alias("q")), "query_id")
     touched = touched.withColumn("score", vec.dot(F.col("q"), F.col("vector"))).filter(F.col("score") < c.recall.floor).withColumn("rank", F.lit(0).cast("long")).withColumn("via_structure", F.lit(True)).drop("q")
 
-    out = None
-    for rows, limit in ((near, c.recall.k), (touched, c.recall.supplement)):
-        rows = rows.select("query_id", F.col("item_id").alias("ord"), "score", F.lit(50).alias("priority"), "file", "chunk_index", "text", "vector", "via_structure", normalize_text(F.col("text")).alias("norm_text"))
-        kept = semantic_dedup(hard_dedup_ranked(rows), fused, c.recall.dedup, c.recall.max_results)
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "ord")).cast("long")
-        kept = kept.withColumn("rank", rank).filter(F.col("rank") <= limit).select("query_id", "rank", F.col("ord").alias("chunk_id"), "file", "chunk_index", "score", "text", "via_structure")
-        out = kept if out is None else out.unionByName(kept)
+    rows = touched.select("query_id", F.col("item_id").alias("ord"), "score", F.lit(50).alias("priority"), "file", "chunk_index", "text", "vector", "via_structure", normalize_text(F.col("text")).alias("norm_text"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "ord")).cast("long")
+    linked = semantic_dedup(hard_dedup_ranked(rows), fused, c.recall.dedup, c.recall.max_results).withColumn("rank", rank).filter(F.col("rank") <= c.recall.supplement)
+    columns = ["query_id", "rank", F.col("ord").alias("chunk_id"), "file", "chunk_index", "score", "text", "via_structure"]
+    out = near.select(columns).unionByName(linked.select(columns))
     unfused = plain(queries.join(fused.filter("not fused").select("query_id"), "query_id", "left_semi"), index.chunks, c)
     blocks = out.join(fused.filter("fused").select("query_id"), "query_id", "left_semi").unionByName(unfused)
     matched = fusion.matched_tags(w.tags.join(fused.filter("fused").select("query_id"), "query_id", "left_semi"), c)

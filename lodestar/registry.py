@@ -313,9 +313,8 @@ def dedup_preference(spark, d):
 
 @query()
 def semantic_dedup(spark, d):
-    near = similarity.top_k(asked(spark, d), vectors(spark, d), 40).join(vectors(spark, d), "item_id")
-    rows = near.select("query_id", F.col("item_id").alias("ord"), "score", F.lit(50).alias("priority"), F.col("vector").cast("array<double>").alias("vector"))
-    return dedup.semantic_dedup(rows, asked(spark, d), 0.3).select("query_id", "ord", r6("score", "score"))
+    detail = vectors(spark, d).withColumn("text", F.col("item_id").cast("string"))
+    return recall.survivors(asked(spark, d), detail, 40, None, 0.3).select("query_id", "ord", r6("score", "score"))
 
 
 # --- axes and pyramid

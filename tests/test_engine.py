@@ -295,6 +295,23 @@ def test_recall_adds_only(spark):
     assert {tuple(r) for r in off[0].collect()} == {tuple(r) for r in recall.plain(q, chunks).collect()}
 
 
+def test_copies_hide_no_results(spark):
+    """More near-equal chunks than the first pool holds, before eight that differ."""
+    tags = _tags(spark, 24)
+    rng = np.random.default_rng(17)
+    q = np.array(tags.collect()[0]["vector"], float)
+    q /= np.linalg.norm(q)
+    unit = lambda v: [float(x) for x in v / np.linalg.norm(v)]
+    rows = [unit(q + rng.normal(size=16) * 0.001) for _ in range(recall.POOL + 200)] + [unit(q * 0.8 + rng.normal(size=16) * 0.35) for _ in range(8)]
+    chunks = spark.createDataFrame([(i, f"f{i}", 0, f"text {i}", v) for i, v in enumerate(rows)], "chunk_id long, file string, chunk_index int, content string, vector array<double>")
+    occ = graph.occurrences(spark.createDataFrame([(f"f{i}", int(rng.integers(0, 24)), p + 1) for i in range(40) for p in range(4)], "file string, tag_id long, pos int"))
+    index = recall.Index(chunks, tags, occ.select("file", "tag_id"), graph.kernel(graph.fact_matrix(occ, tags)), axes.train(tags))
+    queries = spark.createDataFrame([(0, unit(q))], "query_id long, vector array<double>")
+    cores = spark.createDataFrame([], "query_id long, name string")
+    blocks = recall.recall(queries, cores, index, config.merged({"recall": {"floor": 0.1}}))[0].filter("not via_structure").collect()
+    assert len(blocks) == 6 and sum(r["chunk_id"] < recall.POOL + 200 for r in blocks) == 1
+
+
 def test_virtual_core(spark):
     tags = spark.createDataFrame([(1, "a", [1.0]), (2, "Core", [1.0])], "tag_id long, name string, vector array<double>")
     seed = spark.createDataFrame([(0, 1, 1.0, False, 0)], "query_id long, tag_id long, weight double, is_core boolean, level int")

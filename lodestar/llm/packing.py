@@ -13,6 +13,8 @@ carried; an empty table gives no rows; other columns of the input are ignored.
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -28,8 +30,6 @@ from lodestar.llm.encoding import Encoder
 CAPACITY, END_ID = 2048, 0
 #: Parts that the pieces of one size are ranked in.
 SALTS = 64
-#: Exchanges tried for the emptiest bins.
-MAX_MOVES = 20_000
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -91,45 +91,108 @@ def _transfer(giver: dict[int, int], taker: dict[int, int], free: int) -> tuple[
     return best
 
 
+def _sums(pattern: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of a pattern, and sums of two of its pieces."""
+    ones = sorted(pattern)
+    twos = {a + b for i, a in enumerate(ones) for b in ones[i:] if a != b or pattern[a] > 1}
+    return np.array(ones, np.int64), np.array(sorted(twos), np.int64)
+
+
+def _first(giver: tuple[np.ndarray, np.ndarray], takers: list[tuple[int, tuple[np.ndarray, np.ndarray]]]) -> int | None:
+    """Place of the first of takers (free space, sums) that has an exchange with giver."""
+    free = np.array([f for f, _ in takers])
+    fits = giver[0][0] <= free
+    for given, n in ((giver[0], 0), (giver[1], 0), (giver[0], 1)):
+        back = [t[n] for _, t in takers]
+        sizes = [len(x) for x in back]
+        gain = given[:, None] - np.concatenate(back)[None, :]
+        good = ((gain > 0) & (gain <= np.repeat(free, sizes))).any(axis=0)
+        fits[np.repeat(np.arange(len(takers)), sizes)[good]] = True
+    return int(fits.argmax()) if fits.any() else None
+
+
 def local_search(patterns: list[tuple[dict[int, int], int]], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Empty the least filled bins into the other underfull ones while the sum of squared fills can grow."""
-    fill = lambda p: sum(s * n for s, n in p.items())
-    done = [x for x in patterns if fill(x[0]) == capacity]
-    under = [x for x in patterns if fill(x[0]) < capacity]
-    stuck, moves = [], 0
-    while under and moves < MAX_MOVES:
-        spare = sum((capacity - fill(p)) * n for p, n in [*under, *stuck])
-        if spare < capacity:  # no bin can become empty
-            break
-        under.sort(key=lambda x: fill(x[0]))
-        giver, bins = under.pop(0)
-        if bins > 1:
-            under.insert(0, (giver, bins - 1))
-        giver = dict(giver)
-        while giver and moves < MAX_MOVES:
-            moves += 1
-            found = None
-            for at in sorted(range(len(under)), key=lambda i: -fill(under[i][0])):
-                taker, bins = under[at]
-                if fill(taker) >= fill(giver) and (found := _transfer(giver, taker, capacity - fill(taker))):
-                    break
-            if not found:
+    """Empty the least filled bins into the other underfull ones while the sum of squared fills can grow.
+
+    An exchange is made in as many bins at once as both patterns have. A pattern without one is set aside with all its
+    copies and later tried with patterns that came after, so each pair is tried once. It ends when no pair has an exchange,
+    or when the free space is below one bin's, as then no packing has fewer bins.
+    """
+    counts: Counter[tuple] = Counter()
+    fills: dict[tuple, int] = {}
+    sums: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+    live: list[tuple[int, tuple]] = []  # underfull patterns, fullest first
+    active: list[tuple[int, tuple]] = []
+    born: dict[tuple, int] = {}  # when the pattern came up last
+    tried: dict[tuple, int] = {}  # it has no exchange with any that came up before
+    aside: set[tuple] = set()
+    clock = 0
+
+    def add(pattern: dict[int, int], n: int) -> None:
+        nonlocal clock
+        if not (k := tuple(sorted(pattern.items()))):
+            return
+        had = counts[k]
+        counts[k] += n
+        if k not in fills:
+            fills[k] = sum(s * c for s, c in k)
+        if fills[k] < capacity and had < 2:  # one alone could not be tried with itself
+            clock += 1
+            born[k] = clock
+            if k not in sums:
+                sums[k] = _sums(dict(k))
+            if not had:
+                bisect.insort(live, (-fills[k], k))
+            heapq.heappush(active, (fills[k], k))
+
+    def take(k: tuple, n: int) -> None:
+        counts[k] -= n
+        if not counts[k]:
+            del live[bisect.bisect_left(live, (-fills[k], k))]
+
+    for pattern, n in patterns:
+        add(pattern, n)
+    spare = sum((capacity - fills[k]) * n for k, n in counts.items())
+    while spare >= capacity:
+        if not active:
+            active = [(fills[k], k) for k in aside if counts[k] and tried[k] < clock]
+            heapq.heapify(active)
+            aside = set()
+            if not active:
                 break
-            _, given, back = found
-            changed = Counter(taker)
-            changed.update(given)
-            changed.subtract(back)
-            rest = Counter(giver)
-            rest.subtract(given)
-            rest.update(back)
-            giver, changed = +rest, +changed
-            under[at : at + 1] = [(taker, bins - 1)] if bins > 1 else []
-            (done if fill(changed) == capacity else under).append((dict(changed), 1))
-        if giver:
-            stuck.append((dict(giver), 1))
-            if len(stuck) > 64:
+        level, giver = heapq.heappop(active)
+        if not counts[giver]:
+            continue
+        since = tried.get(giver, 0)
+        takers = [k for f, k in live[: bisect.bisect_right(live, -level, key=lambda x: x[0])] if born[k] > since and counts[k] > (k == giver)]
+        takers.sort(key=lambda k: -(counts[k] // 2 if k == giver else min(counts[k], counts[giver])))  # many bins at once first, among them the fullest
+        taker, at, step = None, 0, 32
+        while at < len(takers):
+            some = takers[at : at + step]
+            if (place := _first(sums[giver], [(capacity - fills[k], sums[k]) for k in some])) is not None:
+                taker = some[place]
                 break
-    return done + under + stuck
+            at, step = at + step, step * 4
+        if taker is None:
+            tried[giver] = clock
+            aside.add(giver)
+            continue
+        _, given, back = _transfer(dict(giver), dict(taker), capacity - fills[taker])
+        rest, changed = Counter(dict(giver)), Counter(dict(taker))
+        rest.subtract(given)
+        rest.update(back)
+        changed.subtract(back)
+        changed.update(given)
+        bins = counts[giver] // 2 if taker == giver else min(counts[giver], counts[taker])
+        take(giver, bins)
+        take(taker, bins)
+        if counts[giver]:
+            heapq.heappush(active, (level, giver))
+        if not +rest:
+            spare -= capacity * bins
+        add(+rest, bins)
+        add(+changed, bins)
+    return [(dict(k), n) for k, n in counts.items() if n]
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:

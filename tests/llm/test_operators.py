@@ -331,6 +331,12 @@ def test_packing(spark, request, name):
     assert len(bins) <= -(-total // 2048) + 1
 
 
+def test_packing_search_is_not_stopped_by_copies():
+    for n in (2, 100, 10**6):
+        found = packing.local_search([({51: 1}, n), ({90: 1, 5: 1}, n), ({95: 1}, n)], 100)
+        assert sorted((sorted(p.items()), c) for p, c in found) == [([(5, 1), (95, 1)], n), ([(51, 1)], n), ([(90, 1)], n)]
+
+
 def test_packing_search_empties_bins():
     bins = [({6: 1}, 1), ({5: 1}, 1), ({7: 1}, 1), ({2: 1}, 1)]
     found = packing.local_search(bins, 10)

@@ -46,18 +46,53 @@ bsd|0bsd|3|(?:zero clause bsd|bsd zero clause|0 clause bsd)
 bsd|bsd|2|(?:the )?bsd licen[sc]e
 bsd|bsd|1|bsd style
 isc|isc|2|(?:the )?isc licen[sc]e
-gpl|gpl-3.0-or-later|3|gpl ?(?:v|version)? ?3(?: 0)? or (?:any )?later
-gpl|gpl-2.0-or-later|3|gpl ?(?:v|version)? ?2(?: 0)? or (?:any )?later
-gpl|gpl-3.0|3|gnu gpl ?(?:v|version)? ?3(?: 0)?
-gpl|gpl-2.0|3|gnu gpl ?(?:v|version)? ?2(?: 0)?
+gpl|gpl-3.0-or-later|3|gpl (?:v|version)? ?3(?: 0)? or (?:any )?later
+gplv3|gpl-3.0-or-later|3|gplv3(?: 0)? or (?:any )?later
+gpl3|gpl-3.0-or-later|3|gpl3(?: 0)? or (?:any )?later
+gplversion3|gpl-3.0-or-later|3|gplversion3(?: 0)? or (?:any )?later
+gplv|gpl-3.0-or-later|3|gplv 3(?: 0)? or (?:any )?later
+gplversion|gpl-3.0-or-later|3|gplversion 3(?: 0)? or (?:any )?later
+gpl|gpl-2.0-or-later|3|gpl (?:v|version)? ?2(?: 0)? or (?:any )?later
+gplv2|gpl-2.0-or-later|3|gplv2(?: 0)? or (?:any )?later
+gpl2|gpl-2.0-or-later|3|gpl2(?: 0)? or (?:any )?later
+gplversion2|gpl-2.0-or-later|3|gplversion2(?: 0)? or (?:any )?later
+gplv|gpl-2.0-or-later|3|gplv 2(?: 0)? or (?:any )?later
+gplversion|gpl-2.0-or-later|3|gplversion 2(?: 0)? or (?:any )?later
+gpl|gpl-3.0|3|gnu gpl (?:v|version)? ?3(?: 0)?
+gplv3|gpl-3.0|3|gnu gplv3(?: 0)?
+gpl3|gpl-3.0|3|gnu gpl3(?: 0)?
+gplversion3|gpl-3.0|3|gnu gplversion3(?: 0)?
+gplv|gpl-3.0|3|gnu gplv 3(?: 0)?
+gplversion|gpl-3.0|3|gnu gplversion 3(?: 0)?
+gpl|gpl-2.0|3|gnu gpl (?:v|version)? ?2(?: 0)?
+gplv2|gpl-2.0|3|gnu gplv2(?: 0)?
+gpl2|gpl-2.0|3|gnu gpl2(?: 0)?
+gplversion2|gpl-2.0|3|gnu gplversion2(?: 0)?
+gplv|gpl-2.0|3|gnu gplv 2(?: 0)?
+gplversion|gpl-2.0|3|gnu gplversion 2(?: 0)?
 gpl|gpl|2|gnu gpl
 gpl|gpl|1|(?:under|the) gpl
 gplv2|gpl-2.0|3|gplv2
 gplv3|gpl-3.0|3|gplv3
-lgpl|lgpl-2.1|3|lgpl ?(?:v|version)? ?2 1
-lgpl|lgpl-3.0|3|lgpl ?(?:v|version)? ?3(?: 0)?
+lgpl|lgpl-2.1|3|lgpl (?:v|version)? ?2 1
+lgplv2|lgpl-2.1|3|lgplv2 1
+lgpl2|lgpl-2.1|3|lgpl2 1
+lgplversion2|lgpl-2.1|3|lgplversion2 1
+lgplv|lgpl-2.1|3|lgplv 2 1
+lgplversion|lgpl-2.1|3|lgplversion 2 1
+lgpl|lgpl-3.0|3|lgpl (?:v|version)? ?3(?: 0)?
+lgplv3|lgpl-3.0|3|lgplv3(?: 0)?
+lgpl3|lgpl-3.0|3|lgpl3(?: 0)?
+lgplversion3|lgpl-3.0|3|lgplversion3(?: 0)?
+lgplv|lgpl-3.0|3|lgplv 3(?: 0)?
+lgplversion|lgpl-3.0|3|lgplversion 3(?: 0)?
 lgpl|lgpl|2|(?:gnu )?lgpl
-agpl|agpl-3.0|3|agpl ?(?:v|version)? ?3(?: 0)?
+agpl|agpl-3.0|3|agpl (?:v|version)? ?3(?: 0)?
+agplv3|agpl-3.0|3|agplv3(?: 0)?
+agpl3|agpl-3.0|3|agpl3(?: 0)?
+agplversion3|agpl-3.0|3|agplversion3(?: 0)?
+agplv|agpl-3.0|3|agplv 3(?: 0)?
+agplversion|agpl-3.0|3|agplversion 3(?: 0)?
 agpl|agpl|2|(?:gnu )?agpl
 general|gpl-3.0-or-later|3|(?:gnu )?general public licen[sc]e(?: as published by the free software foundation)?(?: either)? (?:v|version )3(?: 0)?(?: of the licen[sc]e)? or (?:at your option )?(?:any )?later(?: version)?
 general|gpl-2.0-or-later|3|(?:gnu )?general public licen[sc]e(?: as published by the free software foundation)?(?: either)? (?:v|version )2(?: 0)?(?: of the licen[sc]e)? or (?:at your option )?(?:any )?later(?: version)?
@@ -130,7 +165,7 @@ sun|spl-1.0|3|sun public licen[sc]e
 sun|sissl|3|sun industry standards source licen[sc]e
 nokia|nokia|2|nokia open source licen[sc]e
 netscape|npl-1.1|2|netscape public licen[sc]e
-qt|qpl-1.0|2|q(?:t)? public licen[sc]e
+qt|qpl-1.0|2|qt public licen[sc]e
 q|qpl-1.0|2|q public licen[sc]e
 sleepycat|sleepycat|2|sleepycat licen[sc]e
 lucent|lpl-1.02|2|lucent public licen[sc]e
@@ -192,8 +227,8 @@ spdx|spdx-tag|1|spdx licen[sc]e identifier
 copyright|reserved|3|copyright (?:c )?(?:\\S+ ){0,6}all rights reserved
 copyright|copyright|1|copyright (?:c )?(?:19|20)\\d\\d(?: (?:19|20)\\d\\d)*
 copyrighted|copyright|1|copyrighted (?:material|work|by)
-rights|reserved|2|(?:no rights granted|all rights are reserved|toute reproduction interdite|some rights reserved)
-reserved|reserved|2|(?:alle rechte vorbehalten|todos los derechos reservados|tous droits r\\S+s)
+rights|reserved|2|(?:no rights granted|all rights are reserved|some rights reserved)
+interdite|reserved|2|toute reproduction interdite
 vorbehalten|reserved|2|alle rechte vorbehalten
 derechos|reserved|2|todos los derechos reservados
 droits|reserved|2|tous droits r\\S+s
@@ -207,20 +242,23 @@ trade|proprietary|1|trade secrets?
 shareware|shareware|2|(?:this is )?shareware
 freeware|freeware|2|(?:this is )?freeware
 evaluation|trial|2|for evaluation (?:purposes )?only
-non|non-commercial|2|(?:for )?non ?commercial (?:use|purposes) only
+non|non-commercial|2|(?:for )?non commercial (?:use|purposes) only
+noncommercial|non-commercial|2|(?:for )?noncommercial (?:use|purposes) only
 noncommercial|non-commercial|2|noncommercial (?:use|purposes)
 commercial|commercial|1|commercial licen[sc]e
 personal|non-commercial|1|(?:for )?personal use only
 research|research-only|2|(?:for )?research (?:use|purposes) only
 academic|research-only|2|(?:for )?academic (?:use|purposes) only
-redistribute|no-redistribution|2|(?:may|must|do) not (?:be )?redistribut(?:e|ed)
+redistribute|no-redistribution|2|(?:may|must|do) not (?:be )?redistribute
+redistributed|no-redistribution|2|(?:may|must|do) not (?:be )?redistributed
 royalty|royalty-free|1|royalty free
-warranty|as-is|1|without (?:any )?warrant(?:y|ies) of any kind
+warranty|as-is|1|without (?:any )?warranty of any kind
+warranties|as-is|1|without (?:any )?warranties of any kind
 warranties|as-is|1|without warranties or conditions of any kind
 llama|llama-2|3|llama 2 community licen[sc]e
 llama|llama-3|3|(?:meta )?llama 3(?: \\d)? community licen[sc]e
 openrail|openrail|2|(?:bigscience )?openrail(?: m)?
-rail|rail|2|responsible ai licen[sc]e
+responsible|rail|2|responsible ai licen[sc]e
 gemma|gemma|2|gemma terms of use
 kaggle|dataset-terms|1|kaggle competition rules
 dual|dual|1|dual licen[sc]ed

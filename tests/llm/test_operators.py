@@ -134,6 +134,40 @@ def test_licenses(spark, request, name):
     assert got == sorted(((r["doc_id"], *brute_license(r["text"])) for r in df.collect()), key=str)
 
 
+def said(parts):
+    """Texts that a parsed regex matches: all alternatives, with and without what is optional."""
+    from re import _constants as c
+
+    out = [""]
+    for op, arg in parts:
+        if op is c.LITERAL:
+            mine = [chr(arg)]
+        elif op is c.BRANCH:
+            mine = [x for p in arg[1] for x in said(p)]
+        elif op is c.SUBPATTERN:
+            mine = said(arg[3])
+        elif op in (c.MAX_REPEAT, c.MIN_REPEAT):
+            once = said(arg[2])
+            mine = [x * max(arg[0], 1) for x in once] + [""] * (arg[0] == 0)
+        else:
+            mine = [""] if op in (c.ASSERT, c.AT) else ["x" if arg[0][0] is c.CATEGORY or op is not c.IN else chr(arg[0][1])]
+        out = [a + b for a in out for b in mine]
+    return out
+
+
+def test_license_keywords_stand_in_every_match():
+    from re import _parser
+
+    wrong = {(r["keyword"], x) for r in licenses.rules() for x in said(_parser.parse(r["regex"][6:-5])) if r["keyword"] not in x.split()}
+    assert not wrong
+
+
+def test_license_words_of_their_own(spark):
+    texts = ["it may not be redistributed", "without warranties of any kind", "toute reproduction interdite", "gplv2 or later"]
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert [r["labels"] for r in sorted(got, key=lambda r: r["doc_id"])] == ["no-redistribution", "as-is", "reserved", "gpl-2.0-or-later"]
+
+
 def test_license_suppression(spark):
     texts = ["licensed under the apache license version 2.0", "Creative Commons Attribution-ShareAlike 4.0", "BSD license or MIT License", "gpl", "no words at all 12", "distributed under the mit license " * 300]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")

@@ -1,7 +1,10 @@
 """Vectorised word and shingle hashes over Arrow text buffers.
 
-Texts are handled as UTF-8 bytes. A word hash is a polynomial over randomised byte values, taken from one running
-sum per slice; a shingle hash combines five word hashes. All hashes are 64 bits and the same on every machine.
+Texts are handled as UTF-8 bytes. A word is cut into lanes of 8 bytes; every lane is mixed with its place by a bijection
+that is not linear, and the lanes are summed and mixed with the length. Words of 8 bytes or fewer therefore only meet by
+their length, and no structure of a long word (as in hashes that are polynomials modulo a power of two) makes two words
+meet: any two differing words share a hash with a chance of about 2 ** -64. A shingle hash combines five word hashes. All
+hashes are 64 bits and the same on every machine.
 """
 
 from __future__ import annotations
@@ -12,10 +15,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INV = pow(_BASE, -1, 1 << 64)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
+_LANE = np.uint64(0x9E3779B97F4A7C15)
+#: Lanes that are taken for all words of a slice at once; a longer word is hashed by itself.
+_LANES = 8
+_PLACES = _LANE * np.arange(1, _LANES + 1, dtype=np.uint64)
+#: What of a lane belongs to a word that has 0 to 8 bytes of it.
+_KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
 #: Bytes of text handled at once; a longer text forms a slice of its own.
 SLICE_BYTES = 2 << 20
 
@@ -31,26 +37,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _byte_values() -> np.ndarray:
-    lower = np.arange(256, dtype=np.uint64)
-    lower[65:91] += np.uint64(32)
-    return mix((lower + np.uint64(1)) * np.uint64(0xA0761D6478BD642F))
-
-
-_VALUES = _byte_values()
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 #: Separators of words [^\x20\x09-\x0D]+ and of words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ (after lower-casing A-Z).
 SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 NOT_ALNUM = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    if base not in _powers or len(_powers[base]) < n:
-        steps = np.full(max(n, SLICE_BYTES), base, dtype=np.uint64)
-        steps[0] = 1
-        _powers[base] = np.multiply.accumulate(steps)
-    return _powers[base][:n]
-
 
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets from 0) of slices of about limit bytes; null texts are empty."""
@@ -69,7 +60,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
 
 def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple:
     """(word hashes, first word of each document and the end): documents in order. With prefixes, lengths in bytes, also
-    a list of (words, hashes of their prefixes) of all words that are longer."""
+    a list of (words, hashes of their prefixes, 8 bytes at most) of all words that are longer."""
     n = len(data)
     if not n:
         return (np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)) + (([],) if prefixes else ())
@@ -81,18 +72,30 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, prefixe
     ends = inside.copy()
     ends[:-1] &= ~inside[1:] | edge[1:n]
     at, to = np.flatnonzero(starts), np.flatnonzero(ends)
-    total = _VALUES[data]
-    total *= _power(_BASE, n)
-    np.cumsum(total, out=total)
-    before = np.where(at > 0, total[at - 1], np.uint64(0))
-    inverse, length = _power(_BASE_INV, n)[at], to - at + 1
-    out = mix((total[to] - before) * inverse + length.astype(np.uint64) * _STEP), np.searchsorted(at, offsets)
+    length = to - at + 1
+    padded = np.zeros(n + 8, np.uint8)
+    np.take(_LOWER, data, out=padded[:n])
+    lanes = np.ndarray((n,), "<u8", padded, strides=(1,))  # the 8 bytes from each place on
+    first = lanes[at]
+    total = mix((first & _KEEP[np.minimum(length, 8)]) + _LANE)
+    longer, k = np.flatnonzero(length > 8), 1
+    while len(longer) and k < _LANES:
+        total[longer] += mix((lanes[at[longer] + 8 * k] & _KEEP[np.minimum(length[longer] - 8 * k, 8)]) + _PLACES[k])
+        k += 1
+        longer = longer[length[longer] > 8 * k]
+    for w in longer:
+        rest = padded[at[w] + 8 * k : to[w] + 1]
+        own = np.zeros(-(-len(rest) // 8) * 8, np.uint8)
+        own[: len(rest)] = rest
+        own = own.view("<u8")
+        total[w : w + 1] += mix(own + _LANE * np.arange(k + 1, k + 1 + len(own), dtype=np.uint64)).sum(dtype=np.uint64)
+    out = mix(total + length.astype(np.uint64) * _STEP), np.searchsorted(at, offsets)
     if not prefixes:
         return out
     starts = []
     for k in prefixes:
         longer = np.flatnonzero(length > k)
-        starts.append((longer, mix((total[at[longer] + k - 1] - before[longer]) * inverse[longer] ^ np.uint64(0x3C6EF372FE94F82B + k))))
+        starts.append((longer, mix((first[longer] & _KEEP[k]) ^ np.uint64(0x3C6EF372FE94F82B + k))))
     return *out, starts
 
 

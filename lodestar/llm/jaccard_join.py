@@ -3,18 +3,23 @@
 Sets of word shingles are linked when their Jaccard similarity reaches num/den (0.75). Two relations between sets are
 used to skip work without losing a link:
 
+* Index-level skipping. Pairs come from inverted lists of prefix tokens in one global order (rare tokens first). A list
+  whose sets have one component is skipped whole; a long list is cut into blocks by set size, and a block is skipped when
+  its sizes or its smallest position cannot reach the required overlap.
 * Answer-level skipping. Equal sets are one node. Sets that share a min-hash key get a star of verified links to one
   leader, and so do the sets of a long inverted list to the set with the fewest rare tokens, which the others most
-  likely resemble. A set that is highly similar to its leader takes over the leader's component and is never again
-  compared inside it. Only pairs of sets from different components remain.
-* Index-level skipping. The remaining pairs come from inverted lists of prefix tokens in one global order (rare tokens
-  first). A list whose sets have one component is skipped whole; a long list is cut into blocks by set size, and a
-  block is skipped when its sizes or its smallest position cannot reach the required overlap.
-
-All candidate pairs are verified on their whole sets. Edge cases: a null or empty text, or one without words, is the
+  likely resemble. What remains for the lists are pairs of different components. The answers of a set (its links) are then
+  derived from those of its component's head, a set that the others are near to: with the difference D(Y) of each member
+  to the head, computed once, two members are |D(Y)| + |D(Z)| - 2 |D(Y) & D(Z)| apart, and linked when that is at most a
+  seventh of their sizes together. |D(Y)| + |D(Z)| alone settles most pairs: those are counted from a histogram. The rest
+  is counted on differences, block by block; blocks whose members are all linked, or can't be, are skipped. Links are
+  counted, not listed, so a group of copies never becomes pairs of rows.
+
+All pairs between components are verified on their whole sets, 64 bits a shingle. Nodes are 64-bit digests of whole sets:
+two of n different sets meet with a chance of n * n / 2 ** 65. Edge cases: a null or empty text, or one without words, is the
 empty set, linked with nothing, its own component; fewer than five words make one shingle; repeated rows come back as
-often as they came in; a null doc_id is kept and never chosen as component id unless the whole component has none; an
-empty table gives an empty result; other columns of the input are ignored.
+often as they came in and are linked; a null doc_id is kept and never chosen as component id unless the whole component
+has none; an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import materialize
@@ -40,6 +45,10 @@ BROADCAST_ROWS = 1_000_000
 BLOCK = 64
 #: Lists from this length on get a star before their pairs.
 STAR_FROM = 16
+#: Rows of one key that a join takes into one task; more are dealt by salts.
+KEY_ROWS = 500
+#: Shingles that a bucket of inverted lists holds on average, and those of the differences in a block of members.
+BUCKET_TOKENS, BLOCK_TOKENS = 2 << 20, 1 << 17
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -306,22 +315,27 @@ def _candidates(sets: DataFrame, groups: DataFrame, buckets: int, stars: bool) -
     return spreaded.groupBy("bucket").applyInArrow(pairs, "src long, dst long").distinct()
 
 
-def _verified(docs: DataFrame, features: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """The pairs (src, dst) of nodes whose whole sets reach the similarity."""
-    sizes = features.filter("node is not null").select("node", "n_shingles", "counts").dropDuplicates(["node"])
+def _salts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(key, value, salts): the values of key columns that stand in more than KEY_ROWS rows, and the salts to deal them by."""
+    values = rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("key"), F.col(c).alias("value")) for c in keys))).alias("k"))
+    many = values.groupBy("k.key", "k.value").count().filter(F.col("count") > KEY_ROWS)
+    many = materialize(many.select("key", "value", F.ceil(F.col("count") / KEY_ROWS).cast("long").alias("salts")), "salts")
+    return F.broadcast(many) if many.count() <= BROADCAST_ROWS else many
 
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, m, a, b = (batch.column(c).to_pylist() for c in ("n", "m", "a", "b"))
-            bound = [most_shared(x, y) for x, y in zip(a, b, strict=True)]
-            good = [s is None or DEN * s >= NUM * (i + j - s) for s, i, j in zip(bound, n, m, strict=True)]
-            yield batch.select(["src", "dst"]).filter(pa.array(good, pa.bool_()))
 
-    # Sizes and counts of classes rule out most pairs before whole sets are moved.
-    pairs = pairs.join(sizes.select(F.col("node").alias("src"), F.col("n_shingles").alias("n"), F.col("counts").alias("a")), "src")
-    pairs = pairs.join(sizes.select(F.col("node").alias("dst"), F.col("n_shingles").alias("m"), F.col("counts").alias("b")), "dst")
-    pairs = materialize(pairs.filter(f"{DEN} * least(n, m) >= {NUM} * greatest(n, m)").mapInArrow(likely, "src long, dst long"), "pairs")
-    nodes = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+def _salted(rows: DataFrame, sides: DataFrame, key: str, salts: DataFrame) -> DataFrame:
+    """rows joined with the one row that sides has for each key. Keys with many rows are dealt by salts, and their side is
+    sent once for each salt."""
+    mine = salts.filter(F.col("key") == key).select(F.col("value").alias("hot_key"), "salts")
+    other = next(c for c in rows.columns if c != key)
+    salt = F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64(other), F.col("salts"))).otherwise(0).cast("long").alias("salt")
+    dealt = rows.join(mine, rows[key] == mine["hot_key"], "left").select(*(rows[c] for c in rows.columns), salt)
+    each = sides.join(mine, sides[key] == mine["hot_key"], "left").select(*(sides[c] for c in sides.columns), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    return dealt.join(each, [key, "salt"]).drop("salt")
+
+
+def _whole_sets(docs: DataFrame, features: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(node, n, tokens): the whole sets of nodes (node), each from the text of one document."""
     chosen = materialize(features.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("chosen_id")), "chosen")
     ids = chosen.select("chosen_id").distinct()
     if chosen.count() <= BROADCAST_ROWS:
@@ -334,43 +348,59 @@ def _verified(docs: DataFrame, features: DataFrame, pairs: DataFrame, k: int) ->
                 if node is not None:
                     nodes.append(node)
                     sizes.append(len(found))
-                    sets.append((found >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
+                    sets.append(found.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary())], ["node", "n", "tokens"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.join(ids, texts["doc_id"].eqNullSafe(ids["chosen_id"]), "left_semi").select("text")
     sets = texts.mapInArrow(run, "node long, n long, tokens binary").join(chosen, "node", "left_semi").dropDuplicates(["node"])
-    sets = materialize(sets, "sets")
+    return materialize(sets, "sets")
+
+
+def _verified(docs: DataFrame, features: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """The pairs (src, dst) of nodes whose whole sets reach the similarity."""
+    sizes = features.filter("node is not null").select("node", "n_shingles", "counts").dropDuplicates(["node"])
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m, a, b = (batch.column(c).to_pylist() for c in ("n", "m", "a", "b"))
+            bound = [most_shared(x, y) for x, y in zip(a, b, strict=True)]
+            good = [s is None or DEN * s >= NUM * (i + j - s) for s, i, j in zip(bound, n, m, strict=True)]
+            yield batch.select(["src", "dst"]).filter(pa.array(good, pa.bool_()))
 
-    def decoded(blob: bytes) -> np.ndarray:
-        out = np.zeros((len(blob) // 5, 8), np.uint8)
-        out[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
-        return out.view(np.uint64).ravel()
+    # Sizes and counts of classes rule out most pairs before whole sets are moved.
+    pairs = materialize(pairs, "candidates")
+    salts = _salts(pairs, ["src", "dst"])
+    pairs = _salted(pairs, sizes.select(F.col("node").alias("src"), F.col("n_shingles").alias("n"), F.col("counts").alias("a")), "src", salts)
+    pairs = _salted(pairs.select("src", "dst", "n", "a"), sizes.select(F.col("node").alias("dst"), F.col("n_shingles").alias("m"), F.col("counts").alias("b")), "dst", salts)
+    pairs = materialize(pairs.filter(f"{DEN} * least(n, m) >= {NUM} * greatest(n, m)").mapInArrow(likely, "src long, dst long"), "pairs")
+    sets = _whole_sets(docs, features, pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), k)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             src, dst = batch.column("src").to_pylist(), batch.column("dst").to_pylist()
             n, m = batch.column("n").to_pylist(), batch.column("m").to_pylist()
-            good, known = [], (None, None)
+            good = []
             for i in range(batch.num_rows):
-                if dst[i] != known[0]:
-                    known = dst[i], decoded(batch.column("b")[i].as_py())
-                shared = len(np.intersect1d(decoded(batch.column("a")[i].as_py()), known[1]))
+                a, b = (np.frombuffer(batch.column(c)[i].as_py(), np.uint64) for c in ("a", "b"))
+                shared = len(np.intersect1d(a, b, assume_unique=True))
                 if DEN * shared >= NUM * (n[i] + m[i] - shared):
                     good.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([src[i] for i in good], pa.int64()), pa.array([dst[i] for i in good], pa.int64())], ["src", "dst"])
 
     left = sets.select(F.col("node").alias("src"), "n", F.col("tokens").alias("a"))
     right = sets.select(F.col("node").alias("dst"), F.col("n").alias("m"), F.col("tokens").alias("b"))
-    return materialize(pairs.join(left, "src").join(right, "dst").mapInArrow(verify, "src long, dst long"), "links")
+    half = _salted(pairs, left, "src", salts).select("src", "dst", "n", "a")
+    return materialize(_salted(half, right, "dst", salts).mapInArrow(verify, "src long, dst long"), "links")
 
 
-def jaccard_components(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text). See the module's docstring."""
+def _linked(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(features of all documents, (node, root) of the nodes that have links to others)."""
     spark = docs.sparkSession
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     features = materialize(shingle_sets(docs, k), "features")
     nodes = features.filter("node is not null")
+    total = features.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_TOKENS))
 
     # Stars: each min-hash key sends its sets to the first and last of them, in two orders.
     keyed = nodes.select("node", F.explode("keys").alias("key")).distinct()
@@ -387,13 +417,124 @@ def jaccard_components(docs: DataFrame, k: int = WORDS) -> DataFrame:
     for stars in (True, False):
         links = links.unionByName(_verified(docs, features, _candidates(sets, groups, buckets, stars), k))
         groups = connected_components(links)
+    return features, groups
 
+
+def _components(features: DataFrame, groups: DataFrame) -> DataFrame:
+    """(node, component_id) of every node."""
+    nodes = features.filter("node is not null")
     labelled = nodes.join(groups, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
     smallest = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_node = nodes.select("node").distinct().join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root")).join(smallest, "root").select("node", "component_id")
+    return nodes.select("node").distinct().join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root")).join(smallest, "root").select("node", "component_id")
+
+
+def jaccard_components(docs: DataFrame, k: int = WORDS) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text). See the module's docstring."""
+    features, groups = _linked(docs, k)
+    by_node = _components(features, groups)
     return features.join(by_node, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def count_pairs(a: dict[str, np.ndarray], b: dict[str, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the links of each member of a to those of b, and the other way round; without b, among a.
+
+    A block has n (sizes of sets), w (rows of each), d (sizes of differences to the head) and diff (sorted, joined)."""
+    other = a if b is None else b
+    place = [np.repeat(np.arange(len(x["d"])), x["d"]) for x in (a, other)]
+    shared = np.intersect1d(a["diff"], other["diff"])
+    near = np.zeros((len(a["d"]), len(other["d"])), np.float32)
+    for lo in range(0, len(shared), 4096):
+        sides = []
+        for x, rows in zip((a, other), place, strict=True):
+            some = shared[lo : lo + 4096]
+            at = np.minimum(np.searchsorted(some, x["diff"]), len(some) - 1)
+            hit = some[at] == x["diff"]
+            side = np.zeros((len(x["d"]), len(some)), np.float32)
+            side[rows[hit], at[hit]] = 1
+            sides.append(side)
+        near += sides[0] @ sides[1].T
+    apart = a["d"][:, None] + other["d"][None, :] - 2 * near.astype(np.int64)
+    linked = (DEN + NUM) * apart <= (DEN - NUM) * (a["n"][:, None] + other["n"][None, :])
+    if b is None:
+        np.fill_diagonal(linked, False)
+    return linked @ other["w"], a["w"] @ linked
+
+
+def link_counts(docs: DataFrame, features: DataFrame, groups: DataFrame, k: int) -> DataFrame:
+    """(node, linked): the rows of other nodes that each node with a link is linked with."""
+    weights = features.filter("node is not null").groupBy("node").agg(F.count("*").alias("w"), F.first("n_shingles").alias("n"))
+    members = materialize(groups.join(weights, "node"), "members")
+    # The set that stands most often is likely the one that the others were made from.
+    heads = members.groupBy("root").agg(F.max_by("node", F.struct("w", -F.col("node"))).alias("node"))
+    sets = _whole_sets(docs, features, members.select("node"), k)
+
+    def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.setxor1d(*(np.frombuffer(batch.column(c)[i].as_py(), np.uint64) for c in ("tokens", "head")), assume_unique=True) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column("root"), batch.column("node"), batch.column("n"), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["root", "node", "n", "d", "diff"])
+
+    near = members.select("node", "root").join(sets, "node").select("node", "root", "n", "tokens")
+    near = _salted(near, heads.join(sets.select("node", F.col("tokens").alias("head")), "node").select("root", "head"), "root", _salts(members, ["root"]))
+    near = near.mapInArrow(differences, "root long, node long, n long, d long, diff binary").join(members.select("node", "w"), "node")
+    # (DEN + NUM) * |D| - (DEN - NUM) * n: two members whose levels sum to 0 or less are linked whatever they share.
+    level = (DEN + NUM) * F.col("d") - (DEN - NUM) * F.col("n")
+    near = near.withColumn("level", level)
+
+    # Blocks of members by level: a histogram of levels is cut by the sum of differences, a level that is too large by salts.
+    steps = near.groupBy("root", "level").agg(F.sum(F.col("d") + 64).alias("size"))
+    before = F.sum("size").over(Window.partitionBy("root").orderBy("level").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    steps = steps.select("root", "level", F.floor(before / BLOCK_TOKENS).alias("step"), F.ceil(F.col("size") / BLOCK_TOKENS).alias("cuts"))
+    near = materialize(near, "differences").join(steps, ["root", "level"])
+    near = near.withColumn("cut", F.when(F.col("cuts") > 1, F.struct(F.col("level"), F.pmod(F.xxhash64("node"), "cuts").alias("part"))))
+    near = materialize(near.withColumn("block", F.xxhash64("root", "step", "cut")).drop("step", "cuts", "cut"), "blocked")
+    about = [F.min("level").alias("least"), F.max("level").alias("most"), F.min("d").alias("d0"), F.max("d").alias("d1"), F.max("n").alias("n1"), F.sum("w").alias("rows")]
+    blocks = materialize(near.groupBy("root", "block").agg(*about), "blocks")
+    one, two = (blocks.select("root", *(F.col(c).alias(f"{c}_{x}") for c in blocks.columns if c != "root")) for x in "ab")
+    pairs = one.join(two, "root").filter("block_a <= block_b")
+    sure = F.col("most_a") + F.col("most_b") <= 0
+    gap = F.greatest(F.col("d0_a") - F.col("d1_b"), F.col("d0_b") - F.col("d1_a"))
+    open_pairs = pairs.filter(~sure & ((DEN + NUM) * gap <= (DEN - NUM) * (F.col("n1_a") + F.col("n1_b"))))
+    both = F.expr("inline(array(named_struct('block', block_a, 'more', rows_b), named_struct('block', if(block_a = block_b, null, block_b), 'more', rows_a)))")
+    settled = pairs.filter(sure).select(both).filter("block is not null").groupBy("block").agg(F.sum("more").alias("more"), F.count("*").alias("n_pairs"))
+    # A block that is sure with itself counts each member's own rows: they are taken off again.
+    own = pairs.filter(sure & (F.col("block_a") == F.col("block_b"))).select(F.col("block_a").alias("block"), F.lit(1).alias("own"))
+    settled = settled.join(own, "block", "left")
+    certain = near.select("node", "w", "block").join(settled, "block").select("node", (F.col("more") - F.when(F.col("own") == 1, F.col("w")).otherwise(0)).alias("linked"))
+
+    packed = near.groupBy("block").agg(F.collect_list(F.struct("node", "n", "w", "d", "diff")).alias("rows"))  # BLOCK_TOKENS at most, or one member
+    wanted = open_pairs.select("block_a", "block_b").distinct()
+    tasks = wanted.join(packed.select(F.col("block").alias("block_a"), F.col("rows").alias("a")), "block_a")
+    tasks = tasks.join(packed.select(F.col("block").alias("block_b"), F.col("rows").alias("b")), "block_b")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block(rows: pa.ListScalar) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+            values = rows.values
+            node, n, w, d = (values.field(c).to_numpy(zero_copy_only=False) for c in ("node", "n", "w", "d"))
+            return node, {"n": n, "w": w, "d": d, "diff": np.frombuffer(b"".join(values.field("diff").to_pylist()), np.uint64)}
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                same = batch.column("block_a")[i] == batch.column("block_b")[i]
+                (node, a), (other, b) = block(batch.column("a")[i]), block(batch.column("b")[i])
+                mine, theirs = count_pairs(a, None if same else b)
+                nodes, links = (node, mine) if same else (np.concatenate([node, other]), np.concatenate([mine, theirs]))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(links.astype(np.int64))], ["node", "linked"])
+
+    counted = tasks.select("block_a", "block_b", "a", "b").mapInArrow(count, "node long, linked long")
+    return certain.unionByName(counted).groupBy("node").agg(F.sum("linked").alias("linked"))
+
+
+def jaccard_links(docs: DataFrame, k: int = WORDS) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) for every row of docs (doc_id, text): the rows of docs that it is linked
+    with, equal ones included. See the module's docstring."""
+    features, groups = _linked(docs, k)
+    copies = features.filter("node is not null").groupBy("node").agg((F.count("*") - 1).alias("copies"))
+    by_node = _components(features, groups).join(copies, "node").join(link_counts(docs, features, groups, k), "node", "left")
+    by_node = by_node.select("node", "component_id", (F.col("copies") + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    return features.join(by_node, "node", "left").select("doc_id", "n_shingles", component, F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without the documents that are linked, directly or through others, to one of a smaller doc_id. Rows of one
     doc_id and equal text count as one document; rows without an id can't be named

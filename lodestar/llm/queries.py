@@ -26,7 +26,7 @@ def op3_toxicity(spark, sf_dir):
 
 
 def op4_jaccard_join(spark, sf_dir):
-    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_join.jaccard_links(table(spark, sf_dir, "documents"))
 
 
 #: A conversation that holds the template's own control strings.

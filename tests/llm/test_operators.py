@@ -210,11 +210,12 @@ def test_chain_feeds_out_of_fold_probabilities():
 
 
 def brute_components(rows, k=5):
+    """(doc_id, n_shingles, component_id, n_links) by all pairs."""
     sets = []
     for _, t in rows:
         w = SPACED.findall(lower(t or ""))
         sets.append(frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset())
-    top = list(range(len(rows)))
+    top, links = list(range(len(rows))), [0] * len(rows)
 
     def find(i):
         while top[i] != i:
@@ -225,20 +226,25 @@ def brute_components(rows, k=5):
         both = len(sets[a] & sets[b])
         if both and 100 * both >= 75 * len(sets[a] | sets[b]):
             top[find(a)] = find(b)
+            links[a] += 1
+            links[b] += 1
     least = defaultdict(list)
     for i, (doc, _) in enumerate(rows):
         least[find(i)].append(doc)
-    return sorted(((doc, len(sets[i]), min((x for x in least[find(i)] if x is not None), default=None)) for i, (doc, _) in enumerate(rows)), key=str)
+    return sorted(((doc, len(sets[i]), min((x for x in least[find(i)] if x is not None), default=None), links[i]) for i, (doc, _) in enumerate(rows)), key=str)
 
 
 @pytest.mark.parametrize("name", ["rows", "awkward", "nothing"])
 def test_jaccard(spark, request, name):
     df = spark.read.parquet(f"{SF}/documents.parquet") if name == "rows" else request.getfixturevalue(name)
-    got = sorted((tuple(r) for r in jaccard_join.jaccard_components(df).collect()), key=str)
-    assert got == brute_components([(r["doc_id"], r["text"]) for r in df.collect()])
+    got = sorted((tuple(r) for r in jaccard_join.jaccard_links(df).collect()), key=str)
+    want = brute_components([(r["doc_id"], r["text"]) for r in df.collect()])
+    assert got == want
+    if name == "awkward":
+        assert sorted((tuple(r) for r in jaccard_join.jaccard_components(df).collect()), key=str) == sorted((w[:3] for w in want), key=str)
 
 
-def test_jaccard_family(spark):
+def family():
     """Near copies whose similarity lies around the threshold, and a passage that makes up most of many texts."""
     rng = np.random.default_rng(5)
     base = [f"b{i}" for i in range(60)]
@@ -250,9 +256,50 @@ def test_jaccard_family(spark):
         rows.append((i, " ".join(words)))
     for i in range(70, 110):
         rows.append((i, " ".join(base[:30] + [f"z{i}q{j}" for j in range(rng.integers(1, 12))])))
-    df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = sorted((tuple(r) for r in jaccard_join.jaccard_components(df).collect()), key=str)
+    return rows
+
+
+@pytest.mark.parametrize(("tokens", "rows"), [(jaccard_join.BLOCK_TOKENS, jaccard_join.KEY_ROWS), (400, 5)])
+def test_jaccard_family(spark, monkeypatch, tokens, rows):
+    monkeypatch.setattr(jaccard_join, "BLOCK_TOKENS", tokens)  # many blocks of members, and salted joins
+    monkeypatch.setattr(jaccard_join, "KEY_ROWS", rows)
+    copies = [(1000 + i, t) for i, t in family()[:9]] + [(2000 + i, family()[0][1]) for i in range(30)]
+    df = spark.createDataFrame(family() + copies, "doc_id bigint, text string")
+    got = sorted((tuple(r) for r in jaccard_join.jaccard_links(df).collect()), key=str)
+    assert got == brute_components(family() + copies)
+
+
+def test_jaccard_at_the_threshold(spark):
+    """Sets with 75 of 100 and 74 of 100 shingles in common, and words that polynomials modulo 2 ** 64 can't tell apart."""
+    words = [f"w{i}" for i in range(200)]
+    a = " ".join(words[:79] + [f"a{i}" for i in range(12)])  # 75 shared shingles, 12 of its own
+    rows = [(1, a), (2, " ".join(words[:79] + [f"b{i}" for i in range(13)])), (3, " ".join(words[:79] + [f"c{i}" for i in range(14)]))]
+    t = "a"
+    while len(t) < 1024:
+        t += t.translate(str.maketrans("ab", "ba"))
+    rows += [(4, t), (5, t.translate(str.maketrans("ab", "ba"))), (6, t + "a"), (7, t[:-1]), (8, t)]
+    got = sorted((tuple(r) for r in jaccard_join.jaccard_links(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()), key=str)
     assert got == brute_components(rows)
+    assert [g[2:] for g in got] == [(1, 1), (1, 1), (3, 0), (4, 1), (5, 0), (6, 0), (7, 0), (4, 1)]
+
+
+def test_counts_of_links_equal_all_pairs():
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        head = np.arange(60, dtype=np.uint64)
+        sets = [np.unique(np.concatenate([rng.choice(head, rng.integers(40, 61), replace=False), rng.integers(100, 140, rng.integers(0, 12)).astype(np.uint64)])) for _ in range(30)]
+        weight = rng.integers(1, 5, 30)
+        linked = np.array([[7 * len(np.setxor1d(x, y)) <= len(x) + len(y) for y in sets] for x in sets])
+        np.fill_diagonal(linked, False)
+
+        def block(at, sets=sets, weight=weight, head=head):
+            diffs = [np.setxor1d(sets[i], head) for i in at]
+            return {"n": np.array([len(sets[i]) for i in at]), "w": weight[at], "d": np.array([len(x) for x in diffs]), "diff": np.concatenate(diffs)}
+
+        one, two = np.arange(0, 18), np.arange(18, 30)
+        assert (jaccard_join.count_pairs(block(one), None)[0] == linked[np.ix_(one, one)] @ weight[one]).all()
+        x, y = jaccard_join.count_pairs(block(one), block(two))
+        assert (x == linked[np.ix_(one, two)] @ weight[two]).all() and (y == weight[one] @ linked[np.ix_(one, two)]).all()
 
 
 def test_list_pairs_lose_nothing():
@@ -590,7 +637,7 @@ def test_pipeline(spark):
     clean = {r["doc_id"] for r in toxicity.score(frame, chain).collect() if not r["is_toxic"]}
     docs = [(r["doc_id"], r["text"]) for r in frame.collect() if r["doc_id"] in clean]
     assert 0 < len(docs) < frame.count()
-    firsts = {c for _, _, c in brute_components(docs)}
+    firsts = {c for _, _, c, _ in brute_components(docs)}
     docs = [d for d in docs if d[0] in firsts]
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     leaked = {d for d, *_ in brute_contaminated(docs, items)}

@@ -1,14 +1,18 @@
 """Best-fit packing with swap-based local search.
 
 Only the sizes of pieces matter to a packing, and there are at most `capacity` of them, so the packing is planned on
-the histogram of sizes: bins with the same content are one pattern with a multiplicity. Best fit in descending order
-makes the first patterns; then documents of the emptiest bin are moved, exchanged one for one or two for one with other
-underfull bins, always so that the sum of squared fills grows, until bins are empty or no exchange helps. The plan's
-size depends on the capacity alone. Every piece then finds its bin by its rank among the pieces of its size.
+histograms of sizes: bins with the same content are one pattern with a multiplicity. The pieces are first packed as a
+stream gives them: in PARTS parts by hash, each by best fit alone, which leaves each part with underfull bins of its own.
+Then documents of the emptiest bin are moved, exchanged one for one or two for one with other underfull bins of any part,
+always so that the sum of squared fills grows, until bins are empty or no exchange helps. Where that ends above the least
+number that the sum of sizes allows, all pieces are dealt anew by best fit in descending order and searched again, and the
+packing of fewer bins is taken. The plan's size depends on the capacity alone. Every piece then finds its bin by its rank among the pieces of its size: tasks number the pieces of
+each size as they write them, and prefix sums over tasks make ranks of these numbers, so no size is sorted in one task.
 
 A document longer than the capacity is cut into pieces of the capacity; only its first piece may be shorter. Edge
 cases: a null or empty text is its end token alone; repeated rows are packed as often as they come; null ids are
-carried; an empty table gives no rows; other columns of the input are ignored.
+carried; an empty table gives no rows; other columns of the input are ignored. Which piece of a size stands where depends
+on how the table was read; the pieces and the sizes in every sequence do not.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +33,10 @@ from lodestar.llm.common import materialize
 from lodestar.llm.encoding import Encoder
 
 CAPACITY, END_ID = 2048, 0
-#: Parts that the pieces of one size are ranked in.
-SALTS = 64
+#: Rows of a side up to which it is broadcast; above, the join shuffles.
+BROADCAST_ROWS = 1_000_000
+#: Parts of the stream that are packed by themselves before exchanges.
+PARTS = 8
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -105,8 +112,9 @@ def _first(giver: tuple[np.ndarray, np.ndarray], takers: list[tuple[int, tuple[n
     for given, n in ((giver[0], 0), (giver[1], 0), (giver[0], 1)):
         back = [t[n] for _, t in takers]
         sizes = [len(x) for x in back]
-        gain = given[:, None] - np.concatenate(back)[None, :]
-        good = ((gain > 0) & (gain <= np.repeat(free, sizes))).any(axis=0)
+        back = np.concatenate(back)
+        above = np.searchsorted(given, back, side="right")  # the least that gives more than it takes back
+        good = (above < len(given)) & (given[np.minimum(above, len(given) - 1)] - back <= np.repeat(free, sizes)) if len(given) else np.zeros(len(back), bool)
         fits[np.repeat(np.arange(len(takers)), sizes)[good]] = True
     return int(fits.argmax()) if fits.any() else None
 
@@ -165,7 +173,8 @@ def local_search(patterns: list[tuple[dict[int, int], int]], capacity: int) -> l
             continue
         since = tried.get(giver, 0)
         takers = [k for f, k in live[: bisect.bisect_right(live, -level, key=lambda x: x[0])] if born[k] > since and counts[k] > (k == giver)]
-        takers.sort(key=lambda k: -(counts[k] // 2 if k == giver else min(counts[k], counts[giver])))  # many bins at once first, among them the fullest
+        at_once = np.minimum(np.fromiter((counts[k] // (2 if k == giver else 1) for k in takers), np.int64, len(takers)), counts[giver])
+        takers = [takers[i] for i in np.argsort(-at_once, kind="stable")]  # many bins at once first, among them the fullest
         taker, at, step = None, 0, 32
         while at < len(takers):
             some = takers[at : at + step]
@@ -195,9 +204,22 @@ def local_search(patterns: list[tuple[dict[int, int], int]], capacity: int) -> l
     return [(dict(k), n) for k, n in counts.items() if n]
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
+def searched(parts: list[dict[int, int]], capacity: int) -> tuple[list[tuple[dict[int, int], int]], list[int]]:
+    """(patterns, bins before the search, after it, and after the pieces were dealt anew) of histograms that are packed one
+    by one first."""
+    bins = [x for part in parts for x in best_fit(part, capacity)]
+    steps = [sum(n for _, n in bins)]
+    bins = local_search(bins, capacity)
+    steps.append(sum(n for _, n in bins))
+    if steps[1] > -(-sum(s * c * n for p, n in bins for s, c in p.items()) // capacity):
+        again = local_search(best_fit(dict(sum(map(Counter, parts), Counter())), capacity), capacity)
+        bins = min(bins, again, key=lambda x: sum(n for _, n in x))
+    return bins, [*steps, sum(n for _, n in bins)]
+
+
+def plan(parts: list[dict[int, int]], capacity: int = CAPACITY) -> np.ndarray:
     """Rows (size, first rank, end rank, pieces in a bin, first sequence, offset) that cover every piece of every size."""
-    bins = local_search(best_fit(histogram, capacity), capacity)
+    bins, _ = searched(parts, capacity)
     rows, used, sequence = [], Counter(), 0
     for pattern, n in bins:
         offset = 0
@@ -207,52 +229,57 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
             used[size] += each * n
             offset += each * size
         sequence += n
-    assert used == Counter(histogram), "the plan must hold every piece"
+    assert used == sum(map(Counter, parts), Counter()), "the plan must hold every piece"
     return np.array(sorted(rows), dtype=np.int64).reshape(-1, 6)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, salt) of every piece of every document."""
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", "salt"]
+    """(doc_id, piece, start, length, ids_crc32, part, task, number) of every piece of every document: number counts the
+    pieces of its length in its task."""
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "task", "number"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, row = Encoder(path, "bytes"), 0
+        encoder, seen, task = Encoder(path, "bytes"), [0] * (capacity + 1), TaskContext.get().partitionId()
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             cols = [[] for _ in names]
             for doc, encoded in zip(ids, encoder.encode(t.as_py() or "" for t in batch.column("text")), strict=True):
                 encoded += end
-                total, row = len(encoded) // 4, row + 1
+                total = len(encoded) // 4
                 first = total % capacity or capacity
                 for piece, stop in enumerate(range(first, total + 1, capacity)):
                     start = max(0, stop - capacity) if piece else 0
-                    for c, x in zip(cols, (doc, piece, start, stop - start, zlib.crc32(encoded[4 * start : 4 * stop]), (row + piece) % SALTS), strict=True):
+                    crc, length = zlib.crc32(encoded[4 * start : 4 * stop]), stop - start
+                    for c, x in zip(cols, (doc, piece, start, length, crc, crc % PARTS, task, seen[length]), strict=True):
                         c.append(x)
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+                    seen[length] += 1
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, salt int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, task int, number long")
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece."""
     found = materialize(pieces(docs, path, capacity), "pieces")
-    counts = found.groupBy("length", "salt").count().collect()  # capacity * SALTS rows at most
-    base = np.zeros((capacity + 1, SALTS), np.int64)
-    for row in counts:
-        base[row["length"], row["salt"]] = row["count"]
-    totals = base.sum(axis=1)
-    base = np.cumsum(base, axis=1) - base
-    rows = plan({s: int(totals[s]) for s in np.flatnonzero(totals)}, capacity)
-    shared = docs.sparkSession.sparkContext.broadcast((base, rows, (rows[:, 0] << 48) + rows[:, 1]))
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "start")) - 1)
+    parts: list[dict[int, int]] = [{} for _ in range(PARTS)]
+    for row in found.groupBy("part", "length").count().collect():  # capacity * PARTS rows at most
+        parts[row["part"]][row["length"]] = row["count"]
+    rows = plan(parts, capacity)
+    shared = docs.sparkSession.sparkContext.broadcast((rows, (rows[:, 0] << 48) + rows[:, 1]))
+    # The pieces of a length in the tasks before: one row for each task and length.
+    tasks = found.groupBy("length", "task").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    tasks = materialize(tasks.select("length", "task", before.alias("before")), "tasks")
+    if tasks.count() <= BROADCAST_ROWS:
+        tasks = F.broadcast(tasks)
+    ranked = found.join(tasks, ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("number")).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, rows, keys = shared.value
+        rows, keys = shared.value
         for batch in batches:
-            length, salt = batch.column("length").to_numpy(), batch.column("salt").to_numpy()
-            rank = batch.column("rank").to_numpy() + base[length, salt]
+            length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
             mine = rows[np.searchsorted(keys, (length << 48) + rank, side="right") - 1] if len(rank) else np.zeros((0, 6), np.int64)
             bins, place = np.divmod(rank - mine[:, 1], np.maximum(mine[:, 3], 1))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(mine[:, 4] + bins), pa.array(mine[:, 5] + place * length)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])

@@ -430,7 +430,23 @@ def test_packing_search_empties_bins():
         square = lambda bins: sum(n * sum(s * c for s, c in p.items()) ** 2 for p, n in bins)
         assert square(after) >= square(first) and sum(n for _, n in after) <= sum(n for _, n in first)
         assert all(sum(s * c for s, c in p.items()) <= 100 for p, _ in after)
-        packing.plan(histogram, 100)
+        packing.plan([histogram], 100)
+
+
+def test_packing_search_saves_sequences():
+    """Parts that are packed by themselves leave bins that the exchanges empty."""
+    rng, saved = np.random.default_rng(7), 0
+    for _ in range(10):
+        sizes = rng.integers(1, 400, 300)
+        parts = [dict(Counter(map(int, sizes[i::8]))) for i in range(8)]
+        bins, (before, exchanged, after) = packing.searched(parts, 500)
+        assert sum((Counter({s: c * n for s, c in p.items()}) for p, n in bins), Counter()) == Counter(map(int, sizes))
+        assert all(sum(s * c for s, c in p.items()) <= 500 for p, _ in bins)
+        assert sum(n for _, n in bins) == after <= exchanged <= before and exchanged < before
+        assert after <= sum(n for _, n in packing.best_fit(dict(Counter(map(int, sizes))), 500))
+        saved += before - exchanged
+        packing.plan(parts, 500)
+    assert saved >= 20
 
 
 # --- token files

@@ -1,9 +1,12 @@
 r"""Host-level quality rules.
 
-Every document is held against document rules. Failures are summed by host (its source), and the rate of each rule on a
-host is shrunk towards all hosts: rates follow a beta prior whose two parameters come from the mean and the variance of
-the rates of all hosts (by moments, weighted by documents), and a host's rate is (failures + a) / (documents + a + b).
-A host is rejected when a shrunk rate exceeds HOST_RATE; its verdict is joined back to its documents.
+Every document is held against document rules. Failures are summed by host (its source), and the rate of each rule, and
+of failing any of them, on a host is shrunk towards all hosts: rates follow a beta prior whose two parameters come from the
+mean and the variance of the rates of all hosts (by moments, weighted by documents), and a host's rate is
+(failures + a) / (documents + a + b). A host is rejected when a shrunk rate, less HOST_SURE deviations of its posterior, so
+that few documents don't convict a host, exceeds both HOST_RATE, so that most of what goes with it fails, and HOST_TIMES the
+rate over all documents, so that a rule that the whole corpus fails rejects no one. Its verdict is joined back to its
+documents.
 
 Words are `[^\x20\x09-\x0D]+`. Everything is DataFrame functions. Edge cases: a null or empty text has no words and fails
 as short; a null host is a host like any other; repeated rows count as often as they come; null ids are carried; an
@@ -17,10 +20,12 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.common import materialize
 
-#: A host is rejected when a shrunk failure rate is above this.
-HOST_RATE = 0.8
+#: A host is rejected when a shrunk failure rate is above this, and above so many times the rate over all documents, both
+#: by so many deviations of its posterior.
+HOST_RATE, HOST_TIMES, HOST_SURE = 0.5, 2.0, 2.0
 _BLANK = "[\\x20\\x09-\\x0D]+"
 RULES = ("short", "repetitive", "symbols", "lines", "word_length")
+RATES = (*RULES, "any")
 
 
 def three_word_windows(words: Column) -> Column:
@@ -66,22 +71,24 @@ def failures() -> dict[str, Column]:
 
 
 def host_verdicts(judged: DataFrame) -> DataFrame:
-    """(host, host_docs, host_rejected, rate of each rule) of documents with a boolean column for each rule."""
-    hosts = judged.groupBy("host").agg(F.count("*").alias("host_docs"), *(F.count_if(r).alias(r) for r in RULES))
+    """(host, host_docs, rates, host_rejected) of documents with a boolean column for each rule."""
+    failed = {r: F.col(r) for r in RULES} | {"any": F.greatest(*RULES)}
+    hosts = judged.groupBy("host").agg(F.count("*").alias("host_docs"), *(F.count_if(c).alias(r) for r, c in failed.items()))
     n = F.col("host_docs")
-    stats = hosts.agg(F.count("*").alias("hosts"), F.sum(n).alias("docs"), F.sum(n * n).alias("docs2"), *(F.sum(r).alias(f"f_{r}") for r in RULES), *(F.sum(F.col(r) * F.col(r) / n).alias(f"s_{r}") for r in RULES))
+    stats = hosts.agg(F.count("*").alias("hosts"), F.sum(n).alias("docs"), *(F.sum(r).alias(f"f_{r}") for r in RATES), *(F.sum(F.col(r) * F.col(r) / n).alias(f"s_{r}") for r in RATES))
     prior = []
-    for r in RULES:
+    for r in RATES:
         mean = F.least(F.greatest(F.col(f"f_{r}") / F.col("docs"), F.lit(1e-6)), F.lit(1 - 1e-6))
         spread = F.greatest(F.col(f"s_{r}") / F.col("docs") - mean * mean, F.lit(0.0))
         # Of the spread of rates, the part that draws of host_docs documents don't explain.
         between = F.greatest(spread - mean * (1 - mean) * F.col("hosts") / F.col("docs"), F.lit(1e-6))
         strength = F.least(F.greatest(mean * (1 - mean) / between - 1, F.lit(1.0)), F.lit(1e6))
-        prior += [(mean * strength).alias(f"a_{r}"), strength.alias(f"n_{r}")]
+        prior += [mean.alias(f"m_{r}"), strength.alias(f"n_{r}")]
     shrunk = hosts.crossJoin(F.broadcast(stats.select(*prior)))  # one row
-    rates = [((F.col(r) + F.col(f"a_{r}")) / (n + F.col(f"n_{r}"))).alias(f"rate_{r}") for r in RULES]
-    out = shrunk.select("host", "host_docs", *rates)
-    return out.withColumn("host_rejected", F.greatest(*(F.col(f"rate_{r}") for r in RULES)) > HOST_RATE)
+    rate = {r: (F.col(r) + F.col(f"m_{r}") * F.col(f"n_{r}")) / (n + F.col(f"n_{r}")) for r in RATES}
+    sure = {r: c - HOST_SURE * F.sqrt(c * (1 - c) / (n + F.col(f"n_{r}") + 1)) for r, c in rate.items()}
+    over = [(c > HOST_RATE) & (c > HOST_TIMES * F.col(f"m_{r}")) for r, c in sure.items()]
+    return shrunk.select("host", "host_docs", *(c.alias(f"rate_{r}") for r, c in rate.items()), F.greatest(*over).alias("host_rejected"))
 
 
 def judge(docs: DataFrame) -> DataFrame:

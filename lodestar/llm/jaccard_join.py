@@ -420,19 +420,33 @@ def _linked(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     return features, groups
 
 
-def _components(features: DataFrame, groups: DataFrame) -> DataFrame:
-    """(node, component_id) of every node."""
-    nodes = features.filter("node is not null")
-    labelled = nodes.join(groups, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
-    smallest = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return nodes.select("node").distinct().join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root")).join(smallest, "root").select("node", "component_id")
+def _per_node(features: DataFrame) -> DataFrame:
+    """(node, least, w, n): the smallest doc_id and the rows of each set, and its size."""
+    return materialize(features.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("w"), F.first("n_shingles").alias("n")), "nodes")
+
+
+def _components(nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """(node, w, component_id) of every node."""
+    labelled = nodes.join(groups, "node", "left").select("node", "w", "least", F.coalesce("root", "node").alias("root"))
+    smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
+    return labelled.join(smallest, "root").select("node", "w", "component_id")
+
+
+def _of_rows(features: DataFrame, nodes: DataFrame, by_node: DataFrame, columns: list) -> DataFrame:
+    """columns of every row, each with its node's. Copies of one text are dealt by salts."""
+    hot = nodes.filter(F.col("w") > KEY_ROWS).select(F.lit("node").alias("key"), F.col("node").alias("value"), F.ceil(F.col("w") / KEY_ROWS).cast("long").alias("salts"))
+    if hot.count() <= BROADCAST_ROWS:
+        hot = F.broadcast(hot)
+    found = _salted(features.filter("node is not null").select("doc_id", "node", "n_shingles"), by_node, "node", hot)
+    empty = features.filter("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return found.select(*columns).unionByName(empty.select(*columns))
 
 
 def jaccard_components(docs: DataFrame, k: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text). See the module's docstring."""
     features, groups = _linked(docs, k)
-    by_node = _components(features, groups)
-    return features.join(by_node, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    nodes = _per_node(features)
+    return _of_rows(features, nodes, _components(nodes, groups), ["doc_id", "n_shingles", "component_id"])
 
 
 def count_pairs(a: dict[str, np.ndarray], b: dict[str, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
@@ -460,10 +474,9 @@ def count_pairs(a: dict[str, np.ndarray], b: dict[str, np.ndarray] | None) -> tu
     return linked @ other["w"], a["w"] @ linked
 
 
-def link_counts(docs: DataFrame, features: DataFrame, groups: DataFrame, k: int) -> DataFrame:
+def link_counts(docs: DataFrame, features: DataFrame, nodes: DataFrame, groups: DataFrame, k: int) -> DataFrame:
     """(node, linked): the rows of other nodes that each node with a link is linked with."""
-    weights = features.filter("node is not null").groupBy("node").agg(F.count("*").alias("w"), F.first("n_shingles").alias("n"))
-    members = materialize(groups.join(weights, "node"), "members")
+    members = materialize(groups.join(nodes.drop("least"), "node"), "members")
     # The set that stands most often is likely the one that the others were made from.
     heads = members.groupBy("root").agg(F.max_by("node", F.struct("w", -F.col("node"))).alias("node"))
     sets = _whole_sets(docs, features, members.select("node"), k)
@@ -528,11 +541,10 @@ def jaccard_links(docs: DataFrame, k: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) for every row of docs (doc_id, text): the rows of docs that it is linked
     with, equal ones included. See the module's docstring."""
     features, groups = _linked(docs, k)
-    copies = features.filter("node is not null").groupBy("node").agg((F.count("*") - 1).alias("copies"))
-    by_node = _components(features, groups).join(copies, "node").join(link_counts(docs, features, groups, k), "node", "left")
-    by_node = by_node.select("node", "component_id", (F.col("copies") + F.coalesce("linked", F.lit(0))).alias("n_links"))
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    return features.join(by_node, "node", "left").select("doc_id", "n_shingles", component, F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    nodes = _per_node(features)
+    by_node = _components(nodes, groups).join(link_counts(docs, features, nodes, groups, k), "node", "left")
+    by_node = by_node.select("node", "component_id", (F.col("w") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    return _of_rows(features, nodes, by_node, ["doc_id", "n_shingles", "component_id", "n_links"])
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -559,14 +559,47 @@ def test_quality(spark, request, name):
         assert got == sorted(want, key=str)
 
 
+def brute_hosts(rows):
+    """Hosts (of rows of host and the rules failed) that are rejected."""
+    count, failed = Counter(h for h, _ in rows), defaultdict(Counter)
+    for h, rules in rows:
+        for r in [*rules, *(["any"] if rules else [])]:
+            failed[r][h] += 1
+    docs, out = len(rows), set()
+    for found in failed.values():
+        mean = min(max(sum(found.values()) / docs, 1e-6), 1 - 1e-6)
+        spread = max(sum(found[h] ** 2 / n for h, n in count.items()) / docs - mean * mean, 0)
+        between = max(spread - mean * (1 - mean) * len(count) / docs, 1e-6)
+        strength = min(max(mean * (1 - mean) / between - 1, 1), 1e6)
+        for h, n in count.items():
+            rate = (found[h] + mean * strength) / (n + strength)
+            if rate - 2 * (rate * (1 - rate) / (n + strength + 1)) ** 0.5 > max(0.5, 2 * mean):
+                out.add(h)
+    return out
+
+
+def failed_rules(m):
+    n, chars, symbols, dup, repeat = m
+    return [r for r, bad in (("short", n < 50), ("repetitive", 2 * repeat > n), ("symbols", 10 * symbols > n), ("lines", 20 * dup > n), ("word_length", chars < 3 * n or chars > 10 * n)) if bad]
+
+
 def test_hosts_are_shrunk(spark):
     good = [(i, " ".join(f"word{j}x{i}" for j in range(60)), f"h{i % 20}") for i in range(400)]
     bad = [(1000 + i, "#### " * 60 + " ".join(f"v{j}{i}" for j in range(60)), "bad") for i in range(60)]
     few = [(2000, "#### " * 20 + " ".join(f"u{j}" for j in range(90)), "few")]
     rest = [(3000 + i, " ".join(f"term{j}y{i}" for j in range(60)), "bad") for i in range(3)]
-    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(good + bad + few + rest, "doc_id bigint, text string, source string")).collect()}
-    assert all(got[i]["kept"] for i, *_ in good)
-    assert not any(got[i]["kept"] for i, *_ in rest) and got[2000]["kept"]
+    # No rule alone fails most of this host's documents, but most fail one.
+    mixed = [(4000 + i, ("#### " * 9 if i % 3 == 0 else "again and again\n" * 6 if i % 3 == 1 else "") + " ".join(f"t{j}z{i}" for j in range(60)), None) for i in range(90)]
+    rows = good + bad + few + rest + mixed
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    rejected = brute_hosts([(h, failed_rules(brute_quality(t))) for _, t, h in rows])
+    assert rejected == {"bad", None}
+    for i, t, h in rows:
+        assert got[i]["host_rejected"] == (h in rejected)
+        assert got[i]["kept"] == (not got[i]["base_failed"] and h not in rejected)
+    assert all(got[i]["kept"] for i, *_ in good) and not any(got[i]["kept"] for i, *_ in rest) and got[2000]["kept"]
+    every = [(i, "#" * 9 + t, h) for i, t, h in good]  # a rule that all hosts fail
+    assert all(r["kept"] for r in quality.judge(spark.createDataFrame(every, "doc_id bigint, text string, source string")).collect())
 
 
 # --- secrets

@@ -351,6 +351,26 @@ def test_chat_events(spark):
     assert got[1] == [("user", "hey"), ("assistant", "new")]
 
 
+def test_chat_random_logs(spark):
+    rng = np.random.default_rng(11)
+    kinds, roles = ["message", "delta", "delta", "delta", "edit", "regenerate", "delete", "other"], ["user", "assistant", "", None]
+    log = [(int(c), int(s), int(rng.integers(0, 5)), kinds[rng.integers(8)], roles[rng.integers(4)], f"t{c}.{s}.{i}") for c in range(150) for i, s in enumerate(rng.integers(0, 14, rng.integers(1, 16)))]
+    df = spark.createDataFrame(log, "conv_id bigint, seq bigint, message bigint, kind string, role string, text string").repartition(5)
+    got = {r["conv_id"]: [(m["role"], m["text"]) for m in r["messages"]] for r in chat.final_messages(df).collect()}
+    want = {c: fold([e[1:] for e in log if e[0] == c]) for c in range(150)}
+    assert got == {c: v for c, v in want.items() if v}
+
+
+def test_chat_rows_come_through_the_fold(spark):
+    long = "\U0001f642 <x>\\l\n" * 700
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long), (1, 1, "assistant", long), (1, 2, "assistant", ""), (1, 3, "assistant", None), (2, 0, "assistant", "x" * chat.DELTA_CHARS)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    kinds = Counter(r["kind"] for r in chat.streamed(df).collect())
+    assert kinds["message"] == 1 and kinds["regenerate"] == 5 and kinds["delta"] > 2 * len(long) / chat.DELTA_CHARS
+    got = {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in chat.parse(chat.format_rows(df)).collect()}
+    assert got == {c: [(r, t or "") for i, _, r, t in rows if i == c] for c in (1, 2)}
+
+
 def test_chat_query(spark):
     got = {r["conv_id"]: r for r in queries.op5_chat_format(spark, SF).collect()}
     log = defaultdict(list)

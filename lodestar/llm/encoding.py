@@ -42,6 +42,16 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def located(path: str) -> str:
+    """The place of a vocabulary file on this machine: path itself, or where it is a bare name that of the installed
+    public tokenizers, which may lie elsewhere on each worker."""
+    if os.path.sep in path or os.path.exists(path):
+        return path
+    import public_tokenizers
+
+    return str(public_tokenizers.path(path))
+
+
 class Encoder:
     """encode gives ids as little-endian unsigned 32-bit integers."""
 
@@ -50,6 +60,7 @@ class Encoder:
         import tiktoken
         from tokenizers import Tokenizer
 
+        path = located(path)
         self.tokenizer, self.words = Tokenizer.from_file(path), kind == "words"
         self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         with open(path, encoding="utf-8") as f:

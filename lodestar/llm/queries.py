@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import functions as F
 
 from lodestar.llm import chat, decontaminate, jaccard_join, licenses, packing, quality, secrets, sharding, token_files, toxicity
@@ -51,11 +50,11 @@ def op5_chat_format(spark, sf_dir):
 
 
 def op6_packing(spark, sf_dir):
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
 
 
 def op7_token_files(spark, sf_dir):
-    return token_files.token_file_index(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.token_file_index(table(spark, sf_dir, "documents"), "word_bpe_49k.json")
 
 
 def op8_decontamination(spark, sf_dir):

@@ -1,9 +1,12 @@
 """Secret scans: fixed credential patterns, and password guess-cost dynamic programming on credential-context values.
 
 Every value that stands in a credential context (a key such as password or auth, then : or =, or a Bearer header) is
-taken whole, to white space or its closing quote, symbols included, and cut into segments of least total guess cost (log10 of guesses): common words with capitals and letter substitutions, dates, repeats of a
-unit, keyboard walks and alphabet runs, and brute-force characters. A value whose cheapest cut costs GUESS_LEAST or
-more can't be a placeholder or an easily guessed word and is reported as kind guess.
+taken whole, to white space or its closing quote, symbols included, and cut into segments of least total guess cost (log10
+of guesses): ranked words with capitals and letter substitutions, dates, repeats of a unit, keyboard walks, alphabet runs,
+and brute-force characters. Any part of a walk, a repeat or a run can be a segment. Words are the passwords that are tried
+first, then the words of a public tokenizer's vocabulary in order of their ids, which is that of their frequency; its
+place is a parameter. A value whose cheapest cut costs GUESS_LEAST or more is reported as kind guess, unless it is a
+placeholder: a template (<...>, ${...}, %...%), or words that only tell what to fill in (your_password_here).
 
 Edge cases: a null text is empty and has no spans; texts are scanned whole; rows are independent, so repeated rows,
 null ids and empty tables need no care; columns named like the added ones are replaced.
@@ -11,7 +14,9 @@ null ids and empty tables need no care; columns named like the added ones are re
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import json
 import math
 import re
 from collections.abc import Iterator
@@ -20,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.llm.encoding import located
+
 KINDS = ("assign", "access", "hex", "guess")
 GUESS_LEAST = 8.0
 REPLACEMENT = "[SECRET]"
@@ -45,11 +52,38 @@ localhost production staging development config settings api app web data file h
 LEET = {"0": "o", "1": "l", "3": "e", "4": "a", "5": "s", "7": "t", "$": "s", "@": "a"}
 ROWS = ("1234567890-=", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 
-_RANK = {w: i + 1 for i, w in enumerate(COMMON)}
-_LONGEST = max(map(len, COMMON))
+# What placeholders are made of; one of the first kind must be there.
+ORDERS = "your my enter insert replace change changeme put add fill set use here example sample dummy placeholder redacted todo fixme xxx xxxx none null undefined optional required hidden removed".split()
+THINGS = "password passwd pwd pass passphrase secret token key api apikey access private public client auth bearer credential credentials user username name value string text id the a an this that some with from in of to for and or me it is not by test demo default actual real own new old".split()
+
+#: The vocabulary that words come from, and the shortest ones that count.
+WORDS_FILE, SHORTEST = "byte_bpe_50k.json", 3
+UNIT = 8  # the longest unit of a repeat
+#: Of a long run, segments begin this near to the start of the run or to their end. Others can't be cheaper: to take a
+#: repeat or run from its start costs less than a segment more.
+REACH = 24
 _SEGMENT = math.log10(2)  # where to cut, for each segment
-_DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d")
+_DATES = [(re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])"), math.log10(365 * 130) + 0.3), (re.compile(r"(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\1(?:19|20)\d\d"), math.log10(365 * 130) + 0.3), (re.compile(r"(?:19|20)\d\d"), 2.1)]
 _PLACE = {c: (x + y * 0.5, y) for y, row in enumerate(ROWS) for x, c in enumerate(row)}
+_STEP = math.log10(3)  # the next key of a walk
+_TEMPLATE = re.compile(r"<[^<>]*>|\$?\{.*\}|\$\(.*\)|%\w+%|\$[A-Za-z_]\w*|\[[^\[\]]*\]|(?:process\.env|os\.environ|env|getenv)\b.*")
+
+
+@functools.cache
+def ranks(path: str) -> tuple[dict[str, int], int]:
+    """(rank of each word from 1, length of the longest): COMMON first, then the vocabulary's words by id."""
+    with open(located(path), encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    words = [t.removeprefix("\u0120").lower() for t in sorted(vocabulary, key=vocabulary.get)]
+    found = dict.fromkeys([*COMMON, *(w for w in words if len(w) >= SHORTEST and w.isascii() and w.isalpha())])
+    return {w: i + 1 for i, w in enumerate(found)}, max(map(len, found))
+
+
+def is_placeholder(value: str) -> bool:
+    if _TEMPLATE.fullmatch(value):
+        return True
+    words = [w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", value)]
+    return not any(c.isdigit() for c in value) and any(w in ORDERS for w in words) and all(w in ORDERS or w in THINGS for w in words)
 
 
 def _char_cost(c: str) -> float:
@@ -63,47 +97,74 @@ def _near(a: str, b: str) -> bool:
     return a != b and abs(x - u) <= 1 and abs(y - v) <= 1
 
 
-def guess_cost(value: str) -> float:
+def _lowered(value: str) -> tuple[str, str]:
+    """value in lower case, and with letters for the signs that stand for them."""
+    low = value.lower()
+    low = low if len(low) == len(value) else value
+    return low, "".join(LEET.get(c, c) for c in low)
+
+
+def segment_cost(value: str, path: str = WORDS_FILE) -> float:
+    """What value costs as one segment, infinite where it is none. guess_cost finds the cheapest cut by these costs."""
+    n, (low, plain) = len(value), _lowered(value)
+    costs = [_char_cost(value)] if n == 1 else []
+    for text, extra in ((low, 0.0), (plain, 0.6)):
+        if n >= SHORTEST and (rank := ranks(path)[0].get(text)) is not None:
+            costs.append(math.log10(rank + 1) + extra + (0.5 if value != low else 0.0))
+    costs += [cost for pattern, cost in _DATES if pattern.fullmatch(value)]
+    for unit in range(1, min(UNIT, n // 2) + 1):
+        if n >= 3 and n % unit == 0 and value == value[:unit] * (n // unit):
+            costs.append(sum(map(_char_cost, value[:unit])) + math.log10(n // unit))
+    if n >= 3 and len(steps := {ord(b) - ord(a) for a, b in zip(low, low[1:], strict=False)}) == 1 and steps <= {-1, 1}:
+        costs.append(_char_cost(value[0]) + math.log10(2 * n))
+    if n >= 4 and all(map(_near, low, low[1:])):
+        costs.append(math.log10(len(_PLACE)) + (n - 1) * _STEP)
+    return min(costs, default=math.inf) + (_SEGMENT if n > 1 else 0.0)
+
+
+def guess_cost(value: str, path: str = WORDS_FILE) -> float:
     """log10 of the guesses of the cheapest cut of value; 0 for an empty one. Time grows with the length of value."""
-    n, low = len(value), value.lower()
-    if len(low) != n:
-        low = value
-    plain = "".join(LEET.get(c, c) for c in low)
-    ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]  # by end: start and cost of a segment
-    for i in range(n):
-        for j in range(i + 3, min(n, i + _LONGEST) + 1):
-            for text, extra in ((low, 0.0), (plain, 0.6)):
-                if (rank := _RANK.get(text[i:j])) is not None:
-                    ends[j].append((i, math.log10(rank + 1) + extra + (0.5 if value[i:j] != low[i:j] else 0.0)))
-    for m in _DATE.finditer(value):
-        ends[m.end()].append((m.start(), 2.1 if len(m[0]) == 4 else math.log10(365 * 130) + 0.3))
-    i = 0
-    while i < n - 1:  # keyboard walks, and runs such as abcd or 4321
-        step = ord(low[i + 1]) - ord(low[i])
-        j = i + 1
-        while j < n and ord(low[j]) - ord(low[j - 1]) == step and abs(step) <= 1:
-            j += 1
-        k = i + 1
-        while k < n and _near(low[k - 1], low[k]):
-            k += 1
-        if j - i >= 3:
-            ends[j].append((i, _char_cost(value[i]) + math.log10(2 * (j - i))))
-        if k - i >= 4:
-            ends[k].append((i, math.log10(len(_PLACE)) + (k - i - 1) * math.log10(3)))
-        i = max(i + 1, (j if j - i >= 3 else i + 1) - 1, (k if k - i >= 4 else i + 1) - 1)
-    best = [0.0] + [math.inf] * n
-    for unit in range(1, 9):  # repeats of a short unit: cost of one unit and of the count
-        run = 0
-        for at in range(unit, n + 1):
-            run = run + 1 if at < n and value[at] == value[at - unit] else 0
-            if run >= max(unit, 2) and (at + 1 == n or value[at + 1] != value[at + 1 - unit]):
-                start = at + 1 - run - unit
-                whole = (run + unit) // unit * unit
-                ends[start + whole].append((start, sum(map(_char_cost, value[start : start + unit])) + math.log10(whole // unit)))
+    n, (low, plain) = len(value), _lowered(value)
+    known, longest = ranks(path)
+    chars = [_char_cost(c) for c in value]
+    best, walks = [0.0] + [math.inf] * n, [math.inf] * (n + 1)
+    dates: dict[int, list[tuple[int, float]]] = {}
+    for i, c in enumerate(value):
+        if c.isdigit():
+            for pattern, cost in _DATES:
+                if m := pattern.match(value, i):
+                    dates.setdefault(m.end(), []).append((i, cost))
+    same = [0] * (UNIT + 1)  # by unit: characters up to here that are those one unit before
+    run, step, walk = 1, 0, 1  # lengths of the alphabet run, its direction, and of the walk that end here
     for j in range(1, n + 1):
-        best[j] = best[j - 1] + _char_cost(value[j - 1])
-        for i, cost in ends[j]:
-            best[j] = min(best[j], best[i] + cost + _SEGMENT)
+        cost = best[j - 1] + chars[j - 1]
+        for i in range(max(0, j - longest), j - SHORTEST + 1):
+            for text, extra in ((low, 0.0), (plain, 0.6)):
+                if (rank := known.get(text[i:j])) is not None:
+                    cost = min(cost, best[i] + math.log10(rank + 1) + extra + (0.5 if value[i:j] != low[i:j] else 0.0) + _SEGMENT)
+        for i, c in dates.get(j, ()):
+            cost = min(cost, best[i] + c + _SEGMENT)
+        if j > 1:
+            turn = ord(low[j - 1]) - ord(low[j - 2])
+            run, step = (run + 1 if turn == step else 2, turn) if abs(turn) == 1 else (1, 0)
+            for i in range(j - run, j - 2):
+                if i - (j - run) < REACH or j - i <= REACH:
+                    cost = min(cost, best[i] + chars[i] + math.log10(2 * (j - i)) + _SEGMENT)
+            walk = walk + 1 if _near(low[j - 2], low[j - 1]) else 1
+            if walk >= 4:
+                walks[j] = min(best[j - 4] + math.log10(len(_PLACE)) + 3 * _STEP + _SEGMENT, walks[j - 1] + _STEP if walk > 4 else math.inf)
+                cost = min(cost, walks[j])
+        for unit in range(1, min(UNIT, j - 1) + 1):
+            same[unit] = same[unit] + 1 if value[j - 1] == value[j - 1 - unit] else 0
+            if same[unit] < unit or any(unit % p == 0 and same[p] >= same[unit] for p in range(1, unit)):
+                continue  # no two units yet, or a repeat of a shorter one
+            start = j - same[unit] - unit
+            near = range(j - 2 * unit, max(start, j - REACH) - 1, -unit)
+            far = range(start + (j - start) % unit, min(start + REACH, near[-1] if near else j - 2 * unit + 1), unit)
+            for i in (*near, *far):
+                if j - i >= 3:
+                    cost = min(cost, best[i] + sum(chars[i : i + unit]) + math.log10((j - i) // unit) + _SEGMENT)
+        best[j] = cost
     return best[n]
 
 
@@ -120,7 +181,7 @@ def _values(text: str) -> Iterator[tuple[int, int, int]]:
                 yield key.start(), start, end
 
 
-def spans(text: str | None) -> list[tuple[int, int, int]]:
+def spans(text: str | None, path: str = WORDS_FILE) -> list[tuple[int, int, int]]:
     """(start, place of the kind in KINDS, end), sorted: base spans of each kind, and values that are hard to guess."""
     text = text or ""
     low, out = text.lower(), []
@@ -130,7 +191,7 @@ def spans(text: str | None) -> list[tuple[int, int, int]]:
         out += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)]
     out += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     if any(h in low for h in _KEY_HINTS):
-        out += [(a, 3, b) for _, a, b in _values(text) if guess_cost(text[a:b]) >= GUESS_LEAST]
+        out += [(a, 3, b) for _, a, b in _values(text) if not is_placeholder(text[a:b]) and guess_cost(text[a:b], path) >= GUESS_LEAST]
     return sorted(out)
 
 
@@ -149,14 +210,14 @@ def _said(found: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in found)
 
 
-def scan_secrets(docs: DataFrame) -> DataFrame:
+def scan_secrets(docs: DataFrame, path: str = WORDS_FILE) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, n_guess, base_sha256, spans) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = [[] for _ in range(6)]
             for text in batch.column("text"):
-                found = spans(text.as_py())
+                found = spans(text.as_py(), path)
                 base = _said([x for x in found if x[1] < 3])
                 for c, x in zip(cols, [*(sum(k == i for _, k, _ in found) for i in range(4)), hashlib.sha256(base.encode()).hexdigest(), _said(found)], strict=True):
                     c.append(x)
@@ -165,7 +226,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string")
 
 
-def redact_secrets(docs: DataFrame) -> DataFrame:
+def redact_secrets(docs: DataFrame, path: str = WORDS_FILE) -> DataFrame:
     """docs with all spans in text replaced; n_chars, where there is one, is counted anew for changed texts. A null
     text stays null."""
     columns, at = docs.columns, docs.columns.index("text")
@@ -175,7 +236,7 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts, sizes = batch.column(at).to_pylist(), batch.column(count).to_pylist() if count is not None else None
             for i, text in enumerate(texts):
-                if text and (found := spans(text)):
+                if text and (found := spans(text, path)):
                     texts[i] = redacted(text, found)
                     if sizes is not None:
                         sizes[i] = len(texts[i])

@@ -657,6 +657,36 @@ def test_guess_cost():
     assert cost("x" * 20000 + "Zk8vQ2mX") < 25
 
 
+def test_guess_cost_is_the_cheapest_of_all_cuts():
+    import functools
+    import random
+
+    segment = functools.cache(secrets.segment_cost)
+
+    def cheapest(value):
+        return min(sum(segment(value[a:b]) for a, b in itertools.pairwise([0, *cuts, len(value)])) for k in range(len(value)) for cuts in itertools.combinations(range(1, len(value)), k))
+
+    random.seed(2)
+    whole = ["passw0rd1", "qwertyabc", "aaaabcdcba", "2024-01-31", "31012024xy", "abcabcabca", "Horse5taple", "1qaz2wsx", "zzzzzzzzzz", "98765abab", "asdfdsasdf"]
+    values = whole + ["".join(random.choice(letters) for _ in range(random.randrange(1, 11))) for letters in ("ab", "abc1", "qwe12", "0123", "2019-", "aA4@s$", "thecar") for _ in range(40)]
+    for value in values:
+        assert abs(secrets.guess_cost(value) - cheapest(value)) < 1e-9, value
+    for value in ("ab" * 40 + "c", "x" * 90 + "the" * 30, "banana" + "a" * 70 + "bc"):  # long runs: by all segments
+        best = [0.0]
+        for j in range(1, len(value) + 1):
+            best.append(min(best[i] + segment(value[i:j]) for i in range(j)))
+        assert abs(secrets.guess_cost(value) - best[-1]) < 1e-9
+
+
+def test_placeholders_are_no_secrets():
+    for value in ("your_password_here", "REPLACE_WITH_TOKEN", "<your-api-key>", "${DB_PASSWORD}", "$DB_PASSWORD", "%PASSWORD%", "{{ vault.password }}", "[REDACTED]", "ChangeMe", "process.env.API_KEY", "INSERT-YOUR-SECRET-KEY-HERE"):
+        assert not any(k == 3 for _, k, _ in secrets.spans(f"password = {value}")), value
+    found, longest = secrets.ranks(secrets.WORDS_FILE)
+    assert len(found) > 20_000 and longest < 40
+    assert secrets.guess_cost("correcthorsebatterystaple") < 18 < secrets.guess_cost("qmvzrtphorsekxwlgydnbfjsc")
+    assert [k for _, k, _ in secrets.spans("pwd: correcthorsebatterystaple")] == [3]  # four words are still many guesses
+
+
 @pytest.mark.parametrize(
     ("text", "value"),
     [

@@ -301,20 +301,22 @@ def rules() -> list[dict]:
     return [{"at": i, "keyword": k, "label": label, "priority": int(p), "regex": f"(?<= )(?:{r.replace(chr(92) * 2, chr(92))})(?= )"} for i, (k, label, p, r) in enumerate(rows)]
 
 
+_FROM, _TO = "\x01", "\x02"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
 def _literal(value: object, schema: str) -> Column:
     return F.from_json(F.lit(json.dumps(value)), T._parse_datatype_string(schema))
 
 
 def _places(text: Column, regex: Column) -> Column:
-    """(start, end) in words of all matches of regex in text, whose words stand between single spaces."""
-    pieces = F.split(text, regex, -1)
-    matches = F.regexp_extract_all(text, regex, F.lit(0))
-    spaces = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
-    pairs = F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda p, m: F.struct(spaces(p).alias("before"), spaces(m).alias("inside")))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("out"))
-    # The first piece begins with the space before word 0; the words before a match are the spaces before it, less one.
-    add = lambda a, x: F.struct((a["at"] + x["before"] + x["inside"]).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + x["before"] - 1).alias("start"), (a["at"] + x["before"] + x["inside"]).alias("end")))).alias("out"))
-    return F.aggregate(pairs, start, add, lambda a: a["out"])
+    """(start, end) in words of all matches of regex in text, whose words stand between single spaces. Matches are marked
+    with signs that no word holds, and the marked words counted once, so time grows with the text alone."""
+    marked = F.regexp_replace(text, regex, F.lit(f"{_FROM}$0{_TO}"))
+    at = lambda m, found, less: F.array_compact(F.transform(F.split(m, " "), lambda w, i: F.when(found(w), i - less)))
+    pairs = lambda m: F.zip_with(at(m, lambda w: F.startswith(w, F.lit(_FROM)), 1), at(m, lambda w: F.endswith(w, F.lit(_TO)), 0), lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end")))
+    none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
+    return F.get(F.transform(F.array(marked), lambda m: F.when(F.contains(m, F.lit(_FROM)), pairs(m)).otherwise(none)), F.lit(0))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
@@ -324,7 +326,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     keywords = "(?<= )(?:" + "|".join(sorted({r["keyword"] for r in table}, key=lambda k: (-len(k), k))) + ")(?= )"
     bases = "(?<= )(?:" + "|".join(BASE) + ")(?= )"
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("low"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), _UPPER, _LOWER).alias("low"))
     rows = rows.select("doc_id", F.concat(F.lit(" "), F.trim(F.regexp_replace("low", _SPLIT, " ")), F.lit(" ")).alias("norm"))
     n_words = F.when(F.col("norm") == "  ", 0).otherwise(F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) - 1)
     rows = rows.withColumn("n_words", n_words.cast("long")).withColumn("keywords", F.array_distinct(F.regexp_extract_all("norm", F.lit(keywords), F.lit(0))))

@@ -7,10 +7,12 @@ beginnings of PREFIXES bytes (by 64-bit hash), the log of the number of words, t
 probabilities. Beginnings find inflected forms that the sample lacks.
 
 The chain is fitted on at most SAMPLE_ROWS labelled documents, those with the smallest hash of doc_id; words are chosen
-by their counts over that whole sample. Every document is scored on its whole text.
+by their counts over that whole sample for the final models, and over the other folds for out-of-fold predictions, which
+so know nothing of the documents they are for. Every document is scored on its whole text.
 
 Edge cases: documents without text are scored as texts without words; labels with a null id or value are ignored, of
-several labels of one document the largest of each column holds; equal texts fall into one fold; where no label can be
+several labels of one document, or of equal texts, the largest of each column holds, and equal texts are one row of the
+sample; where no label can be
 joined, or a column has one value only, its probability is the constant share; repeated rows are scored alike; other
 columns pass through `filter_toxic` unchanged; columns named like the added ones are replaced.
 """
@@ -22,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import materialize
@@ -93,15 +95,19 @@ def fit_linear(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit_chain(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> list[np.ndarray]:
-    """Weights of each column of y in turn, given the out-of-fold probabilities of those before it."""
+def fit_chain(x: np.ndarray, y: np.ndarray, fold: np.ndarray, views: dict[int | None, np.ndarray] | None = None) -> list[np.ndarray]:
+    """Weights of each column of y in turn, given the out-of-fold probabilities of those before it. views: the columns of x
+    that the final models see (None), and those that a model without a fold sees; all where it isn't given."""
     weights, earlier = [], np.zeros((len(y), 0))
-    ones = np.ones((len(y), 1))
+    ones, every = np.ones((len(y), 1)), np.arange(x.shape[1])
+    seen = lambda f: every if views is None else views[f]
     for k in range(y.shape[1]):
-        mine = np.concatenate([x, earlier, ones], axis=1, dtype=np.float32)  # with its copies, what the driver holds most
-        weights.append(fit_linear(mine, y[:, k]))
+        # With its copies, a view of x is what the driver holds most.
+        view = lambda f, earlier=earlier: np.concatenate([x[:, seen(f)], earlier, ones], axis=1, dtype=np.float32)
+        weights.append(fit_linear(view(None), y[:, k]))
         held = np.zeros(len(y))
         for f in np.unique(fold):
+            mine = view(int(f))
             w = fit_linear(mine[fold != f], y[fold != f, k])
             held[fold == f] = 1 / (1 + np.exp(-np.clip(mine[fold == f] @ w, -35, 35)))
         earlier = np.concatenate([earlier, held[:, None]], axis=1)
@@ -114,6 +120,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Chain:
     known = known.groupBy("doc_id").agg(*(F.max(c).alias(c) for c in CHAIN)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
     known = F.broadcast(materialize(known, "labelled"))  # SAMPLE_ROWS rows of 16 bytes at most
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(known, "doc_id")
+    rows = rows.withColumn("key", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,32 +130,51 @@ def train(docs: DataFrame, labels: DataFrame) -> Chain:
                 w, cuts = w[order], np.searchsorted(doc[order], np.arange(len(d) + 1))
                 found += [np.unique(w[a:b]).view(np.int64) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 dense += d.tolist()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(c) for c in CHAIN), pa.array([x.tolist() for x in found], pa.list_(pa.int64())), pa.array(dense, pa.list_(pa.float64()))], ["doc_id", *CHAIN, "words", "dense"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *(batch.column(c) for c in CHAIN), pa.array([x.tolist() for x in found], pa.list_(pa.int64())), pa.array(dense, pa.list_(pa.float64()))], ["key", *CHAIN, "words", "dense"])
 
-    sample = rows.mapInArrow(run, "doc_id long, low_quality int, toxic int, words array<long>, dense array<double>")
+    sample = rows.mapInArrow(run, "key long, low_quality int, toxic int, words array<long>, dense array<double>")
     # One row for each text, repeated doc_ids included: the sample stays bounded.
-    sample = sample.withColumn("key", F.xxhash64("words")).dropDuplicates(["key"]).orderBy("key").limit(SAMPLE_ROWS)
-    sample = materialize(sample, "sample")
-    n, *positive = sample.agg(F.count("*"), *(F.sum(c) for c in CHAIN)).first()
-    if not n:
+    sample = sample.groupBy("key").agg(*(F.max(c).alias(c) for c in CHAIN), F.first("words").alias("words"), F.first("dense").alias("dense"))
+    sample = materialize(sample.orderBy("key").limit(SAMPLE_ROWS).withColumn("fold", F.pmod("key", F.lit(FOLDS))), "sample")
+    if sample.isEmpty():
         return Chain(np.zeros(0, np.uint64), [np.zeros(3 + k) - 35.0 * (np.arange(3 + k) == 2 + k) for k in range(len(CHAIN))])
-    counts = sample.select(F.explode("words").alias("word"), *CHAIN).groupBy("word").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in CHAIN)).filter(F.col("n") >= WORD_DOCS)
-    chosen = set()
-    for c, total in zip(CHAIN, positive, strict=True):
-        share = min(max(total / n, 0.5 / n), 1 - 0.5 / n)
-        z = (F.col(c) - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
-        chosen |= {r["word"] for r in counts.select("word", F.abs(z).alias("z")).filter(F.col("z") >= WORD_Z).orderBy(F.desc("z"), "word").limit(WORDS_EACH).collect()}
-    vocabulary = np.sort(np.array(sorted(chosen), dtype=np.int64).view(np.uint64))
-    wanted = F.array(*(F.lit(int(x)).cast("long") for x in vocabulary.view(np.int64))) if chosen else F.array().cast("array<long>")
-    found = sample.select("key", *CHAIN, "dense", F.array_intersect("words", wanted).alias("words")).collect()  # SAMPLE_ROWS at most
+    words_of = _chosen_words(sample)
+    vocabulary = np.sort(np.array(sorted(set().union(*words_of.values())), dtype=np.int64).view(np.uint64))
+    wanted = F.array(*(F.lit(int(x)).cast("long") for x in vocabulary.view(np.int64))) if len(vocabulary) else F.array().cast("array<long>")
+    found = sample.select("key", "fold", *CHAIN, "dense", F.array_intersect("words", wanted).alias("words")).orderBy("key").collect()  # SAMPLE_ROWS at most
     x = np.zeros((len(found), len(vocabulary) + 2), np.float32)
     for i, r in enumerate(found):
         if r["words"]:
             x[i, np.searchsorted(vocabulary, np.array(r["words"], np.int64).view(np.uint64))] = 1
         x[i, -2:] = r["dense"]
     y = np.array([[r[c] for c in CHAIN] for r in found], dtype=float)
-    fold = np.array([r["key"] % FOLDS for r in found])
-    return Chain(vocabulary, fit_chain(x, y, fold))
+    columns = {v: np.searchsorted(vocabulary, np.sort(np.array(sorted(w), dtype=np.int64).view(np.uint64))) for v, w in words_of.items()}
+    views = {v: np.append(c, [len(vocabulary), len(vocabulary) + 1]) for v, c in columns.items()}
+    return Chain(vocabulary[columns[None]], fit_chain(x, y, np.array([r["fold"] for r in found]), views))
+
+
+def _chosen_words(sample: DataFrame) -> dict[int | None, set[int]]:
+    """For each fold, and for none (None), the hashes of at most WORDS_EACH words for each label whose rate among the
+    documents outside the fold differs most."""
+    folds = range(FOLDS)
+    parts = {(c, f): F.sum(F.when(F.col("fold") == f, F.col(c) if c != "n" else 1).otherwise(0)) for c in ("n", *CHAIN) for f in folds}
+    sums = [v.alias(f"{c}_{f}") for (c, f), v in parts.items()]
+    total = sample.agg(*sums).first()
+    counts = sample.select(F.explode("words").alias("word"), "fold", *CHAIN).groupBy("word").agg(*sums)
+    rates = []
+    for view in (None, *folds):
+        mine = [f for f in folds if f != view]
+        n, all_n = sum(F.col(f"n_{f}") for f in mine), sum(total[f"n_{f}"] for f in mine)
+        for c in CHAIN:
+            share = min(max(sum(total[f"{c}_{f}"] for f in mine) / max(1, all_n), 0.5 / max(1, all_n)), 1 - 0.5 / max(1, all_n))
+            z = (sum(F.col(f"{c}_{f}") for f in mine) - n * share) / F.sqrt(n * share * (1 - share))
+            rates.append(F.struct(F.lit(view).cast("int").alias("view"), F.lit(c).alias("label"), F.when(n >= WORD_DOCS, F.abs(z)).alias("z")))
+    each = counts.select("word", F.inline(F.array(*rates))).filter(F.col("z") >= WORD_Z)
+    rank = F.row_number().over(Window.partitionBy("view", "label").orderBy(F.desc("z"), "word"))
+    found: dict[int | None, set[int]] = {v: set() for v in (None, *folds)}
+    for r in each.withColumn("r", rank).filter(F.col("r") <= WORDS_EACH).select("view", "word").collect():  # WORDS_EACH for each fold and label at most
+        found[r["view"]].add(r["word"])
+    return found
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:

@@ -68,7 +68,7 @@ def brute_shards(rows, shards):
             else:
                 later.append(i)
         waiting = later
-    return Counter(placed), [h[0] for h in home]
+    return placed, [h[0] for h in home]
 
 
 @pytest.mark.parametrize("name", ["rows", "awkward", "nothing"])
@@ -88,21 +88,29 @@ def test_sharding(spark, request, name):
 def test_sharding_walk_matches_rows_one_by_one():
     rng = np.random.default_rng(3)
     cells = sorted(map(int, rng.integers(0, sharding.CELLS, 700)))
-    counts, homes = brute_shards(cells, 5)
+    placed, homes = brute_shards(cells, 5)
+    rank = [cells[:i].count(c) for i, c in enumerate(cells)]
     found = sharding.walk(Counter(cells), 5)
-    assert counts == Counter({s: sum(b - a for _, a, b, t, *_ in found if t == s) for s in range(5)})
+    by_rank = {(c, r): s for c, a, b, s, *_ in found for r in range(a, b)}
+    assert [by_rank[c, r] for c, r in zip(cells, rank, strict=True)] == placed
     stays = sum(b - a for _, a, b, s, _, h in found if s == h)
     assert stays == sum(min(n, c) for (s, n), c in zip(sorted(Counter(homes).items()), sharding.capacities(700, 5), strict=True))
-    one_more = {(c, r): s for c, a, b, s, *_ in sharding.walk(Counter(cells), 6) for r in range(a, b)}
-    moved = sum(one_more[c, r] != s for c, a, b, s, *_ in found for r in range(a, b))
-    assert moved < 350
+
+
+def test_sharding_moves_few_rows():
+    rng = np.random.default_rng(4)
+    cells = Counter(map(int, rng.integers(0, sharding.CELLS, 200_000)))
+    where = lambda counts, k: {(c, r): s for c, a, b, s, *_ in sharding.walk(counts, k) for r in range(a, b)}
+    one, grown, more = where(cells, 24), where(cells, 25), where(cells + Counter(map(int, rng.integers(0, sharding.CELLS, 2000))), 24)
+    assert sum(grown[x] != s for x, s in one.items()) / len(one) < 0.09  # 1 / 25 must move
+    assert sum(more[x] != s for x, s in one.items()) / len(one) < 0.03
 
 
 # --- licenses
 
 
 def brute_license(text):
-    words = ALNUM.findall((text or "").lower())
+    words = ALNUM.findall(lower(text or ""))
     places, labels = [], set()
     for phrase, label in licenses.BASE.items():
         p = phrase.split()
@@ -168,6 +176,18 @@ def test_license_words_of_their_own(spark):
     assert [r["labels"] for r in sorted(got, key=lambda r: r["doc_id"])] == ["no-redistribution", "as-is", "reserved", "gpl-2.0-or-later"]
 
 
+def test_license_many_hits_and_capitals(spark):
+    import time
+
+    texts = ["\u212aaggle competition rules", "MIT License \u0130", "the mit license " * 30_000, "all rights reserved cc by " * 20_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    began = time.time()
+    got = sorted(tuple(r) for r in licenses.scan_licenses(df).collect())
+    assert time.time() - began < 30
+    assert got[:2] == [(i, *brute_license(t)) for i, t in enumerate(texts[:2])] and got[0][6] == "" and got[1][6] == "mit"
+    assert got[2][6] == "mit" and got[3][2:5] == (40_000, 0, 5 * 20_000 - 2) and got[3][5] == "cc-by,reserved"
+
+
 def test_license_suppression(spark):
     texts = ["licensed under the apache license version 2.0", "Creative Commons Attribution-ShareAlike 4.0", "BSD license or MIT License", "gpl", "no words at all 12", "distributed under the mit license " * 300]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
@@ -198,6 +218,47 @@ def test_toxicity_awkward(spark, awkward, nothing):
         assert toxicity.filter_toxic(awkward, chain).columns == awkward.columns
 
 
+def test_toxicity_does_not_depend_on_the_order_of_rows(spark):
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(60)] + ["vile", "nasty", "awful"]
+    rows = []
+    for i in range(240):
+        bad = i % 4 == 0
+        rows.append((i, " ".join([*rng.choice(words[:60], 20), *(rng.choice(words[60:], 2) if bad else [])]), int(rng.integers(0, 2)), int(bad)))
+    rows += [(1000 + i, "the very same text of a few words", 1, i % 2) for i in range(8)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, q, t) for i, _, q, t in rows], "doc_id bigint, quality int, toxic int")
+    one, two = (toxicity.train(docs.repartition(n), labels.repartition(n)) for n in (1, 7))
+    assert (one.words == two.words).all() and all(np.allclose(a, b) for a, b in zip(one.weights, two.weights, strict=True))
+    # Scores by plain sums over the distinct words and beginnings of each text.
+    import pyarrow as pa
+
+    def hashed(word):
+        found, _, starts = hashing.words(*list(hashing.slices(pa.array([word])))[0][2:], hashing.NOT_ALNUM, toxicity.PREFIXES)
+        return {int(found[0])} | {int(h[0]) for _, h in starts if len(h)}
+
+    def brute(text):
+        words, p = ALNUM.findall(lower(text or "")), []
+        seen = set().union(*map(hashed, words)) if words else set()
+        size = len((text or "").encode())
+        dense = [np.log1p(len(words)) / 8, min(1, sum(c in "#*$%&|<>@^~=+_{}[]" for c in text or "") / max(1, size) * 10)]
+        for w in one.weights:
+            total = sum(x for h, x in zip(one.words.tolist(), w, strict=False) if h in seen) + np.dot(w[len(one.words) :], [*dense, *p, 1])
+            p.append(1 / (1 + np.exp(-total)))
+        return p
+
+    for r in toxicity.score(docs, one).collect():
+        text = next(t for i, t, *_ in rows if i == r["doc_id"])
+        assert np.allclose([r["p_low_quality"], r["p_toxic"]], brute(text))
+        assert r["is_toxic"] == (r["p_toxic"] >= toxicity.THRESHOLD)
+
+
+def test_out_of_fold_words_come_from_the_other_folds(spark):
+    sample = spark.createDataFrame([(i, i % 4, i % 2, i % 2, [7 if i % 2 else 8, 100 + i % 4 if i % 2 else 8]) for i in range(400)], "key long, fold int, low_quality int, toxic int, words array<long>")
+    found = toxicity._chosen_words(sample)
+    assert 7 in found[None] and 101 in found[None] and 101 not in found[1] and 101 in found[0] and 103 not in found[3]
+
+
 def test_chain_feeds_out_of_fold_probabilities():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 3))

@@ -17,10 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one is set where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir. Where that is unset a local session, as in tests, gets a temporary one; on a
+    cluster, whose machines don't share one, it must be set."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="lodestar-")
         sc.setCheckpointDir(base)
     return base.rstrip("/")

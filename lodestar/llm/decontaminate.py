@@ -12,7 +12,8 @@ digits (A-Z lower-cased) or non-ASCII characters, so punctuation and layout don'
    11 bits on average with a deviation of 3; a radius of 20 therefore finds all but about one in a thousand windows
    that just reach the similarity, and equal windows always.
 
-Items are the stated query set: they are read in blocks of a fixed size, each broadcast and held against all rows.
+Items are the stated query set: they are read in blocks of a fixed size, which are broadcast and held against all rows,
+several in one pass over the documents. Of long texts, bit sums of SPAN windows are held at a time.
 Edge cases: null or empty texts and items match nothing; an item or document of fewer than five words is one shingle,
 its whole sequence, so it only matches an equal one; a document shorter than an item is one window; equal rows are
 reported for each row, equal items by each id; null ids are carried; empty tables give no rows; other columns of the
@@ -33,8 +34,10 @@ from lodestar.llm.hashing import NOT_ALNUM, document_shingles, mix
 
 NUM, DEN = 75, 100
 RADIUS, BLOCKS = 20, 4
-#: Bounds of one block of benchmark items.
-BLOCK_ITEMS, BLOCK_BYTES = 4096, 8 << 20
+#: Bounds of one block of benchmark items, and blocks that a pass over the documents holds.
+BLOCK_ITEMS, BLOCK_BYTES, PASS_BLOCKS = 4096, 8 << 20, 8
+#: Window starts whose bit sums are held at once.
+SPAN = 1 << 15
 SCHEMA = "doc_id long, item_id long, first_word long, similarity double"
 _ONES = np.array([bin(i).count("1") for i in range(1 << 16)], dtype=np.uint8)
 
@@ -86,17 +89,18 @@ class Items:
     def near(self, size: int, prints: np.ndarray) -> Iterator[tuple[int, int]]:
         """(window, item) of all fingerprints within the radius."""
         members, mine, index = self.by_size[size]
-        pairs = []
-        for b in range(BLOCKS):
-            values, of_item = index[b]
-            for lo in range(0, len(prints), 4096):
-                window, value = np.nonzero(_ONES[prints[lo : lo + 4096, b][:, None] ^ values[None, :]] <= RADIUS // BLOCKS)
+        for lo in range(0, len(prints), 4096):
+            some, pairs = prints[lo : lo + 4096], []
+            for b, (values, of_item) in enumerate(index):
                 order = np.argsort(of_item, kind="stable")
                 cuts = np.searchsorted(of_item[order], np.arange(len(values) + 1))
-                for w, v in zip(window, value, strict=True):
-                    pairs.extend((int(w) + lo, int(i)) for i in order[cuts[v] : cuts[v + 1]])
-        for w, i in sorted(set(pairs)):
-            if int(_ONES[prints[w] ^ mine[i]].sum()) <= RADIUS:
+                window, value = np.nonzero(_ONES[some[:, b][:, None] ^ values[None, :]] <= RADIUS // BLOCKS)
+                each = cuts[value + 1] - cuts[value]
+                item = order[np.repeat(cuts[value] - np.cumsum(each) + each, each) + np.arange(each.sum())]
+                pairs.append(np.repeat(window, each) * len(members) + item)
+            window, item = np.divmod(np.unique(np.concatenate(pairs)), len(members))
+            close = _ONES[some[window] ^ mine[item]].sum(axis=1) <= RADIUS
+            for w, i in zip((window[close] + lo).tolist(), item[close].tolist(), strict=True):
                 yield w, members[i]
 
     def search(self, found: np.ndarray) -> list[tuple[int, int, float]]:
@@ -110,48 +114,51 @@ class Items:
             wide = min(size, len(found))
             if DEN * wide < NUM * size:
                 continue
-            starts = np.flatnonzero(before[wide:] - before[:-wide] >= -(-NUM * (size + wide) // (NUM + DEN)))
-            if not len(starts):
-                continue
-            lo, hi = int(starts[0]), int(starts[-1]) + wide
-            sums = np.zeros((hi - lo + 1, 64), np.int32)
-            np.cumsum(_bits(found[lo:hi]), axis=0, out=sums[1:])
-            prints = _simhash(sums[starts - lo + wide] - sums[starts - lo])
-            for w, i in self.near(size, prints):
-                start = int(starts[w])
-                shingle, count = np.unique(found[start : start + wide], return_counts=True)
-                mine, weight = self.bags[i]
-                _, a, b = np.intersect1d(shingle, mine, assume_unique=True, return_indices=True)
-                shared = int(np.minimum(count[a], weight[b]).sum())
-                union = wide + size - shared
-                if DEN * shared >= NUM * union and (shared / union, -start) > best.get(i, (0.0, 1)):
-                    best[i] = shared / union, -start
+            every = np.flatnonzero(before[wide:] - before[:-wide] >= -(-NUM * (size + wide) // (NUM + DEN)))
+            cuts = np.flatnonzero(np.diff(every // SPAN, prepend=-1)) if len(every) else []  # sums of bits over SPAN shingles at a time
+            for starts in np.split(every, cuts[1:]) if len(every) else ():
+                lo, hi = int(starts[0]), int(starts[-1]) + wide
+                sums = np.zeros((hi - lo + 1, 64), np.int32)
+                np.cumsum(_bits(found[lo:hi]), axis=0, out=sums[1:])
+                prints = _simhash(sums[starts - lo + wide] - sums[starts - lo])
+                for w, i in self.near(size, prints):
+                    start = int(starts[w])
+                    shingle, count = np.unique(found[start : start + wide], return_counts=True)
+                    mine, weight = self.bags[i]
+                    _, a, b = np.intersect1d(shingle, mine, assume_unique=True, return_indices=True)
+                    shared = int(np.minimum(count[a], weight[b]).sum())
+                    union = wide + size - shared
+                    if DEN * shared >= NUM * union and (shared / union, -start) > best.get(i, (0.0, 1)):
+                        best[i] = shared / union, -start
         return [(i, -start, similarity) for i, (similarity, start) in sorted(best.items())]
 
 
-def _item_blocks(benchmark: DataFrame) -> Iterator:
-    """Broadcasts of the items, in blocks of a bounded size."""
+def _passes(benchmark: DataFrame) -> Iterator[list]:
+    """Broadcasts of the items in blocks of a bounded size, PASS_BLOCKS at a time."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    blocks = max(1, math.ceil(n / BLOCK_ITEMS), math.ceil(size / BLOCK_BYTES))
+    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    blocks, held = max(1, math.ceil(n / BLOCK_ITEMS), math.ceil(size / BLOCK_BYTES)), []
     for block in range(blocks):
         mine = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        yield spark.sparkContext.broadcast(Items([tuple(r) for r in mine.collect()]))
+        held.append(spark.sparkContext.broadcast(Items([tuple(r) for r in mine.collect()])))  # BLOCK_BYTES, about
+        if len(held) == PASS_BLOCKS or block == blocks - 1:
+            yield held
+            held = []
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, first_word, similarity): one row for each document row and item that it holds."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
-    for shared in _item_blocks(benchmark):
+    for blocks in _passes(benchmark):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], blocks=blocks) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows = []
                 ids = batch.column("doc_id").to_pylist()
                 for row, found in document_shingles(batch.column("text"), NOT_ALNUM):
-                    rows += [(ids[row], shared.value.ids[i], start, similarity) for i, start, similarity in shared.value.search(found)]
+                    rows += [(ids[row], shared.value.ids[i], start, similarity) for shared in blocks for i, start, similarity in shared.value.search(found)]
                 cols = list(zip(*rows, strict=True)) or [[], [], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.float64()], strict=True)], ["doc_id", "item_id", "first_word", "similarity"])
 
@@ -164,11 +171,11 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no item, with all their columns."""
     at = docs.columns.index("text")
     out = docs
-    for shared in _item_blocks(benchmark):
+    for blocks in _passes(benchmark):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], blocks=blocks) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keep = [not shared.value.search(found) for _, found in document_shingles(batch.column(at), NOT_ALNUM)]
+                keep = [not any(shared.value.search(found) for shared in blocks) for _, found in document_shingles(batch.column(at), NOT_ALNUM)]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         out = out.mapInArrow(run, docs.schema)

@@ -550,6 +550,32 @@ def test_token_files(spark, request, name):
     assert known == sorted(known)
 
 
+def test_token_files_part_by_part(spark, monkeypatch, tmp_path):
+    """Parts of little text, 32-bit ids, and reads by ranges as from a store that can't be mapped."""
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rows = [(i * 7 % 50, f"text number {i} " * (i % 5)) for i in range(50)]
+    monkeypatch.setattr(token_files, "PART_BYTES", 200)
+    folder = f"file://{tmp_path}/out"
+    parts = token_files.write_token_files(spark.createDataFrame(rows, "doc_id bigint, text string"), "word_bpe_49k.json", folder, vocabulary=1 << 20)
+    assert len(parts) > 4 and json.loads((tmp_path / "out/parts.json").read_text()) == {"width": 4, "parts": [list(p) for p in parts]}
+    ids = [[*t.encode(x, add_special_tokens=False).ids, 2] for _, x in sorted(rows)]
+    flat = np.concatenate([np.fromfile(tmp_path / f"out/part-{p:06d}-{a}.u4.bin", "<u4") for p, a, *_ in parts])
+    assert flat.tolist() == list(itertools.chain(*ids))
+    got = sorted(tuple(r) for r in token_files.read_token_files(spark, folder, parts, vocabulary=1 << 20).collect())
+    starts = list(itertools.accumulate(map(len, ids), initial=0))
+    assert got == [(d, starts[d], len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for d, x in enumerate(ids)]
+    from pyarrow import fs
+
+    path = f"{tmp_path}/out/part-{parts[0][0]:06d}-{parts[0][1]}.u4.bin"
+    one, other = token_files._reader(fs.LocalFileSystem(), path, "<u4"), token_files._reader(fs.SubTreeFileSystem("/", fs.LocalFileSystem()), path, "<u4")
+    assert one(2, 9).tolist() == other(2, 9).tolist() == flat[2:9].tolist()
+
+
 # --- decontamination
 
 
@@ -600,6 +626,33 @@ def test_decontamination(spark, awkward, nothing):
     del rng
 
 
+def test_decontamination_in_spans_and_blocks(spark, monkeypatch):
+    """Long texts in several spans of windows, and items in more blocks than a pass holds, give the same rows."""
+    rng = np.random.default_rng(9)
+    items = [(i, " ".join(f"v{x}" for x in rng.integers(0, 300, 25))) for i in range(60)]
+    docs = [(d, " ".join(" ".join(f"v{x}" for x in rng.integers(0, 300, 40)) + " " + items[(7 * d + 3 * j) % 60][1] for j in range(6))) for d in range(12)]
+    df, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    want = brute_contaminated(docs, items)
+    for span, block in ((decontaminate.SPAN, decontaminate.BLOCK_ITEMS), (16, 5)):
+        monkeypatch.setattr(decontaminate, "SPAN", span)
+        monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", block)
+        got = sorted(((r["doc_id"], r["item_id"], round(r["similarity"], 9)) for r in decontaminate.contaminated(df, bench).collect()), key=str)
+        assert got == want and len(got) >= 72
+        assert decontaminate.drop_contaminated(df, bench).count() == 0
+
+
+def test_radius_recall():
+    """Of windows whose similarity to an item is just enough, the share within the radius of its fingerprint."""
+    rng, found = np.random.default_rng(12), []
+    for _ in range(3000):
+        n = int(rng.integers(20, 200))
+        own = n - decontaminate._need(n)
+        shingles = rng.integers(0, 1 << 63, n + own).astype(np.uint64)
+        a, b = (decontaminate._simhash(decontaminate._bits(x).sum(axis=0, keepdims=True))[0] for x in (shingles[:n], shingles[own:]))
+        found.append(int(decontaminate._ONES[a ^ b].sum()) <= decontaminate.RADIUS)
+    assert np.mean(found) > 0.995
+
+
 def test_index_finds_all_within_radius():
     rng = np.random.default_rng(6)
     texts = [(i, " ".join(f"w{x}" for x in rng.integers(0, 50, 30))) for i in range(60)]

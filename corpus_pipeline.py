@@ -11,7 +11,6 @@ Each stage works on all rows that its predecessor kept, and all but the last ret
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.llm import decontaminate, jaccard_join, packing, secrets, toxicity
@@ -41,7 +40,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(docs, "byte_bpe_50k.json")
 
 
 STAGES = [

@@ -83,6 +83,12 @@ def hash_embedding(c: Column, dimension: int = 8) -> Column:
     return F.aggregate(points, zeros, lambda v, p: F.transform(v, lambda x, i: F.when(i == p % dimension, x + p).otherwise(x)))
 
 
+def message_text(parts: Column) -> Column:
+    """The text of a message of several parts, array<struct<type, text>>: those of type text, joined."""
+    said = F.filter(parts, lambda p: (p["type"] == "text") & p["text"].isNotNull())
+    return F.coalesce(F.array_join(F.transform(said, lambda p: p["text"]), ""), F.lit(""))
+
+
 def is_technical(c: Column) -> Column:
     return ~c.rlike("[\\u4e00-\\u9fa5]") & c.rlike("^[A-Za-z0-9\\-_.\\s]+$")
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +43,9 @@ def train(tags: DataFrame, c: Axes = Axes()) -> Basis | None:
         flat = F.lit(centroids.ravel().tolist())
         dim = centroids.shape[1]
         scores = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.aggregate(F.zip_with(F.col("vector"), F.slice(flat, i * dim + 1, F.lit(dim)), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x))
-        nearest = known.withColumn("s", scores).select((F.array_position("s", F.array_max("s")) - 1).alias("c"), "vector")
-        sums = nearest.select("c", F.posexplode("vector")).groupBy("c", "pos").agg(F.sum("col").alias("s"), F.count("*").alias("n")).collect()  # clusters x dimension
+        nearest = known.withColumn("s", scores).select((F.array_position("s", F.array_max("s")) - 1).cast("int").alias("c"), "vector")
+        sums = nearest.mapInArrow(_sums, "c int, n long, sums array<double>").select("c", "n", F.posexplode("sums").alias("pos", "s"))
+        sums = sums.groupBy("c", "pos").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()  # clusters x dimension
         fresh, sizes = np.zeros_like(centroids), np.zeros(k)
         for r in sums:
             fresh[r["c"], r["pos"]] = r["s"]
@@ -50,7 +54,7 @@ def train(tags: DataFrame, c: Axes = Axes()) -> Basis | None:
         usable = (sizes > 0) & (norms > 0)
         fresh[usable] /= norms[usable, None]
         fresh[~usable] = centroids[~usable]
-        moved = np.abs(fresh - centroids).max()
+        moved = ((fresh - centroids) ** 2).sum()
         centroids = fresh
         if moved < 1e-4:
             break
@@ -60,6 +64,21 @@ def train(tags: DataFrame, c: Axes = Axes()) -> Basis | None:
     return principal_axes(centroids, sizes, names, c)
 
 
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(c, n, sums) of rows (c, vector): one row for each cluster of a task."""
+    found: dict[int, list] = {}
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        c = batch.column("c").to_numpy()
+        rows = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1)
+        for k in np.unique(c):
+            mine = found.setdefault(int(k), [0, np.zeros(rows.shape[1])])
+            mine[0] += int((c == k).sum())
+            mine[1] += rows[c == k].sum(axis=0)
+    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([n for n, _ in found.values()], pa.int64()), pa.array([s.tolist() for _, s in found.values()], pa.list_(pa.float64()))], ["c", "n", "sums"])
+
+
 def principal_axes(centroids: np.ndarray, sizes: np.ndarray, names: list[str], c: Axes = Axes()) -> Basis:
     """Weighted principal axes through the small Gram matrix of the centroids."""
     weights = sizes / max(sizes.sum(), 1)

@@ -47,8 +47,9 @@ def hard_dedup(candidates: DataFrame) -> DataFrame:
     """(query_id, ord) that stay, of candidates (query_id, ord, names, priority, score, completeness).
 
     In order of ord a row joins the first slot that knows one of its names, and takes it over when it is better by
-    priority, then score, then completeness. A row that knows the names of two slots joins the first only; the other
-    stays. That is order-dependent and so sequential within a query, whose candidates are few.
+    priority, then score, then completeness. From then on the slot owns the names of the row that stood for it and of the
+    row that joined, also those that another slot had. A row that knows the names of two slots joins the first only; the
+    other stays. That is order-dependent and so sequential within a query, whose candidates are few.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -57,14 +58,17 @@ def hard_dedup(candidates: DataFrame) -> DataFrame:
         for r in rows.sort_values("ord").itertuples():
             rank = (r.priority, r.score, r.completeness)
             at = next((known[n] for n in r.names if n in known), None)
+            owned = list(r.names)
             if at is None:
                 at = len(slots)
-                slots.append([rank, r.ord])
-            elif rank > slots[at][0]:
-                slots[at] = [rank, r.ord]
-            for n in r.names:
-                known.setdefault(n, at)
-        return pd.DataFrame({"query_id": rows["query_id"].iloc[:1].repeat(len(slots)).to_numpy(), "ord": [o for _, o in slots]})
+                slots.append([rank, r.ord, owned])
+            else:
+                owned = [*slots[at][2], *owned]
+                if rank > slots[at][0]:
+                    slots[at] = [rank, r.ord, list(r.names)]
+            for n in owned:
+                known[n] = at
+        return pd.DataFrame({"query_id": rows["query_id"].iloc[:1].repeat(len(slots)).to_numpy(), "ord": [o for _, o, _ in slots]})
 
     return candidates.groupBy("query_id").applyInPandas(run, "query_id long, ord long")
 

@@ -33,8 +33,11 @@ def field_tags(seed: DataFrame, field: DataFrame, boosts: DataFrame, tags: DataF
     rows = joined.select("query_id", "tag_id", F.greatest("weight", "energy").alias("weight"), F.coalesce("is_core", F.lit(False)).alias("is_core"), F.coalesce("level", F.lit(0)).alias("level"), F.coalesce("source_type", F.when(F.col("is_core"), "core").otherwise("seed")).alias("source_type"), F.coalesce("hop", F.lit(0)).alias("hop"), known.alias("is_seed"))
     rank = F.row_number().over(Window.partitionBy("query_id", "is_seed").orderBy(F.desc("weight"), "tag_id"))
     rows = rows.withColumn("rank", rank).filter(F.col("is_seed") | (F.col("rank") <= c.spread.max_emergent)).drop("rank", "is_seed")
-    wanted = cores.select("query_id", F.lower("name").alias("low")).distinct().join(tags.select("tag_id", F.lower("name").alias("low")), "low").groupBy("query_id", "low").agg(F.min("tag_id").alias("tag_id"))
-    missing = wanted.join(rows.select("query_id", "tag_id"), ["query_id", "tag_id"], "left_anti")
+    # A core tag is there when any tag of its name is, whatever the case.
+    named = tags.select("tag_id", F.lower("name").alias("low"))
+    there = rows.select("query_id", "tag_id").join(named, "tag_id").select("query_id", "low").distinct()
+    missing = cores.select("query_id", F.lower("name").alias("low")).distinct().join(there, ["query_id", "low"], "left_anti")
+    missing = missing.join(named, "low").groupBy("query_id", "low").agg(F.min("tag_id").alias("tag_id"))
     largest = rows.groupBy("query_id").agg(F.max("weight").alias("largest"))
     virtual = missing.join(largest, "query_id", "left").join(boosts.select("query_id", "core_boost"), "query_id")
     weight = F.coalesce(F.col("largest") / c.fusion.core_factor, F.lit(1.0)) * F.col("core_boost")
@@ -76,8 +79,11 @@ def matched_tags(rows: DataFrame, c: Config = Config()) -> DataFrame:
 
 
 def level_tags(levels: DataFrame, tags: DataFrame, limit: int = 8) -> DataFrame:
-    """(query_id, rank, tag, weight): tags of all pyramid levels by name at their largest contribution, without a graph."""
+    """(query_id, rank, tag, weight, level, source_type, hop, notation): tags of all pyramid levels by name at their largest
+    contribution, and the first level that has it; without a graph."""
     each = levels.select("query_id", "level", F.inline("tags")).join(tags.select("tag_id", "name"), "tag_id")
-    best = each.groupBy("query_id", F.col("name").alias("tag")).agg(F.max("contribution").alias("weight"))
+    best = each.groupBy("query_id", F.col("name").alias("tag")).agg(F.max("contribution").alias("weight"), F.max_by("level", F.struct("contribution", -F.col("level"))).alias("level"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("weight"), "tag")).cast("long")
-    return best.withColumn("rank", rank).filter(F.col("rank") <= limit).select("query_id", "rank", "tag", "weight")
+    notation = F.concat(F.lit("="), "tag", F.lit(":"), F.format_string("%.2f", F.col("weight")), F.lit("@seed"))
+    rows = best.withColumn("rank", rank).filter(F.col("rank") <= limit)
+    return rows.select("query_id", "rank", "tag", "weight", "level", F.lit("seed").alias("source_type"), F.lit(0).alias("hop"), notation.alias("notation"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.config import Cooccurrence, Kernel
 from lodestar.functions import vec
+from lodestar.tables import written
 
 
 def occurrences(rows: DataFrame) -> DataFrame:
@@ -23,16 +24,16 @@ def pair_evidence(occ: DataFrame, c: Cooccurrence = Cooccurrence()) -> DataFrame
     return joined.groupBy("src", "dst").agg(F.sum(base).alias("evidence"), F.count("*").alias("pairs"))
 
 
-def fact_matrix(occ: DataFrame, vectors: DataFrame, c: Cooccurrence = Cooccurrence()) -> DataFrame:
+def fact_matrix(occ: DataFrame, vectors: DataFrame, c: Cooccurrence = Cooccurrence(), evidence: DataFrame | None = None) -> DataFrame:
     """(src, dst, weight): directed edges.
 
     Every pair gives its evidence forwards and, times the reverse factor, backwards; the guard keeps the backward share
     of a pair at or below inversion_guard of its forward share. Both shares are the same multiple of a pair's evidence, so
     the evidence of each direction is summed first, and the similarity of two tags is computed once for each pair of tags
-    that occur together. vectors: (tag_id, vector).
+    that occur together. vectors: (tag_id, vector). evidence: that of pair_evidence, where it is at hand.
     """
     back = min(max(c.reverse_min, min(c.reverse_max, c.reverse)), c.inversion_guard * c.forward)
-    found = pair_evidence(occ, c)
+    found = pair_evidence(occ, c) if evidence is None else evidence
     a, b = F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")
     up = F.sum(F.when(F.col("src") < F.col("dst"), F.col("evidence")).otherwise(0.0)).alias("up")
     down = F.sum(F.when(F.col("src") > F.col("dst"), F.col("evidence")).otherwise(0.0)).alias("down")
@@ -46,9 +47,16 @@ def fact_matrix(occ: DataFrame, vectors: DataFrame, c: Cooccurrence = Cooccurren
     return edges.filter("weight > 0 and not isnan(weight) and weight < double('infinity')")
 
 
-def fact_diagnostics(occ: DataFrame, fact: DataFrame) -> DataFrame:
-    """One row (files, pairs, edges)."""
-    return occ.agg(F.countDistinct("file").alias("files")).crossJoin(pair_evidence(occ).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))).crossJoin(fact.agg(F.count("*").alias("edges")))  # one row each
+def fact_diagnostics(occ: DataFrame, vectors: DataFrame, c: Cooccurrence = Cooccurrence()) -> DataFrame:
+    """One row: files with two or more occurrences and their pairs of places, the edges that those gave forwards and
+    backwards (pairs of one tag give none), the backward ones that the guard cut, and the distinct edges."""
+    evidence = written(pair_evidence(occ, c), "evidence")
+    fact = fact_matrix(occ, vectors, c, evidence)
+    files = occ.groupBy("file").agg(F.max("n").alias("n")).filter("n >= 2").agg(F.count("*").alias("files"), F.coalesce(F.sum((F.col("n") * (F.col("n") - 1) / 2).cast("long")), F.lit(0)).alias("pairs"))
+    back = min(c.reverse_max, max(c.reverse_min, c.reverse))
+    given = F.coalesce(F.sum("pairs"), F.lit(0))
+    counts = evidence.agg(given.alias("forward_edges"), given.alias("backward_edges"), (given if back > c.inversion_guard * c.forward else F.lit(0)).cast("long").alias("inversion_clamped"))
+    return files.crossJoin(counts).crossJoin(fact.agg(F.count("*").alias("edges")))  # one row each
 
 
 def conductance(fact: DataFrame, residual: DataFrame | None = None, k: Kernel = Kernel()) -> DataFrame:
@@ -83,8 +91,8 @@ def upper_median(values: DataFrame, column: str) -> DataFrame:
 def kernel(fact: DataFrame, residual: DataFrame | None = None, k: Kernel = Kernel()) -> DataFrame:
     """(src, dst, p, is_wormhole): rows sum to outbound; hubs, whose inflow is above the upper median, are damped."""
     k = k.clamped()
-    edges = conductance(fact, residual, k)
-    inflow = inflows(edges)
+    edges = written(conductance(fact, residual, k), "conductance")  # stands below three times
+    inflow = written(inflows(edges), "inflow")
     edges = edges.join(inflow, "dst").crossJoin(F.broadcast(upper_median(inflow, "inflow")))  # one row
     relative = F.col("inflow") / (F.col("median") + F.greatest(F.lit(1e-9), F.col("median") * k.hub_smoothing))
     penalty = F.greatest(F.lit(k.hub_floor), F.least(F.lit(k.hub_ceiling), F.pow(F.greatest(relative, F.lit(1e-9)), -k.hub_exponent)))

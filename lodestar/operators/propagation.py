@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +32,14 @@ def hop(states: DataFrame, top: DataFrame, s: Spread = Spread()) -> DataFrame:
     return merged.withColumn("rank", rank).filter(F.col("rank") <= s.max_states).drop("rank")
 
 
+def hop_diagnostics(states: DataFrame, top: DataFrame, s: Spread = Spread()) -> DataFrame:
+    """(query_id, in_flight, truncated) of a hop from these states: the energy of the states after it, and how many states
+    fell to the bound of max_states."""
+    kept = hop(states, top, s).groupBy("query_id").agg(F.sum("energy").alias("in_flight"), F.count("*").alias("kept"))
+    every = hop(states, top, replace(s, max_states=(1 << 31) - 1)).groupBy("query_id").agg(F.count("*").alias("every"))
+    return kept.join(every, "query_id").select("query_id", "in_flight", (F.col("every") - F.col("kept")).alias("truncated"))
+
+
 def propagate(seeds: DataFrame, kernel: DataFrame, s: Spread = Spread()) -> DataFrame:
     """(query_id, node, energy, hop, source_type, origin_type) of seeds (query_id, node, weight, is_core).
 

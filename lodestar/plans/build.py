@@ -46,61 +46,108 @@ def graph_fingerprint(tags: DataFrame, occurrences: DataFrame) -> str:
     return ":".join(str(x) for x in (*total(tags, "name", "vector"), *total(occurrences, "file", "tag_id", "pos")))
 
 
-def build(spark: SparkSession, files: DataFrame, embed: Embed, max_tokens: int = 6800, overlap: int = 680, c: Config = Config()) -> tuple[dict[str, DataFrame], axes.Basis | None]:
-    """Tables of an index of files (file, raw), and its axes. Chunks and tags whose text the service can't embed keep a null
-    vector; chunk vectors have unit length, tag vectors stay as they are."""
-    chunks = diaries.embedded(diaries.chunked(files, max_tokens, overlap), "content", embed)
-    chunks = numbered(chunks.withColumn("vector", vec.normalize(F.col("vector"))), ["file", "chunk_index"], "chunk_id")
-    named = written(diaries.tag_occurrences(files), "named")
-    tags = numbered(named.select("name").distinct(), ["name"], "tag_id")
-    tags = written(diaries.embedded(tags, "name", embed), "tags")
-    occurrences = written(named.join(tags.select("name", "tag_id"), "name").select("file", "tag_id", "pos"), "occurrences")
+def _derived(spark: SparkSession, chunks: DataFrame, tags: DataFrame, occurrences: DataFrame, manifest: DataFrame, sig: str, c: Config, before: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """All tables of a generation. Where names, vectors and occurrences are those of the generation before, its graph and
+    axes are taken over."""
+    print_ = graph_fingerprint(tags, occurrences)
+    state = spark.createDataFrame([(print_, audit.tag_fingerprint(tags, sig).first()["fingerprint"])], "graph string, axes string")
+    tables = {"chunks": chunks, "tags": tags, "occurrences": occurrences, "manifest": manifest, "state": state}
+    if before and before["state"].first()["graph"] == print_:
+        return tables | {k: before[k] for k in ("kernel", "axes") if k in before}
     usable = tags.filter("vector is not null")
     counted = graph.occurrences(occurrences)
     fact = graph.fact_matrix(counted.join(usable.select("tag_id"), "tag_id", "left_semi"), usable, c.cooccurrence)
     if usable.limit(2).count() < 2:  # too few tags for a graph: an empty one of the same form
         fact = fact.limit(0)
+    tables["kernel"] = graph.kernel(fact, k=c.kernel)
     basis = axes.train(usable, c.axes)
-    tables = {"chunks": chunks, "tags": tags, "occurrences": occurrences, "kernel": graph.kernel(fact, k=c.kernel), "manifest": store.manifest(files)}
     if basis is not None:
         tables["axes"] = basis_table(spark, basis)
-    return tables, basis
+    return tables
+
+
+def _chunks(files: DataFrame, embed: Embed, max_tokens: int, overlap: int, first: int) -> DataFrame:
+    """(file, chunk_index, content, vector, chunk_id) of files (file, raw), ids from first on."""
+    found = diaries.embedded(diaries.chunked(files, max_tokens, overlap), "content", embed)
+    found = numbered(found.withColumn("vector", vec.normalize(F.col("vector"))), ["file", "chunk_index"], "chunk_id")
+    return found.withColumn("chunk_id", F.col("chunk_id") + first)
+
+
+def _tags(names: DataFrame, embed: Embed, first: int) -> DataFrame:
+    """(name, tag_id, vector) of distinct names, ids from first on."""
+    return diaries.embedded(numbered(names, ["name"], "tag_id").withColumn("tag_id", F.col("tag_id") + first), "name", embed)
+
+
+def build(spark: SparkSession, files: DataFrame, embed: Embed, sig: str = "", max_tokens: int = 6800, overlap: int = 680, c: Config = Config()) -> dict[str, DataFrame]:
+    """Tables of an index of files (file, raw). Chunks and tags whose text the service can't embed keep a null vector; chunk
+    vectors have unit length, tag vectors stay as they are."""
+    chunks = written(_chunks(files, embed, max_tokens, overlap, 0), "chunks")
+    named = written(diaries.tag_occurrences(files), "named")
+    tags = _tags(named.select("name").distinct(), embed, 0)
+    occurrences = written(named.join(tags.select("name", "tag_id"), "name").select("file", "tag_id", "pos"), "occurrences")
+    return _derived(spark, chunks, tags, occurrences, store.manifest(files), sig, c)
 
 
 def rebuild(spark: SparkSession, root: str, home: str, embed: Embed, sig: str, **options) -> int:
     """Read all diaries below root and publish a whole new generation in home, whatever it held before."""
-    tables, _ = build(spark, diaries.read_diaries(spark, root).select("file", "raw"), embed, **options)
+    tables = build(spark, diaries.read_diaries(spark, root).select("file", "raw"), embed, sig, **options)
     return store.publish(spark, home, tables, sig, rebuild=True)
 
 
-def refresh(spark: SparkSession, root: str, home: str, embed: Embed, sig: str, **options) -> int:
-    """Publish a new generation where files were added, changed or deleted since the last; else return its number."""
+def _tables(spark: SparkSession, home: str, sig: str) -> dict[str, DataFrame]:
+    """The tables of the current generation; axes only where they were trained."""
+    out = {name: store.load(spark, home, name, sig) for name in ("chunks", "tags", "occurrences", "manifest", "state", "kernel")}
+    if store.holds(spark, home, "axes"):
+        out["axes"] = store.load(spark, home, "axes", sig)
+    return out
+
+
+def apply_changes(spark: SparkSession, home: str, changed: DataFrame, deleted: DataFrame, embed: Embed, sig: str, max_tokens: int = 6800, overlap: int = 680, c: Config = Config()) -> int:
+    """Publish a generation in which the rows of changed files (file, raw) are replaced and those of deleted ones (file) gone.
+
+    Only changed files are cut and embedded, and of tags only names that are new. Tags are never renumbered or dropped:
+    new ones get the next ids, so vectors and edges of the others stay. Applying the same changes again changes nothing.
+    """
+    before = _tables(spark, home, sig)
+    changed = written(changed.select("file", "raw"), "changed")
+    touched = changed.select("file").unionByName(deleted.select("file")).distinct()
+    first = lambda name, column: before[name].agg(F.coalesce(F.max(column) + 1, F.lit(0))).first()[0]
+    chunks = store.upserted(before["chunks"], _chunks(changed, embed, max_tokens, overlap, first("chunks", "chunk_id")), touched)
+    named = written(diaries.tag_occurrences(changed), "named")
+    fresh = named.select("name").distinct().join(before["tags"], "name", "left_anti")
+    tags = written(before["tags"].unionByName(_tags(fresh, embed, first("tags", "tag_id"))), "tags")
+    mine = named.join(tags.select("name", "tag_id"), "name").select("file", "tag_id", "pos")
+    occurrences = written(store.upserted(before["occurrences"], mine, touched), "occurrences")
+    manifest = store.upserted(before["manifest"], store.manifest(changed), touched)
+    return store.publish(spark, home, _derived(spark, written(chunks, "chunks"), tags, occurrences, manifest, sig, c, before), sig)
+
+
+def refresh(spark: SparkSession, root: str, home: str, embed: Embed, sig: str, settled: float = 0.0, **options) -> int:
+    """Publish a new generation where files were added, changed or deleted since the last; else return its number. Files
+    that were written within the last `settled` seconds wait for the next call."""
     known = store.current(spark, home)
     if known is None:
         return rebuild(spark, root, home, embed, sig, **options)
-    files = diaries.read_diaries(spark, root).select("file", "raw")
-    if store.changes(store.manifest(files), store.load(spark, home, "manifest", sig)).isEmpty():
+    files = diaries.read_diaries(spark, root)
+    quiet = F.col("mtime") <= F.current_timestamp() - F.make_dt_interval(secs=F.lit(settled).cast("decimal(18,6)"))
+    changes = written(store.changes(store.manifest(files), store.load(spark, home, "manifest", sig)), "changes")
+    changed = files.join(changes.filter("change <> 'deleted'"), "file", "left_semi").filter(quiet if settled else F.lit(True))
+    changed, deleted = written(changed.select("file", "raw"), "changed"), changes.filter("change = 'deleted'")
+    if changed.isEmpty() and deleted.isEmpty():
         return known[0]
-    tables, _ = build(spark, files, embed, **options)
-    return store.publish(spark, home, tables, sig)
+    return apply_changes(spark, home, changed, deleted, embed, sig, **options)
 
 
 def opened(spark: SparkSession, home: str, sig: str) -> Index:
     """The current generation as an index for recall."""
-    get = lambda name: store.load(spark, home, name, sig)
-    try:
-        basis = basis_of(get("axes"))
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        basis = None  # too few tags to train axes
-    return Index(get("chunks"), get("tags"), get("occurrences").select("file", "tag_id"), get("kernel"), basis)
+    t = _tables(spark, home, sig)
+    basis = basis_of(t["axes"]) if "axes" in t else None  # else too few tags to train axes
+    return Index(t["chunks"], t["tags"], t["occurrences"].select("file", "tag_id"), t["kernel"], basis)
 
 
 def health(spark: SparkSession, root: str, home: str, sig: str) -> DataFrame:
-    """The audit of the current generation against the files below root."""
+    """The audit of the current generation against the files below root. Axes are stale where they were trained from other
+    tags than the index has now."""
     known = store.current(spark, home)
     get = lambda name: store.load(spark, home, name, known[1])
-    tags = get("tags")
-    trained = audit.tag_fingerprint(tags, known[1]).first()["fingerprint"]
-    return audit.doctor(diaries.read_diaries(spark, root).select("file"), get("chunks"), tags, sig, known[1], trained)
+    return audit.doctor(diaries.read_diaries(spark, root).select("file"), get("chunks"), get("tags"), sig, known[1], get("state").first()["axes"])

@@ -17,10 +17,13 @@ HEAD, FOOT = "<memory>\nRemembered from earlier conversations, for reference:\n\
 
 
 def eligible(turns: DataFrame) -> DataFrame:
-    """User turns (conv_id, turn, role, text) with text, and the last assistant text before each."""
+    """User turns (conv_id, turn, role, text) whose text is not empty, and the last assistant text before each. Where turns
+    have a source_kind, only what users themselves sent counts: injected context and tools' answers don't."""
     order = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     before = F.last(F.when(F.col("role") == "assistant", F.col("text")), ignorenulls=True).over(order)
-    rows = turns.withColumn("assistant_text", before).filter((F.col("role") == "user") & (F.trim(F.coalesce("text", F.lit(""))) != ""))
+    rows = turns.withColumn("assistant_text", before).filter((F.col("role") == "user") & (F.col("text") != ""))
+    if "source_kind" in turns.columns:
+        rows = rows.filter(F.col("source_kind") == "user")
     return rows.select("conv_id", "turn", F.col("text").alias("user_text"), "assistant_text")
 
 

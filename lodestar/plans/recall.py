@@ -29,8 +29,8 @@ class Index:
     basis: axes.Basis | None
 
 
-#: Candidates of a query above the floor that enter the suppression of near-duplicates first, and how the number grows for
-#: queries with too few survivors.
+#: Candidates of a query that enter the suppression of near-duplicates first, and how the number grows for queries with
+#: too few survivors.
 POOL, GROWTH = Config().recall.max_results, 8
 
 
@@ -41,18 +41,24 @@ def plain(queries: DataFrame, chunks: DataFrame, c: Config = Config()) -> DataFr
     return rows.select("query_id", "rank", F.col("item_id").alias("chunk_id"), "file", "chunk_index", "score", "text", F.lit(False).alias("via_structure"))
 
 
-def survivors(queries: DataFrame, detail: DataFrame, need: int, floor: float | None, threshold: float, limit: int = Config().recall.max_results) -> DataFrame:
+def survivors(queries: DataFrame, detail: DataFrame, need: int, floor: float | None, threshold: float, limit: int = Config().recall.max_results, scored: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, ord, score, priority, and columns of detail): the `need` best candidates of queries (query_id,
     vector) at or above the floor that remain when equal texts and near-duplicates are suppressed, `limit` at most.
 
     detail: (item_id, text, vector of length 1, ...), so that the score gives the order of suppression and the survivors
-    among the best candidates are those among all. A query with too few survivors and candidates left is searched again
-    with a larger pool, so no number of copies hides what ranks behind them; only pools of copies grow so.
+    among the best candidates are those among all. scored: (query_id, item_id, score), where not all items are candidates of
+    all queries. A query with too few survivors and candidates left is searched again with a larger pool, so no number of
+    copies hides what ranks behind them; only pools of copies grow so.
     """
     others = [x for x in detail.columns if x != "item_id"]
     asked, pool, out = queries.select("query_id", "vector"), POOL, None
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")).cast("long")
     while True:
-        near = written(top_k(asked, detail.select("item_id", "vector"), pool, floor), "near")
+        if scored is None:
+            near = top_k(asked, detail.select("item_id", "vector"), pool, floor)
+        else:  # the rank is bounded, so Spark cuts each partition to the pool before the shuffle
+            near = scored.join(asked.select("query_id"), "query_id", "left_semi").withColumn("rank", best).filter(F.col("rank") <= pool)
+        near = written(near, "near")
         rows = near.join(detail.withColumn("vector", F.col("vector").cast("array<double>")), "item_id")
         rows = rows.select("query_id", F.col("item_id").alias("ord"), "score", F.lit(50).alias("priority"), *others, normalize_text(F.col("text")).alias("norm_text"))
         kept = written(semantic_dedup(hard_dedup_ranked(rows), asked, threshold, limit), "survivors")
@@ -89,35 +95,40 @@ def wave(queries: DataFrame, cores: DataFrame, index: Index, c: Config = Config(
     return Wave(fusion.fuse(queries, fusion.context_vector(tags), stats), field, tags, stats)
 
 
+def usable(index: Index) -> bool:
+    """Whether the index can give context: it has axes, and edges between tags."""
+    return index.basis is not None and not index.kernel.isEmpty()
+
+
 def recall(queries: DataFrame, cores: DataFrame, index: Index, c: Config = Config()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(blocks, matched tags, stats) of queries (query_id, vector).
 
-    A query that gets no context is answered as by `plain` in the same plan. Blocks: at most k chunks above the floor by
-    the fused vector, then at most `supplement` chunks below it from files that the energy field touches.
+    A query that gets no context is answered as by `plain` in the same plan, its matched tags are those of its pyramid
+    alone. Blocks: at most k chunks above the floor by the fused vector, then at most `supplement` chunks below it from
+    files that the energy field touches.
     """
-    if not c.recall.enabled or index.basis is None:
-        blocks = plain(queries, index.chunks, c)
-        return blocks, queries.sparkSession.createDataFrame([], "query_id long, rank long, tag string, weight double, level int, source_type string, hop int, notation string"), queries.select("query_id", F.lit(False).alias("fused"))
+    if not c.recall.enabled or not usable(index):
+        matched = fusion.level_tags(residual.pyramid(queries, index.tags, c.residual), index.tags, c.fusion.matched_tags)
+        return plain(queries, index.chunks, c), matched, queries.select("query_id", F.lit(False).alias("fused"))
     w = wave(queries, cores, index, c)
     fused = written(w.fused, "fused")
+    some = fused.filter("fused")
     detail = index.chunks.select(F.col("chunk_id").alias("item_id"), "file", "chunk_index", F.col("content").alias("text"), F.col("vector").cast("array<double>").alias("vector"))
-    near = survivors(fused.filter("fused"), detail, c.recall.k, c.recall.floor, c.recall.dedup, c.recall.max_results).withColumn("via_structure", F.lit(False))
+    near = survivors(some, detail, c.recall.k, c.recall.floor, c.recall.dedup, c.recall.max_results).withColumn("via_structure", F.lit(False))
 
     strongest = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("energy"), "node"))
     nodes = w.field.filter("energy > 0").withColumn("r", strongest).filter(F.col("r") <= c.spread.max_emergent).select("query_id", F.col("node").alias("tag_id"))
-    nodes = nodes.unionByName(w.tags.filter("is_core").select("query_id", "tag_id")).distinct().join(fused.filter("fused"), "query_id", "left_semi")
+    nodes = nodes.unionByName(w.tags.filter("is_core").select("query_id", "tag_id")).distinct().join(some, "query_id", "left_semi")
     files = nodes.join(index.occurrences.select("tag_id", "file").distinct(), "tag_id").select("query_id", "file").distinct()
-    touched = files.join(detail, "file").join(fused.select("query_id", F.col("vector").alias("q")), "query_id")
-    touched = touched.withColumn("score", vec.dot(F.col("q"), F.col("vector"))).filter(F.col("score") < c.recall.floor).withColumn("rank", F.lit(0).cast("long")).withColumn("via_structure", F.lit(True)).drop("q")
-
-    rows = touched.select("query_id", F.col("item_id").alias("ord"), "score", F.lit(50).alias("priority"), "file", "chunk_index", "text", "vector", "via_structure", normalize_text(F.col("text")).alias("norm_text"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "ord")).cast("long")
-    linked = semantic_dedup(hard_dedup_ranked(rows), fused, c.recall.dedup, c.recall.max_results).withColumn("rank", rank).filter(F.col("rank") <= c.recall.supplement)
+    touched = files.join(detail.select("file", "item_id", "vector"), "file").join(some.select("query_id", F.col("vector").alias("q")), "query_id")
+    touched = written(touched.select("query_id", "item_id", vec.dot(F.col("q"), F.col("vector")).alias("score")).filter(F.col("score") < c.recall.floor), "touched")
+    linked = survivors(some, detail, c.recall.supplement, None, c.recall.dedup, c.recall.max_results, touched).withColumn("via_structure", F.lit(True))
     columns = ["query_id", "rank", F.col("ord").alias("chunk_id"), "file", "chunk_index", "score", "text", "via_structure"]
-    out = near.select(columns).unionByName(linked.select(columns))
-    unfused = plain(queries.join(fused.filter("not fused").select("query_id"), "query_id", "left_semi"), index.chunks, c)
-    blocks = out.join(fused.filter("fused").select("query_id"), "query_id", "left_semi").unionByName(unfused)
-    matched = fusion.matched_tags(w.tags.join(fused.filter("fused").select("query_id"), "query_id", "left_semi"), c)
+    rest = written(queries.join(fused.filter("not fused").select("query_id"), "query_id", "left_semi"), "unfused")
+    blocks = near.select(columns).unionByName(linked.select(columns)).unionByName(plain(rest, index.chunks, c))
+    matched = fusion.matched_tags(w.tags.join(some, "query_id", "left_semi"), c)
+    if not rest.isEmpty():
+        matched = matched.unionByName(fusion.level_tags(residual.pyramid(rest, index.tags, c.residual), index.tags, c.fusion.matched_tags))
     counts = w.field.groupBy("query_id").agg(F.count("*").alias("field_nodes"), F.count_if(F.col("source_type") == "emergent").alias("emergent"))
     stats = w.stats.join(fused.select("query_id", "fused", "alpha"), "query_id").join(counts, "query_id", "left")
     return blocks, matched, stats

@@ -7,13 +7,15 @@ rounded to 6 places; weights that are sums of short decimals to 10, so that no t
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.config import Config
 from lodestar.functions import text, vec
 from lodestar.operators import audit, axes, dedup, fusion, graph, propagation, residual, similarity
-from lodestar.plans import inject, recall
+from lodestar.plans import build, inject, recall
 from lodestar.sources import diaries, store
 from lodestar.tables import table, written
 
@@ -47,34 +49,41 @@ def asked(spark, d) -> DataFrame:
     return vectors(spark, d).filter("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "vector")
 
 
-def tagged(spark, d) -> DataFrame:
-    """(file, name, pos)"""
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"))
-    part = table(spark, d, "part").select("p_partkey", F.concat_ws("/", "p_brand", "p_type").alias("name"))
-    rows = table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
-    return rows.select(F.col("l_orderkey").alias("file"), "name", place.alias("pos"))
-
-
-def tag_names(rows: DataFrame) -> DataFrame:
-    """(name, tag_id): ids by name from 0; one task numbers the vocabulary."""
-    return rows.select("name").distinct().select("name", (F.row_number().over(Window.orderBy("name")) - 1).cast("long").alias("tag_id"))
+@dataclass
+class Tagged:
+    """The tags of orders, each table written once: rows (file, name, pos), ids (name, tag_id), occ (file, tag_id, pos, n) and
+    vectors (tag_id, vector)."""
 
+    ids: DataFrame
+    occ: DataFrame
+    vectors: DataFrame
 
-def occurrences(spark, d) -> DataFrame:
-    rows = tagged(spark, d)
-    return graph.occurrences(rows.join(tag_names(rows), "name").select("file", "tag_id", "pos"))
+    @property
+    def tags(self) -> DataFrame:
+        return self.ids.join(self.vectors, "tag_id", "left")
 
+    @property
+    def facts(self) -> DataFrame:
+        return graph.fact_matrix(self.occ, self.vectors)
 
-def tag_vectors(spark, d) -> DataFrame:
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("tag_id"), F.col("embedding").alias("vector"))
+    @property
+    def kernel(self) -> DataFrame:
+        return graph.kernel(self.facts)
 
 
-def tag_table(spark, d) -> DataFrame:
-    return tag_names(tagged(spark, d)).join(tag_vectors(spark, d), "tag_id", "left")
+def tag_rows(spark, d) -> DataFrame:
+    """(file, name, pos)"""
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"))
+    part = table(spark, d, "part").select("p_partkey", F.concat_ws("/", "p_brand", "p_type").alias("name"))
+    rows = table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    return rows.select(F.col("l_orderkey").alias("file"), "name", place.alias("pos"))
 
 
-def facts(spark, d) -> DataFrame:
-    return graph.fact_matrix(occurrences(spark, d), tag_vectors(spark, d))
+def tagged(spark, d) -> Tagged:
+    rows = written(tag_rows(spark, d), "tagged")
+    ids = written(build.numbered(rows.select("name").distinct(), ["name"], "tag_id"), "tag-ids")
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("tag_id"), F.col("embedding").alias("vector"))
+    return Tagged(ids, written(graph.occurrences(rows.join(ids, "name").select("file", "tag_id", "pos")), "occurrences"), vectors)
 
 
 V = "list_dot_product(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[]))"
@@ -127,52 +136,58 @@ def vector_functions(spark, d):
 
 @query(f"WITH {OCC} SELECT file, tag_id, pos, n, round(phi, 6) + 0.0 AS phi FROM occ")
 def tag_positions(spark, d):
-    return occurrences(spark, d).select("file", "tag_id", F.col("pos").cast("long").alias("pos"), "n", r6(vec.phi(F.col("pos"), F.col("n")), "phi"))
+    return tagged(spark, d).occ.select("file", "tag_id", F.col("pos").cast("long").alias("pos"), "n", r6(vec.phi(F.col("pos"), F.col("n")), "phi"))
 
 
 @query(f"WITH {FACT} SELECT src, dst, round(weight, 10) + 0.0 AS weight FROM fact WHERE weight > 0")
 def fact_matrix(spark, d):
-    return facts(spark, d).select("src", "dst", r6("weight", "weight", 10))
+    return tagged(spark, d).facts.select("src", "dst", r6("weight", "weight", 10))
 
 
-@query(f"WITH {FACT} SELECT (SELECT count(DISTINCT file) FROM occ) AS files, (SELECT CAST(sum(c) AS BIGINT) FROM pairs) AS pairs, (SELECT count(*) FROM fact WHERE weight > 0) AS edges")
+@query(f"""WITH {FACT}, g AS (SELECT file, max(n) AS n FROM occ GROUP BY file HAVING max(n) >= 2) SELECT (SELECT count(*) FROM g) AS files, (SELECT CAST(sum(n * (n - 1) // 2) AS BIGINT) FROM g) AS pairs, (SELECT CAST(sum(c) AS BIGINT) FROM pairs) AS forward_edges, (SELECT CAST(sum(c) AS BIGINT) FROM pairs) AS backward_edges,
+CAST(0 AS BIGINT) AS inversion_clamped, (SELECT count(*) FROM fact WHERE weight > 0) AS edges""")
 def fact_diagnostics(spark, d):
-    occ = occurrences(spark, d)
-    return graph.fact_diagnostics(occ, graph.fact_matrix(occ, tag_vectors(spark, d)))
+    t = tagged(spark, d)
+    return graph.fact_diagnostics(t.occ, t.vectors)
 
 
 @query(f"WITH {KERNEL} SELECT src, dst, round(p, 6) + 0.0 AS p FROM kernel")
 def kernel(spark, d):
-    return graph.kernel(facts(spark, d)).select("src", "dst", r6("p", "p"))
+    return tagged(spark, d).kernel.select("src", "dst", r6("p", "p"))
 
 
 @query(f"WITH {KERNEL} SELECT src, dst FROM kernel WHERE is_wormhole")
 def kernel_wormholes(spark, d):
-    return graph.kernel(facts(spark, d)).filter("is_wormhole").select("src", "dst")
+    return tagged(spark, d).kernel.filter("is_wormhole").select("src", "dst")
 
 
 @query(f"WITH {KERNEL} SELECT src, round(sum(p), 6) + 0.0 AS mass FROM kernel GROUP BY src")
 def kernel_row_mass(spark, d):
-    return graph.kernel(facts(spark, d)).groupBy("src").agg(r6(F.sum("p"), "mass"))
+    return tagged(spark, d).kernel.groupBy("src").agg(r6(F.sum("p"), "mass"))
 
 
 @query(f"WITH {KERNEL} SELECT round(median, 4) + 0.0 AS median, (SELECT count(*) FROM inflow) AS targets FROM med")
 def kernel_inflow_median(spark, d):
-    flow = graph.inflows(graph.conductance(facts(spark, d)))
+    flow = written(graph.inflows(graph.conductance(tagged(spark, d).facts)), "inflow")
     return graph.upper_median(flow, "inflow").crossJoin(flow.agg(F.count("*").alias("targets"))).select(r6("median", "median", 4), "targets")
 
 
 @query(f"WITH {TOP} SELECT src, dst, round(p, 6) + 0.0 AS p, rank FROM top")
 def neighbor_top20(spark, d):
-    return graph.neighbours(graph.kernel(facts(spark, d))).select("src", "dst", r6("p", "p"), "rank")
+    return graph.neighbours(tagged(spark, d).kernel).select("src", "dst", r6("p", "p"), "rank")
 
 
 # --- propagation: every tag is a seed of one of thirty queries
 
 
-def seeds(spark, d) -> DataFrame:
-    ids = tag_names(tagged(spark, d))
-    return ids.select((F.col("tag_id") % 30).alias("query_id"), F.col("tag_id").alias("node"), (1 + F.col("tag_id") / 100).alias("weight"), (F.col("tag_id") % 2 == 0).alias("is_core"))
+def seeds(t: Tagged) -> DataFrame:
+    return t.ids.select((F.col("tag_id") % 30).alias("query_id"), F.col("tag_id").alias("node"), (1 + F.col("tag_id") / 100).alias("weight"), (F.col("tag_id") % 2 == 0).alias("is_core"))
+
+
+def fired(t: Tagged) -> DataFrame:
+    """The seeds as states that have not moved yet."""
+    kind = F.when(F.col("is_core"), "core").otherwise("seed")
+    return seeds(t).select("query_id", F.lit(None).cast("long").alias("prev"), "node", F.col("weight").alias("energy"), F.lit(2).alias("momentum"), kind.alias("source_type"))
 
 
 SEEDS = "seeds AS (SELECT tag_id % 30 AS query_id, tag_id AS node, 1 + tag_id / 100.0::DOUBLE AS energy, CASE WHEN tag_id % 2 = 0 THEN 'core' ELSE 'seed' END AS source_type FROM tags)"
@@ -199,26 +214,36 @@ HOPS = _hops()
 
 @query(f"{HOPS} SELECT query_id, node, round(sum(energy), 6) + 0.0 AS energy FROM field GROUP BY 1, 2")
 def energy_field(spark, d):
-    return propagation.propagate(seeds(spark, d), graph.kernel(facts(spark, d))).select("query_id", "node", r6("energy", "energy"))
+    t = tagged(spark, d)
+    return propagation.propagate(seeds(t), t.kernel).select("query_id", "node", r6("energy", "energy"))
 
 
 @query(f"{HOPS} SELECT query_id, node, hop, source_type, origin_type FROM field QUALIFY row_number() OVER (PARTITION BY query_id, node ORDER BY hop) = 1")
 def provenance(spark, d):
-    return propagation.propagate(seeds(spark, d), graph.kernel(facts(spark, d))).select("query_id", "node", "hop", "source_type", "origin_type")
+    t = tagged(spark, d)
+    return propagation.propagate(seeds(t), t.kernel).select("query_id", "node", "hop", "source_type", "origin_type")
 
 
 @query(f"{HOPS} SELECT query_id, prev, node, round(energy, 6) + 0.0 AS energy, momentum FROM hop1")
 def propagate_hop1(spark, d):
-    start = seeds(spark, d).select("query_id", F.lit(None).cast("long").alias("prev"), "node", F.col("weight").alias("energy"), F.lit(2).alias("momentum"), F.when(F.col("is_core"), "core").otherwise("seed").alias("source_type"))
-    return propagation.hop(start, graph.neighbours(graph.kernel(facts(spark, d)))).select("query_id", "prev", "node", r6("energy", "energy"), "momentum")
+    t = tagged(spark, d)
+    return propagation.hop(fired(t), graph.neighbours(t.kernel)).select("query_id", "prev", "node", r6("energy", "energy"), "momentum")
+
 
+@query(f"{HOPS} SELECT query_id, round(sum(energy), 6) + 0.0 AS in_flight, (SELECT count(*) FROM merged1 m WHERE m.query_id = h.query_id) - count(*) AS truncated FROM hop1 h GROUP BY query_id")
+def hop_diagnostics(spark, d):
+    t = tagged(spark, d)
+    top = written(graph.neighbours(t.kernel), "top")
+    return propagation.hop_diagnostics(fired(t), top).select("query_id", r6("in_flight", "in_flight"), "truncated")
 
-@query(f"""{HOPS}, back AS (SELECT s.query_id, s.energy * t.p * CASE WHEN t.is_wormhole THEN 0.7::DOUBLE ELSE 0.25::DOUBLE END * 0.85::DOUBLE AS x FROM live1 s JOIN top t ON t.src = s.node AND t.dst = s.prev WHERE s.energy >= 0.1 AND s.momentum >= 0)
-SELECT query_id, round(sum(x), 6) + 0.0 AS suppressed FROM back GROUP BY query_id""")
+
+@query(f"""WITH {TOP}, s AS (SELECT src % 30 AS query_id, src AS prev, dst AS node, 1 + (src + dst) % 7 AS energy FROM top)
+SELECT s.query_id, round(sum(s.energy * t.p * CASE WHEN t.is_wormhole THEN 0.7::DOUBLE ELSE 0.25::DOUBLE END * 0.85::DOUBLE), 6) + 0.0 AS suppressed FROM s JOIN top t ON t.src = s.node AND t.dst = s.prev GROUP BY s.query_id""")
 def return_flow_suppressed(spark, d):
-    top = written(graph.neighbours(graph.kernel(facts(spark, d))), "top")
-    start = seeds(spark, d).select("query_id", F.lit(None).cast("long").alias("prev"), "node", F.col("weight").alias("energy"), F.lit(2).alias("momentum"), F.when(F.col("is_core"), "core").otherwise("seed").alias("source_type"))
-    return propagation.suppressed_mass(propagation.hop(start, top), top).select("query_id", r6("suppressed", "suppressed"))
+    """A state of its own on every edge, so that edges there and back return."""
+    top = written(graph.neighbours(tagged(spark, d).kernel), "top")
+    states = top.select((F.col("src") % 30).alias("query_id"), F.col("src").alias("prev"), F.col("dst").alias("node"), (1 + (F.col("src") + F.col("dst")) % 7).cast("double").alias("energy"), F.lit(1).alias("momentum"), F.lit("seed").alias("source_type"))
+    return propagation.suppressed_mass(states, top).select("query_id", r6("suppressed", "suppressed"))
 
 
 # --- text
@@ -311,6 +336,16 @@ def dedup_preference(spark, d):
     return table(spark, d, "events").select("event_id", dedup.source_priority(source).alias("priority"), r6(score, "score"))
 
 
+@query()
+def hard_dedup_general(spark, d):
+    """Documents as candidates of queries of fifty, known by id, text and path with chunk, which cross."""
+    docs = table(spark, d, "documents")
+    key = F.col("doc_id")
+    names = dedup.identities(F.col("source"), (key % 5).cast("string"), F.col("text"), F.when(key % 3 > 0, (key % 17).cast("string")))
+    rows = docs.select(F.floor(key / 50).cast("long").alias("query_id"), key.alias("ord"), names.alias("names"), (key % 2 * 10).alias("priority"), (key * 7 % 11).cast("double").alias("score"), F.length("text").alias("completeness"))
+    return dedup.hard_dedup(rows)
+
+
 @query()
 def semantic_dedup(spark, d):
     detail = vectors(spark, d).withColumn("text", F.col("item_id").cast("string"))
@@ -322,43 +357,49 @@ def semantic_dedup(spark, d):
 
 @query()
 def epa_axes(spark, d):
-    basis = axes.train(tag_table(spark, d))
+    basis = axes.train(tagged(spark, d).tags)
     return spark.createDataFrame([(i, float(e), n) for i, (e, n) in enumerate(zip(basis.energies, basis.labels, strict=False))], "axis int, energy double, label string")
 
 
-def _unit_basis(dim: int = 64) -> axes.Basis:
-    """The first eight coordinates: a basis that SQL can project on."""
+#: Signs of eight axes: an element's is that of the bits that its place shares with the mask.
+MASKS = (1, 2, 4, 8, 16, 32, 3, 12)
+
+
+def _sign_basis(dim: int = 64) -> axes.Basis:
+    """Eight orthogonal axes that all coordinates take part in, and that SQL can project on."""
     import numpy as np
 
-    return axes.Basis(np.zeros(dim), np.eye(8, dim), np.ones(8), [f"x{i}" for i in range(8)])
+    rows = np.array([[(-1.0) ** (i & m).bit_count() for i in range(dim)] for m in MASKS]) / np.sqrt(dim)
+    return axes.Basis(np.zeros(dim), rows, np.ones(len(MASKS)), [f"x{m}" for m in MASKS])
 
 
-SPECTRUM = """WITH p AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings), q AS (SELECT vec_id, list_transform(x, lambda v: v * v / list_sum(list_transform(x, lambda w: w * w))) AS p FROM p),
+SPECTRUM = f"""WITH p AS (SELECT vec_id, list_transform({list(MASKS)}, lambda m: list_sum(list_transform(range(64), lambda i: CAST(embedding[i + 1] AS DOUBLE) * CASE WHEN bit_count(i & m) % 2 = 0 THEN 1 ELSE -1 END)) / 8) AS x FROM embeddings),
+q AS (SELECT vec_id, list_transform(x, lambda v: v * v / list_sum(list_transform(x, lambda w: w * w))) AS p FROM p),
 s AS (SELECT vec_id, p, -list_sum(list_transform(p, lambda v: CASE WHEN v > 1e-9 THEN v * log2(v) ELSE 0 END)) / 3 AS entropy, list_reverse_sort(list_filter(p, lambda v: v > 0.05)) AS top FROM q)"""
 
 
 @query(f"{SPECTRUM} SELECT vec_id AS query_id, round(entropy, 6) + 0.0 AS entropy, round(1 - entropy, 6) + 0.0 AS depth, CAST(len(top) AS INTEGER) AS axes FROM s")
 def epa_project(spark, d):
-    rows = axes.project(vectors(spark, d).select(F.col("item_id").alias("query_id"), "vector"), _unit_basis())
+    rows = axes.project(vectors(spark, d).select(F.col("item_id").alias("query_id"), "vector"), _sign_basis())
     return rows.select("query_id", r6("entropy", "entropy"), r6("depth", "depth"), F.size("dominant").alias("axes"))
 
 
 @query(f"{SPECTRUM} SELECT vec_id AS query_id, round(coalesce(list_sum(list_transform(top[2:], lambda v: CASE WHEN sqrt(top[1] * v) > 0.15 THEN sqrt(top[1] * v) ELSE 0 END)), 0), 6) + 0.0 AS resonance FROM s")
 def epa_resonance(spark, d):
-    rows = axes.project(vectors(spark, d).select(F.col("item_id").alias("query_id"), "vector"), _unit_basis())
+    rows = axes.project(vectors(spark, d).select(F.col("item_id").alias("query_id"), "vector"), _sign_basis())
     return rows.select("query_id", r6(axes.resonance(F.col("dominant")), "resonance"))
 
 
 @query()
 def residual_pyramid(spark, d):
-    rows = residual.pyramid(asked(spark, d), tag_table(spark, d))
+    rows = residual.pyramid(asked(spark, d), tagged(spark, d).tags)
     return rows.select("query_id", "level", r6("explained", "explained"), r6("ratio", "ratio"), F.size("tags").alias("tags"))
 
 
 @query()
 def pyramid_features(spark, d):
     q = asked(spark, d)
-    return residual.features(q, residual.pyramid(q, tag_table(spark, d))).select("query_id", "pyramid_depth", *(r6(c, c) for c in ("coverage", "novelty", "coherence", "activation")))
+    return residual.features(q, residual.pyramid(q, tagged(spark, d).tags)).select("query_id", "pyramid_depth", *(r6(c, c) for c in ("coverage", "novelty", "coherence", "activation")))
 
 
 # --- fusion
@@ -391,19 +432,15 @@ def combined_query(spark, d):
 # --- recall
 
 
-def _index(spark, d) -> recall.Index:
-    """Chunks are embeddings; chunk i belongs to the i-th order."""
-    tags = written(tag_table(spark, d), "tags")
-    occ = written(occurrences(spark, d), "occurrences")
-    chunks = vectors(spark, d).select(F.col("item_id").alias("chunk_id"), F.col("item_id").alias("file"), F.lit(0).alias("chunk_index"), F.concat(F.lit("chunk "), F.col("item_id").cast("string")).alias("content"), "vector")
-    return recall.Index(chunks, tags, occ.select("file", "tag_id"), written(graph.kernel(graph.fact_matrix(occ, tag_vectors(spark, d))), "kernel"), axes.train(tags))
-
-
 def _recalled(spark, d):
-    q = asked(spark, d)
-    cores = tag_names(tagged(spark, d)).filter("tag_id < 10").select(F.col("tag_id").alias("query_id"), F.upper("name").alias("name"))
-    config = Config()
-    return recall.recall(q, cores, _index(spark, d), config)
+    """Chunks are embeddings; chunk i belongs to the i-th order. Every query names one tag as its core, in capitals."""
+    t, q = tagged(spark, d), asked(spark, d)
+    tags = written(t.tags, "tags")
+    chunks = vectors(spark, d).select(F.col("item_id").alias("chunk_id"), F.col("item_id").alias("file"), F.lit(0).alias("chunk_index"), F.concat(F.lit("chunk "), F.col("item_id").cast("string")).alias("content"), "vector")
+    index = recall.Index(chunks, tags, t.occ.select("file", "tag_id"), written(t.kernel, "kernel"), axes.train(tags))
+    n = tags.count()
+    cores = q.select("query_id", F.floor(F.col("query_id") / 20 % n).cast("long").alias("tag_id")).join(tags, "tag_id").select("query_id", F.upper("name").alias("name"))
+    return recall.recall(q, cores, index, Config())
 
 
 @query(f"""SELECT query_id, rank, item_id AS chunk_id, round(score, 6) + 0.0 AS score FROM (SELECT a.vec_id AS query_id, b.vec_id AS item_id, {DOT} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {DOT} DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND {DOT} >= 0.4) WHERE rank <= 6""")
@@ -430,7 +467,7 @@ def recall_stats(spark, d):
 # --- injection
 
 
-ELIGIBLE = """SELECT conv_id, turn, text AS user_text, before AS assistant_text FROM (SELECT *, last_value(CASE WHEN role = 'assistant' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM conversations) WHERE role = 'user' AND trim(coalesce(text, '')) <> ''"""
+ELIGIBLE = """SELECT conv_id, turn, text AS user_text, before AS assistant_text FROM (SELECT *, last_value(CASE WHEN role = 'assistant' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM conversations) WHERE role = 'user' AND text <> ''"""
 
 
 @query(ELIGIBLE)
@@ -447,11 +484,21 @@ _ROOM = 2000 - len(inject.HEAD) - len(inject.FOOT)
 
 
 @query(f"""WITH b AS (SELECT lang AS query_id, source AS file, doc_id AS ord, text, (doc_id % 100) / 100.0::DOUBLE AS score FROM documents), r AS (SELECT *, row_number() OVER w AS n FROM b WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, ord)),
-h AS (SELECT *, length(concat(chr(10), '[', n, '] (score ', printf('%.2f', score), ' · ', file, ')', chr(10))) + 1 + length(text) AS cost FROM r), t AS (SELECT *, sum(cost) OVER (PARTITION BY query_id ORDER BY n) AS total FROM h)
-SELECT query_id, count(*) FILTER (WHERE total <= {_ROOM} OR n = 1) AS used, CAST(sum(CASE WHEN total <= {_ROOM} THEN cost WHEN n = 1 THEN {_ROOM} END) AS BIGINT) + {len(inject.HEAD) + len(inject.FOOT)} AS chars FROM t GROUP BY query_id""")
+h AS (SELECT *, concat(chr(10), '[', n, '] (score ', printf('%.2f', score), ' · ', file, ')', chr(10)) AS head FROM r), t AS (SELECT *, sum(length(head) + 1 + length(text)) OVER (PARTITION BY query_id ORDER BY n) AS total FROM h),
+c AS (SELECT *, CASE WHEN total <= {_ROOM} THEN text WHEN n = 1 THEN substr(text, 1, {_ROOM} - length(head) - 1) END AS body FROM t)
+SELECT query_id, count(*) AS used, md5(concat('{inject.HEAD}', string_agg(concat(head, body, chr(10)), '' ORDER BY n), '{inject.FOOT}')) AS text_md5 FROM c WHERE body IS NOT NULL GROUP BY query_id""")
 def memory_block_pack(spark, d):
     rows = table(spark, d, "documents").select(F.col("lang").alias("query_id"), F.col("source").alias("file"), F.col("doc_id").alias("ord"), "text", (F.col("doc_id") % 100 / 100.0).alias("score"))
-    return inject.packed(rows).select("query_id", "used", F.length("text").cast("long").alias("chars"))
+    return inject.packed(rows).select("query_id", "used", F.md5("text").alias("text_md5"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN role = 'user' THEN concat(text, '/', upper(role)) ELSE coalesce(text, '') END AS text FROM conversations")
+def message_text(spark, d):
+    """Turns of several parts: text, something else, and for users text again."""
+    part = lambda kind, c: F.struct(F.lit(kind).alias("type"), c.alias("text"))
+    more = F.when(F.col("role") == "user", F.concat(F.lit("/"), F.upper("role")))
+    parts = F.array(part("text", F.col("text")), part("image", F.lit("x")), part("text", more))
+    return table(spark, d, "conversations").select("conv_id", "turn", text.message_text(parts).alias("text"))
 
 
 # --- ingest and audit
@@ -477,7 +524,8 @@ def upsert(spark, d):
 
 @query(f"WITH {OCC} SELECT name, count(*) AS occurrences, count(DISTINCT file) AS files, tag_id IN (SELECT vec_id FROM embeddings) AS vectorized FROM occ JOIN tags USING (tag_id) GROUP BY name, tag_id")
 def tag_usage(spark, d):
-    return audit.tag_usage(occurrences(spark, d), tag_table(spark, d))
+    t = tagged(spark, d)
+    return audit.tag_usage(t.occ, t.tags)
 
 
 @query("SELECT doc_id AS file FROM documents ANTI JOIN labels USING (doc_id)")
@@ -492,19 +540,29 @@ def audit_orphans(spark, d):
 
 @query(f"WITH {OCC} SELECT (SELECT count(*) FROM documents) AS diaries, (SELECT count(*) FROM labels) AS chunks, (SELECT count(*) FROM tags) AS tags, (SELECT count(*) FROM tags WHERE tag_id IN (SELECT vec_id FROM embeddings)) AS vectorized_tags")
 def store_stats(spark, d):
-    return audit.store_stats(table(spark, d, "documents"), table(spark, d, "labels"), tag_table(spark, d))
+    return audit.store_stats(table(spark, d, "documents"), table(spark, d, "labels"), tagged(spark, d).tags)
 
 
-@query(f"""WITH {OCC} SELECT 'signature' AS "check", false AS ok, 1::BIGINT AS n UNION ALL SELECT 'orphan_chunks', count(*) = 0, count(*) FROM (SELECT DISTINCT doc_id FROM labels ANTI JOIN documents USING (doc_id))
-UNION ALL SELECT 'unindexed_files', count(*) = 0, count(*) FROM (SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)) UNION ALL SELECT 'vectorless_tags', count(*) = 0, count(*) FROM tags WHERE tag_id NOT IN (SELECT vec_id FROM embeddings) UNION ALL SELECT 'stale_axes', false, 1""")
+@query(f"""WITH {OCC} SELECT 'bad' AS store, 'signature' AS "check", false AS ok, 1::BIGINT AS n UNION ALL SELECT 'bad', 'orphan_chunks', count(*) = 0, count(*) FROM (SELECT DISTINCT doc_id FROM labels ANTI JOIN documents USING (doc_id))
+UNION ALL SELECT 'bad', 'unindexed_files', count(*) = 0, count(*) FROM (SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)) UNION ALL SELECT 'bad', 'vectorless_tags', count(*) = 0, count(*) FROM tags WHERE tag_id NOT IN (SELECT vec_id FROM embeddings) UNION ALL SELECT 'bad', 'stale_axes', false, 1
+UNION ALL SELECT 'good', unnest(['signature', 'orphan_chunks', 'unindexed_files', 'vectorless_tags', 'stale_axes']), true, 0""")
 def doctor(spark, d):
-    files = table(spark, d, "documents").select(F.col("doc_id").alias("file"))
-    return audit.doctor(files, table(spark, d, "labels").select(F.col("doc_id").alias("file")), tag_table(spark, d), "model@64", "model@32", None)
+    """Labels as the chunks of documents, under another signature; and as those of their own files, where all is well."""
+    files, chunks = (table(spark, d, name).select(F.col("doc_id").alias("file")) for name in ("documents", "labels"))
+    tags = written(tagged(spark, d).tags, "tags")
+    bad = audit.doctor(files, chunks, tags, "model@64", "model@32", None)
+    whole = tags.filter("vector is not null")
+    trained = audit.tag_fingerprint(whole, "model@64").first()["fingerprint"]
+    good = audit.doctor(chunks.distinct(), chunks, whole, "model@64", "model@64", trained)
+    return bad.withColumn("store", F.lit("bad")).unionByName(good.withColumn("store", F.lit("good")))
 
 
-@query()
+_HALVES = ", ".join(f"CAST(coalesce(sum(CAST('0x' || substr(md5(name), {1 + 8 * i}, 8) AS BIGINT)), 0) AS VARCHAR)" for i in range(4))
+
+
+@query(f"WITH {OCC} SELECT md5(concat_ws(':', 'model@64', CAST(count(*) AS VARCHAR), {_HALVES})) AS fingerprint FROM tags")
 def tag_fingerprint(spark, d):
-    return audit.tag_fingerprint(tag_table(spark, d), "model@64")
+    return audit.tag_fingerprint(tagged(spark, d).tags, "model@64")
 
 
 @query("""WITH k AS (SELECT s.o_orderkey, concat(o_orderstatus, '/', strftime(date_trunc('month', o_orderdate), '%Y-%m-%d-00_00_00'), '-', trim(o_orderpriority)) AS stem, o_orderpriority FROM orders s)

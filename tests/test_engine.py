@@ -326,9 +326,9 @@ def test_virtual_core(spark):
 
 
 def test_throttle_and_pack(spark):
-    turns = [(0, i, r, t) for i, (r, t) in enumerate([("user", "A"), ("user", "A"), ("user", "B"), ("user", "A"), ("assistant", "x"), ("user", "A"), ("user", " ")])]
+    turns = [(0, i, r, t) for i, (r, t) in enumerate([("user", "A"), ("user", "A"), ("user", "B"), ("user", "A"), ("assistant", "x"), ("user", "A"), ("user", ""), ("user", " ")])]
     got = inject.throttled(inject.eligible(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))).orderBy("turn").collect()
-    assert [r["skip"] for r in got] == [False, True, False, False, False] and got[-1]["assistant_text"] == "x"
+    assert [r["skip"] for r in got] == [False, True, False, False, False, False] and got[-1]["assistant_text"] == "x"
     blocks = spark.createDataFrame([(0, "f", 0.9, "a" * 50, 1), (0, "g", 0.8, "b" * 500, 2), (0, "h", 0.7, "c", 3), (1, "f", 0.9, "d" * 500, 1)], "query_id long, file string, score double, text string, ord long")
     out = {r["query_id"]: r for r in inject.packed(blocks, 200).collect()}
     assert out[0]["used"] == 1 and "b" * 9 not in out[0]["text"] and "[2]" not in out[0]["text"]

@@ -21,8 +21,9 @@ CHUNK = "id long, file string, chunkIndex int, content string, vector array<floa
 
 
 def read_diaries(spark: SparkSession, root: str) -> DataFrame:
-    """(file, raw, content_md5, mtime, agent, written_date, hhmm, body) of every .md file below root."""
-    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True)
+    """(file, raw, content_md5, mtime, agent, written_date, hhmm, body) of every .md file below root. A file that goes
+    while they are read counts as gone."""
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").option("ignoreMissingFiles", True).text(root, wholetext=True)
     rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("raw"), F.col("_metadata.file_modification_time").alias("mtime"))
     return parsed(rows)
 

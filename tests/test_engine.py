@@ -395,3 +395,63 @@ def test_config():
     assert config.clamp_float(None, 0, 1, 0.4) == 0.4 and config.clamp_float(float("nan"), 0, 1, 0.4) == 0.4
     with pytest.raises(ValueError):
         config.merged({"nope": {}})
+
+
+def brute_hard_dedup(rows):
+    """Slots of rows (ord, names, rank) in order; names move to the slot that a row joins."""
+    slots, owner = [], {}
+    for at, names, rank in sorted(rows):
+        hit = next((owner[n] for n in names if n in owner), None)
+        if hit is None:
+            slots.append((rank, at, names))
+            hit = len(slots) - 1
+        moved = [*slots[hit][2], *names]
+        if rank > slots[hit][0]:
+            slots[hit] = (rank, at, names)
+        owner |= dict.fromkeys(moved, hit)
+    return sorted(at for _, at, _ in slots)
+
+
+def test_hard_dedup_moves_names(spark):
+    import random
+
+    from lodestar.registry import QUERIES
+
+    random.seed(4)
+    rows = [(q, i, random.sample("abcdefgh", random.randrange(0, 4)), random.randrange(3), float(random.randrange(4)), random.randrange(3)) for q in range(60) for i in range(14)]
+    rows += [(99, i, list(n), 0, s, 0) for i, (n, s) in enumerate([("ap", 0.5), ("bq", 0.9), ("aq", 0.7), ("cq", 0.1), ("dq", 0.95)])]
+    df = spark.createDataFrame(rows, "query_id long, ord long, names array<string>, priority int, score double, completeness int")
+    got = sorted((r["query_id"], r["ord"]) for r in dedup.hard_dedup(df).collect())
+    want = [(q, o) for q in sorted({r[0] for r in rows}) for o in brute_hard_dedup([(i, n, (p, s, c)) for k, i, n, p, s, c in rows if k == q])]
+    assert got == want and [o for q, o in got if q == 99] == [1, 4]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    norm = {r["doc_id"]: r["n"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", text.normalize_text(F.col("text")).alias("n")).collect()}
+    by_query = {}
+    for r in docs:
+        k = r["doc_id"]
+        names = ([f"chunk:{k % 17}"] if k % 3 else []) + [f"text:{norm[k]}", f"path-chunk:{r['source'].lower()}:{k % 5}"]
+        by_query.setdefault(k // 50, []).append((k, names, (k % 2 * 10, float(k * 7 % 11), len(r["text"]))))
+    assert sorted((r["query_id"], r["ord"]) for r in QUERIES["hard_dedup_general"](spark, "/root/testdata/sf0.001").collect()) == [(q, o) for q in sorted(by_query) for o in brute_hard_dedup(by_query[q])]
+
+
+def test_top_k_in_many_batches_and_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    items = [(i, [float(x) for x in rng.integers(-2, 3, 6)]) for i in range(700)]  # many ties
+    df = spark.createDataFrame(items, "item_id long, vector array<double>").repartition(3)
+    queries = df.filter("item_id % 20 = 0").withColumnRenamed("item_id", "query_id")
+    matrix = np.array([v for _, v in items])
+    want = {(q, int(i), r + 1) for q in range(0, 700, 20) for r, i in enumerate(sorted(range(700), key=lambda i: (-float(matrix[q] @ matrix[i]), i))[:5])}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        for block in (4096, 4):
+            monkeypatch.setattr(similarity, "QUERY_BLOCK", block)
+            monkeypatch.setattr(similarity, "PASS_BLOCKS", 3)
+            assert {(r["query_id"], r["item_id"], r["rank"]) for r in similarity.top_k(queries, df, 5).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+def test_eligible_sources(spark):
+    rows = [(1, 0, "user", "a", "user"), (1, 1, "user", "remembered", "plugin"), (1, 2, "user", "\t\n", "user"), (1, 3, "user", "", "user"), (1, 4, "user", None, "user")]
+    got = inject.eligible(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, source_kind string")).collect()
+    assert sorted(r["turn"] for r in got) == [0, 2]

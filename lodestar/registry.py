@@ -432,15 +432,19 @@ def combined_query(spark, d):
 # --- recall
 
 
-def _recalled(spark, d):
-    """Chunks are embeddings; chunk i belongs to the i-th order. Every query names one tag as its core, in capitals."""
+def recall_inputs(spark, d) -> tuple[DataFrame, DataFrame, recall.Index]:
+    """(queries, cores, index): chunks are embeddings; chunk i belongs to the i-th order. Every query names one tag as its core, in capitals."""
     t, q = tagged(spark, d), asked(spark, d)
     tags = written(t.tags, "tags")
     chunks = vectors(spark, d).select(F.col("item_id").alias("chunk_id"), F.col("item_id").alias("file"), F.lit(0).alias("chunk_index"), F.concat(F.lit("chunk "), F.col("item_id").cast("string")).alias("content"), "vector")
     index = recall.Index(chunks, tags, t.occ.select("file", "tag_id"), written(t.kernel, "kernel"), axes.train(tags))
     n = tags.count()
     cores = q.select("query_id", F.floor(F.col("query_id") / 20 % n).cast("long").alias("tag_id")).join(tags, "tag_id").select("query_id", F.upper("name").alias("name"))
-    return recall.recall(q, cores, index, Config())
+    return q, cores, index
+
+
+def _recalled(spark, d):
+    return recall.recall(*recall_inputs(spark, d), Config())
 
 
 @query(f"""SELECT query_id, rank, item_id AS chunk_id, round(score, 6) + 0.0 AS score FROM (SELECT a.vec_id AS query_id, b.vec_id AS item_id, {DOT} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {DOT} DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND {DOT} >= 0.4) WHERE rank <= 6""")

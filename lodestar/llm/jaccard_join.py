@@ -334,9 +334,9 @@ def _salted(rows: DataFrame, sides: DataFrame, key: str, salts: DataFrame) -> Da
     return dealt.join(each, [key, "salt"]).drop("salt")
 
 
-def _whole_sets(docs: DataFrame, features: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """(node, n, tokens): the whole sets of nodes (node), each from the text of one document."""
-    chosen = materialize(features.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("chosen_id")), "chosen")
+def _whole_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(node, n, tokens): the whole sets of the wanted (node), each from the text of one document."""
+    chosen = materialize(nodes.select("node", F.col("least").alias("chosen_id")).join(wanted, "node"), "chosen")
     ids = chosen.select("chosen_id").distinct()
     if chosen.count() <= BROADCAST_ROWS:
         ids, chosen = F.broadcast(ids), F.broadcast(chosen)
@@ -357,9 +357,8 @@ def _whole_sets(docs: DataFrame, features: DataFrame, nodes: DataFrame, k: int)
     return materialize(sets, "sets")
 
 
-def _verified(docs: DataFrame, features: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """The pairs (src, dst) of nodes whose whole sets reach the similarity."""
-    sizes = features.filter("node is not null").select("node", "n_shingles", "counts").dropDuplicates(["node"])
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -371,10 +370,10 @@ def _verified(docs: DataFrame, features: DataFrame, pairs: DataFrame, k: int) ->
     # Sizes and counts of classes rule out most pairs before whole sets are moved.
     pairs = materialize(pairs, "candidates")
     salts = _salts(pairs, ["src", "dst"])
-    pairs = _salted(pairs, sizes.select(F.col("node").alias("src"), F.col("n_shingles").alias("n"), F.col("counts").alias("a")), "src", salts)
-    pairs = _salted(pairs.select("src", "dst", "n", "a"), sizes.select(F.col("node").alias("dst"), F.col("n_shingles").alias("m"), F.col("counts").alias("b")), "dst", salts)
+    pairs = _salted(pairs, nodes.select(F.col("node").alias("src"), "n", F.col("counts").alias("a")), "src", salts)
+    pairs = _salted(pairs.select("src", "dst", "n", "a"), nodes.select(F.col("node").alias("dst"), F.col("n").alias("m"), F.col("counts").alias("b")), "dst", salts)
     pairs = materialize(pairs.filter(f"{DEN} * least(n, m) >= {NUM} * greatest(n, m)").mapInArrow(likely, "src long, dst long"), "pairs")
-    sets = _whole_sets(docs, features, pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), k)
+    sets = _whole_sets(docs, nodes, pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), k)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -394,35 +393,32 @@ def _verified(docs: DataFrame, features: DataFrame, pairs: DataFrame, k: int) ->
     return materialize(_salted(half, right, "dst", salts).mapInArrow(verify, "src long, dst long"), "links")
 
 
-def _linked(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """(features of all documents, (node, root) of the nodes that have links to others)."""
+def _linked(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(features of all documents, (node, least, w, n, ...) of their sets: smallest doc_id, rows and size, and (node, root) of
+    the sets that have links to others)."""
     spark = docs.sparkSession
     features = materialize(shingle_sets(docs, k), "features")
-    nodes = features.filter("node is not null")
+    about = [F.min("doc_id").alias("least"), F.count("*").alias("w"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("counts").alias("counts")]
+    nodes = materialize(features.filter("node is not null").groupBy("node").agg(*about), "nodes")
     total = features.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_TOKENS))
 
     # Stars: each min-hash key sends its sets to the first and last of them, in two orders.
-    keyed = nodes.select("node", F.explode("keys").alias("key")).distinct()
+    keyed = nodes.select("node", F.explode(F.array_distinct("keys")).alias("key"))
     mixed = F.xxhash64("node")
     ends = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.min_by("node", mixed).alias("c"), F.max_by("node", mixed).alias("d")).filter("a <> b")
     leaders = ends.select("key", F.array_distinct(F.array("a", "b", "c", "d")).alias("leaders"))
     stars = keyed.join(leaders, "key").select(F.col("node").alias("src"), F.explode("leaders").alias("dst")).filter("src <> dst")
     stars = stars.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    links = _verified(docs, features, stars, k)
+    links = _verified(docs, nodes, stars, k)
     groups = connected_components(links)
 
     frequent = spark.sparkContext.broadcast(_frequent(docs, k, buckets))
     sets = materialize(_prefixes(docs, frequent, k), "prefixes")
     for stars in (True, False):
-        links = links.unionByName(_verified(docs, features, _candidates(sets, groups, buckets, stars), k))
+        links = links.unionByName(_verified(docs, nodes, _candidates(sets, groups, buckets, stars), k))
         groups = connected_components(links)
-    return features, groups
-
-
-def _per_node(features: DataFrame) -> DataFrame:
-    """(node, least, w, n): the smallest doc_id and the rows of each set, and its size."""
-    return materialize(features.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("w"), F.first("n_shingles").alias("n")), "nodes")
+    return features, nodes, groups
 
 
 def _components(nodes: DataFrame, groups: DataFrame) -> DataFrame:
@@ -444,8 +440,7 @@ def _of_rows(features: DataFrame, nodes: DataFrame, by_node: DataFrame, columns:
 
 def jaccard_components(docs: DataFrame, k: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text). See the module's docstring."""
-    features, groups = _linked(docs, k)
-    nodes = _per_node(features)
+    features, nodes, groups = _linked(docs, k)
     return _of_rows(features, nodes, _components(nodes, groups), ["doc_id", "n_shingles", "component_id"])
 
 
@@ -474,12 +469,12 @@ def count_pairs(a: dict[str, np.ndarray], b: dict[str, np.ndarray] | None) -> tu
     return linked @ other["w"], a["w"] @ linked
 
 
-def link_counts(docs: DataFrame, features: DataFrame, nodes: DataFrame, groups: DataFrame, k: int) -> DataFrame:
+def link_counts(docs: DataFrame, nodes: DataFrame, groups: DataFrame, k: int) -> DataFrame:
     """(node, linked): the rows of other nodes that each node with a link is linked with."""
-    members = materialize(groups.join(nodes.drop("least"), "node"), "members")
+    members = materialize(groups.join(nodes.select("node", "w", "n"), "node"), "members")
     # The set that stands most often is likely the one that the others were made from.
     heads = members.groupBy("root").agg(F.max_by("node", F.struct("w", -F.col("node"))).alias("node"))
-    sets = _whole_sets(docs, features, members.select("node"), k)
+    sets = _whole_sets(docs, nodes, members.select("node"), k)
 
     def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -540,9 +535,8 @@ def link_counts(docs: DataFrame, features: DataFrame, nodes: DataFrame, groups:
 def jaccard_links(docs: DataFrame, k: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) for every row of docs (doc_id, text): the rows of docs that it is linked
     with, equal ones included. See the module's docstring."""
-    features, groups = _linked(docs, k)
-    nodes = _per_node(features)
-    by_node = _components(nodes, groups).join(link_counts(docs, features, nodes, groups, k), "node", "left")
+    features, nodes, groups = _linked(docs, k)
+    by_node = _components(nodes, groups).join(link_counts(docs, nodes, groups, k), "node", "left")
     by_node = by_node.select("node", "component_id", (F.col("w") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
     return _of_rows(features, nodes, by_node, ["doc_id", "n_shingles", "component_id", "n_links"])
 

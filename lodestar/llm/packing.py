@@ -34,7 +34,7 @@ from lodestar.llm.encoding import Encoder
 
 CAPACITY, END_ID = 2048, 0
 #: Rows of a side up to which it is broadcast; above, the join shuffles.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 100_000
 #: Parts of the stream that are packed by themselves before exchanges.
 PARTS = 8
 

@@ -886,3 +886,17 @@ def test_encoder_equals_the_library():
         assert e.fast is not None
         for t, ids in zip(texts, e.encode(texts), strict=True):
             assert ids == np.array(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    want, got = con.sql(queries.ORACLE[name]), queries.QUERIES[name](spark, SF)
+    columns = sorted(got.columns)
+    assert sorted(want.columns) == columns
+    at = [want.columns.index(c) for c in columns]
+    assert sorted(tuple(r[c] for c in columns) for r in got.collect()) == sorted(tuple(r[i] for i in at) for r in want.fetchall())

@@ -107,6 +107,11 @@ class Injection:
     user_weight: float = 0.7
     assistant_weight: float = 0.3
 
+    def clamped(self) -> Injection:
+        """The same with whole numbers of blocks and characters, 1 at least; what is no number gets its default."""
+        d = Injection()
+        return Injection(clamp_int(self.k, 1, 20, d.k), clamp_float(self.floor, 0.0, 1.0, d.floor), clamp_int(self.max_chars, 1, (1 << 31) - 1, d.max_chars), clamp_float(self.user_weight, 0.0, 1.0, d.user_weight), clamp_float(self.assistant_weight, 0.0, 1.0, d.assistant_weight))
+
 
 @dataclass(frozen=True)
 class Config:

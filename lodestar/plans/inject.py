@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import replace
+from typing import TypeVar
 
-from pyspark.sql import DataFrame, Window
+from pyspark import InheritableThread
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.config import Config, Injection
@@ -12,6 +16,8 @@ from lodestar.functions import vec
 from lodestar.plans.recall import recall
 from lodestar.tables import written
 
+T = TypeVar("T")
+
 # The wrapping of remembered context.
 HEAD, FOOT = "<memory>\nRemembered from earlier conversations, for reference:\n\n", "</memory>"
 
@@ -64,6 +70,7 @@ def injected(turns: DataFrame, embedded, index, c: Config = Config()) -> DataFra
     embedded: a function of a DataFrame and a text column that adds `vector`. Structural supplements, which lie below the
     floor, are left out again. A turn whose text has no vector, or that nothing resembles, gets none.
     """
+    c = replace(c, injection=c.injection.clamped())
     seeds = throttled(eligible(turns)).filter("not skip").withColumn("query_id", F.xxhash64("conv_id", "turn"))
     users = embedded(seeds.select("query_id", "user_text"), "user_text").select("query_id", F.col("vector").alias("user_vector"))
     others = embedded(seeds.filter("assistant_text is not null").select("query_id", "assistant_text"), "assistant_text").select("query_id", F.col("vector").alias("assistant_vector"))
@@ -73,3 +80,26 @@ def injected(turns: DataFrame, embedded, index, c: Config = Config()) -> DataFra
     blocks = recall(rows, rows.select("query_id", F.lit(None).cast("string").alias("name")).limit(0), index, options)[0]
     blocks = blocks.filter(F.col("score") >= c.injection.floor).withColumn("ord", F.col("chunk_id"))
     return seeds.select("conv_id", "turn", "query_id").join(packed(blocks, c.injection.max_chars), "query_id").drop("query_id")
+
+
+def within(spark: SparkSession, seconds: float, run: Callable[[], T]) -> T | None:
+    """What run gives, or None where it takes longer: its jobs are cancelled, and the turn goes on without context."""
+    group, out = f"within-{uuid.uuid4().hex}", []
+
+    def job() -> None:
+        spark.sparkContext.setJobGroup(group, "bounded recall", interruptOnCancel=True)
+        try:
+            out.append((run(), None))
+        except Exception as e:  # handed to the caller, unless the time was up first
+            out.append((None, e))
+
+    thread = InheritableThread(target=job, daemon=True)
+    thread.start()
+    thread.join(seconds)
+    if not out:
+        spark.sparkContext.cancelJobGroup(group)
+        return None
+    value, error = out[0]
+    if error is not None:
+        raise error
+    return value

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.config import Config
+from lodestar.config import Config, clamp_float, clamp_int
 from lodestar.functions import vec
 from lodestar.functions.text import normalize_text
 from lodestar.operators import axes, fusion, residual
@@ -132,3 +132,10 @@ def recall(queries: DataFrame, cores: DataFrame, index: Index, c: Config = Confi
     counts = w.field.groupBy("query_id").agg(F.count("*").alias("field_nodes"), F.count_if(F.col("source_type") == "emergent").alias("emergent"))
     stats = w.stats.join(fused.select("query_id", "fused", "alpha"), "query_id").join(counts, "query_id", "left")
     return blocks, matched, stats
+
+
+def ask(queries: DataFrame, cores: DataFrame, index: Index, k: object = None, floor: object = None, c: Config = Config()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """recall with a caller's arguments as they come: k is rounded into 1 to 20 and floor brought into 0 to 1; what is no
+    number counts as not given."""
+    limits = replace(c.recall, k=clamp_int(k, 1, 20, c.recall.k), floor=clamp_float(floor, 0.0, 1.0, c.recall.floor))
+    return recall(queries, cores, index, replace(c, recall=limits))

@@ -455,3 +455,28 @@ def test_eligible_sources(spark):
     rows = [(1, 0, "user", "a", "user"), (1, 1, "user", "remembered", "plugin"), (1, 2, "user", "\t\n", "user"), (1, 3, "user", "", "user"), (1, 4, "user", None, "user")]
     got = inject.eligible(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, source_kind string")).collect()
     assert sorted(r["turn"] for r in got) == [0, 2]
+
+
+def test_bounded_recall(spark):
+    import time
+
+    assert inject.within(spark, 60, lambda: spark.range(5).count()) == 5
+    began = time.time()
+    slow = F.udf(lambda x: time.sleep(20) or x, "long")
+    assert inject.within(spark, 1, lambda: spark.range(1).select(slow("id").alias("x")).collect()) is None
+    assert time.time() - began < 10
+    with pytest.raises(ValueError):
+        inject.within(spark, 60, lambda: int("x"))
+
+
+def test_arguments_are_clamped(spark):
+    items = spark.createDataFrame([(i, f"f{i}", 0, f"text {i}", [1.0, i / 100]) for i in range(40)], "chunk_id long, file string, chunk_index int, content string, vector array<double>").withColumn("vector", vec.normalize(F.col("vector")))
+    tags = spark.createDataFrame([(0, "one", [1.0, 0.0])], "tag_id long, name string, vector array<double>")
+    index = recall.Index(items, tags, spark.createDataFrame([], "file string, tag_id long"), spark.createDataFrame([], "src long, dst long, p double, is_wormhole boolean"), None)
+    q, cores = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, vector array<double>"), spark.createDataFrame([], "query_id long, name string")
+    for k, floor, n in ((99, 0, 20), ("2.6", 7, 1), (0, -1, 1), ("x", None, 6), (None, float("nan"), 6)):
+        blocks, matched, stats = recall.ask(q, cores, index, k, floor)
+        assert blocks.count() == n, (k, floor)
+    assert [tuple(r) for r in matched.select("rank", "tag", "level", "source_type", "notation").collect()] == [(1, "one", 0, "seed", "=one:1.00@seed")]  # an index without axes names tags by the pyramid
+    assert not stats.first()["fused"]
+    assert config.Injection(k=99, floor=-1, max_chars="x").clamped() == config.Injection(k=20, floor=0.0)

@@ -486,13 +486,13 @@ def link_counts(docs: DataFrame, nodes: DataFrame, groups: DataFrame, k: int) ->
     near = near.mapInArrow(differences, "root long, node long, n long, d long, diff binary").join(members.select("node", "w"), "node")
     # (DEN + NUM) * |D| - (DEN - NUM) * n: two members whose levels sum to 0 or less are linked whatever they share.
     level = (DEN + NUM) * F.col("d") - (DEN - NUM) * F.col("n")
-    near = near.withColumn("level", level)
+    near = materialize(near.withColumn("level", level), "differences")
 
     # Blocks of members by level: a histogram of levels is cut by the sum of differences, a level that is too large by salts.
     steps = near.groupBy("root", "level").agg(F.sum(F.col("d") + 64).alias("size"))
     before = F.sum("size").over(Window.partitionBy("root").orderBy("level").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     steps = steps.select("root", "level", F.floor(before / BLOCK_TOKENS).alias("step"), F.ceil(F.col("size") / BLOCK_TOKENS).alias("cuts"))
-    near = materialize(near, "differences").join(steps, ["root", "level"])
+    near = near.join(steps, ["root", "level"])
     near = near.withColumn("cut", F.when(F.col("cuts") > 1, F.struct(F.col("level"), F.pmod(F.xxhash64("node"), "cuts").alias("part"))))
     near = materialize(near.withColumn("block", F.xxhash64("root", "step", "cut")).drop("step", "cuts", "cut"), "blocked")
     about = [F.min("level").alias("least"), F.max("level").alias("most"), F.min("d").alias("d0"), F.max("d").alias("d1"), F.max("n").alias("n1"), F.sum("w").alias("rows")]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestar.config import Recall
 from lodestar.functions.text import normalize_path, normalize_text
+from lodestar.operators.similarity import ALONE
 
 # How far each source is preferred.
 PRIORITY = {"rag": 50, "time": 45, "bm25_tag": 40, "bm25_body": 40, "continuity": 35, "associate": 10, "unknown": 0}
@@ -79,6 +80,69 @@ def _unit(x: np.ndarray | None) -> np.ndarray | None:
     return np.asarray(x, float) / n
 
 
+def unlike(units: list[np.ndarray | None], order: list[int], threshold: float, limit: int, before: list[np.ndarray | None] = ()) -> list[int]:
+    """The places, in this order, of the unit vectors that have no cosine of threshold or more to one kept before, nor to the
+    vectors kept earlier; what has no vector stays. At most `limit`, with those kept earlier."""
+    kept: list[int] = []
+    known: dict[int, tuple[np.ndarray, int]] = {}  # by dimension: unit vectors kept so far, in a matrix that doubles
+
+    def add(u: np.ndarray) -> None:
+        matrix, n = known.get(len(u), (np.empty((16, len(u))), 0))
+        if n == len(matrix):
+            matrix = np.concatenate([matrix, np.empty_like(matrix)])
+        matrix[n] = u
+        known[len(u)] = matrix, n + 1
+
+    for u in before:
+        if u is not None:
+            add(u)
+    for i in order:
+        if len(before) + len(kept) >= limit:
+            break
+        u = units[i]
+        if u is not None:
+            matrix, n = known.get(len(u), (None, 0))
+            if n and float((matrix[:n] @ u).max()) >= threshold:
+                continue
+            add(u)
+        kept.append(i)
+    return kept
+
+
+def settled(candidates: DataFrame, before: DataFrame | None, threshold: float, limit: int) -> DataFrame:
+    """(query_id, item_id, score, near, vector, twin, kept) after candidates of the same columns but the last, which come
+    behind those that `before`, the rows of an earlier call, was made from: all kept ones, and, with a null vector, those
+    that went and whose text others have too. Equal texts are one first, that of the best score."""
+    columns = ["query_id", "item_id", "score", "near", "vector", "twin", "kept"]
+    rows = candidates.select(*columns[:-1], F.lit(None).cast("boolean").alias("kept"))
+    if before is not None:
+        rows = rows.unionByName(before)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        old = rows["kept"].notna().to_numpy()
+        known = set(rows["twin"][old])
+        score, near, item, twin = (rows[c].tolist() for c in ("score", "near", "item_id", "twin"))
+        order, texts = [], set()
+        for i in sorted(np.flatnonzero(~old).tolist(), key=lambda i: (-score[i], item[i])):
+            if twin[i] == ALONE or (twin[i] not in known and twin[i] not in texts):
+                order.append(i)
+                texts.add(twin[i])
+        order.sort(key=lambda i: (-near[i], -score[i], item[i]))
+        vectors = rows["vector"].tolist()
+        units: list = [None] * len(rows)
+        for i in order:
+            units[i] = _unit(vectors[i])
+        earlier = [_unit(vectors[i]) for i in np.flatnonzero(old & (rows["kept"] == True).to_numpy())]  # noqa: E712
+        kept = unlike(units, order, threshold, limit, earlier)
+        gone = [i for i in order if twin[i] != ALONE and i not in set(kept)]
+        out = rows.iloc[[*np.flatnonzero(old), *kept, *gone]].copy()
+        out["kept"] = [*rows["kept"][old], *[True] * len(kept), *[False] * len(gone)]
+        out["vector"] = [v if k else None for v, k in zip(out["vector"], out["kept"], strict=True)]
+        return out[columns]
+
+    return rows.groupBy("query_id").applyInPandas(run, rows.select(columns).schema)
+
+
 def semantic_dedup(candidates: DataFrame, queries: DataFrame, threshold: float = Recall.dedup, limit: int = Recall.max_results) -> DataFrame:
     """The candidates (query_id, ord, score, priority, vector, ...) that resemble no better one of their query.
 
@@ -97,21 +161,7 @@ def semantic_dedup(candidates: DataFrame, queries: DataFrame, threshold: float =
         near = [float(u @ query) if u is not None and query is not None and len(u) == len(query) else -1.0 for u in units]
         score, priority, place = (rows[c].tolist() for c in ("score", "priority", "ord"))
         order = sorted(range(len(rows)), key=lambda i: (-near[i], -score[i], -priority[i], place[i]))
-        kept: list[int] = []
-        known: dict[int, tuple[np.ndarray, int]] = {}  # by dimension: unit vectors kept so far, in a matrix that doubles
-        for i in order:
-            if len(kept) >= limit:
-                break
-            u = units[i]
-            if u is not None:
-                matrix, n = known.get(len(u), (np.empty((16, len(u))), 0))
-                if n and float((matrix[:n] @ u).max()) >= threshold:
-                    continue
-                if n == len(matrix):
-                    matrix = np.concatenate([matrix, np.empty_like(matrix)])
-                matrix[n] = u
-                known[len(u)] = matrix, n + 1
-            kept.append(i)
+        kept = unlike(units, order, threshold, limit)
         return rows.iloc[sorted(kept, key=lambda i: (-priority[i], -score[i], place[i]))][columns]
 
     return joined.groupBy("query_id").applyInPandas(run, candidates.schema)

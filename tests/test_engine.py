@@ -480,3 +480,52 @@ def test_arguments_are_clamped(spark):
     assert [tuple(r) for r in matched.select("rank", "tag", "level", "source_type", "notation").collect()] == [(1, "one", 0, "seed", "=one:1.00@seed")]  # an index without axes names tags by the pyramid
     assert not stats.first()["fused"]
     assert config.Injection(k=99, floor=-1, max_chars="x").clamped() == config.Injection(k=20, floor=0.0)
+
+
+def test_suppression_in_rounds(spark, monkeypatch):
+    """Small first pools, crowds around a query, equal texts of other vectors, a bound on scores and tags, against one pass."""
+    monkeypatch.setattr(recall, "LEAST_POOL", 3)
+    monkeypatch.setattr(recall, "SHARE", 1)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(9, 12))
+    rows = []
+    for i in range(600):
+        v = centres[i % 3 if i < 400 else i % 9] + (0.05 if i < 400 else 0.9) * rng.normal(size=12)
+        rows.append((i, f"T{i // 7}" if i % 5 == 0 else f"u{i}", (v / np.linalg.norm(v)).tolist(), [i % 4, i % 6] if i % 11 else None))
+    detail = spark.createDataFrame(rows, "item_id long, text string, vector array<double>, tags array<long>")
+    asked = [(q, (centres[q % 9] / np.linalg.norm(centres[q % 9])).tolist()) for q in range(9)]
+    queries = spark.createDataFrame(asked, "query_id long, vector array<double>")
+
+    def plain(q, need, floor, below, nodes):
+        order = sorted(((-float(np.dot(q, v)), i, t, np.array(v)) for i, t, v, tags in rows if (nodes is None or set(tags or ()) & nodes)), key=lambda x: x[:2])
+        texts, kept = set(), []
+        for s, i, t, v in order:
+            if (floor is not None and -s < floor) or (below is not None and -s >= below) or t.lower() in texts:
+                continue
+            texts.add(t.lower())
+            if all(v @ k < 0.7 for _, k in kept):
+                kept.append((i, v))
+        return [i for i, _ in kept[:need]]
+
+    nodes = spark.createDataFrame([(q, [q % 4, 5]) for q in range(8)], "query_id long, nodes array<long>")
+    for floor, below, some in ((None, None, None), (0.1, None, None), (None, 0.8, nodes)):
+        got = {}
+        for r in recall.survivors(queries, detail if some is not None else detail.drop("tags"), 12, floor, 0.7, below=below, nodes=some).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["ord"])
+        for q, v in asked:
+            want = [] if some is not None and q == 8 else plain(v, 12, floor, below, None if some is None else {q % 4, 5})
+            assert got.get(q, []) == want, (floor, below, q)
+
+
+def test_search_holds_small_pools(spark, monkeypatch):
+    """A crowd of near copies is left out once one of them is kept, so no pool grows with it."""
+    pools, ranked = [], recall.ranked
+    monkeypatch.setattr(recall, "ranked", lambda q, i, k, *a: pools.append(k) or ranked(q, i, k, *a))
+    rng = np.random.default_rng(5)
+    near = np.eye(16)[0] + 0.01 * rng.normal(size=(3000, 16))
+    far = np.eye(16)[0] * 0.8 + 0.35 * rng.normal(size=(8, 16))
+    rows = [(i, f"u{i}", (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(np.concatenate([near, far]))]
+    detail = spark.createDataFrame(rows, "item_id long, text string, vector array<double>")
+    queries = spark.createDataFrame([(0, np.eye(16)[0].tolist())], "query_id long, vector array<double>")
+    got = [r["ord"] for r in recall.survivors(queries, detail, 6, None, 0.92).collect()]
+    assert len(got) == 6 and sum(i < 3000 for i in got) == 1 and max(pools) <= 100

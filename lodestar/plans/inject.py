@@ -21,6 +21,9 @@ T = TypeVar("T")
 # The wrapping of remembered context.
 HEAD, FOOT = "<memory>\nRemembered from earlier conversations, for reference:\n\n", "</memory>"
 
+#: The least length of a block's first line, with the line breaks around it and after the text.
+LEAST_COST = len("\n[1] (score NaN · )\n") + 1
+
 
 def eligible(turns: DataFrame) -> DataFrame:
     """User turns (conv_id, turn, role, text) whose text is not empty, and the last assistant text before each. Where turns
@@ -51,9 +54,14 @@ def packed(blocks: DataFrame, max_chars: int = Injection.max_chars) -> DataFrame
     best one is cut rather than left out. A budget that the wrapping exceeds gives the wrapping alone."""
     room = max(1, max_chars) - len(HEAD) - len(FOOT)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "ord")
-    rows = blocks.filter("text is not null and score is not null").withColumn("n", F.row_number().over(order))
+    rows = blocks.filter("text is not null and score is not null")
+    # More than `most` blocks don't fit whatever they say, and of a text more than `room` characters are never shown: each
+    # task hands on that much of a query, and no whole texts are sorted.
+    most = max(1, room // LEAST_COST)
+    rows = rows.select("query_id", "file", "score", "ord", F.length("text").alias("length"), F.substring("text", 1, max(1, room)).alias("text"))
+    rows = rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most)
     head = F.concat(F.lit("\n["), F.col("n").cast("string"), F.lit("] (score "), F.format_string("%.2f", F.col("score")), F.lit(" · "), F.coalesce("file", F.lit("")), F.lit(")\n"))
-    rows = rows.withColumn("head", head).withColumn("cost", F.length("head") + 1 + F.length("text"))
+    rows = rows.withColumn("head", head).withColumn("cost", F.length("head") + 1 + F.col("length"))
     # All costs are positive, so once the running sum is above the room it stays there.
     rows = rows.withColumn("total", F.sum("cost").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     free = F.lit(room) - F.length("head") - 1

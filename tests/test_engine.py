@@ -529,3 +529,24 @@ def test_search_holds_small_pools(spark, monkeypatch):
     queries = spark.createDataFrame([(0, np.eye(16)[0].tolist())], "query_id long, vector array<double>")
     got = [r["ord"] for r in recall.survivors(queries, detail, 6, None, 0.92).collect()]
     assert len(got) == 6 and sum(i < 3000 for i in got) == 1 and max(pools) <= 100
+
+
+def test_pack_hands_on_what_can_fit(spark):
+    """Long texts and many rows of a query: the same blocks, and each task hands on a bounded number of short rows."""
+    rows = [(0, "f", i, chr(97 + i % 26) * (5 + i * 7 % 4000), (i % 50) / 50.0) for i in range(4000)] + [(1, "", 0, "x" * 5000, float("nan"))] + [(2, "", i, "", float("nan")) for i in range(300)]
+    df = spark.createDataFrame(rows, "query_id long, file string, ord long, text string, score double").repartition(3)
+    packed = inject.packed(df)
+    plan = packed._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and plan.rindex("WindowGroupLimit") > plan.rindex("Exchange hashpartitioning(query_id")
+    room = 2000 - len(inject.HEAD) - len(inject.FOOT)
+    for r in packed.collect():
+        mine = sorted((x for x in rows if x[0] == r["query_id"]), key=lambda x: (-x[4] if x[4] == x[4] else -9.0, x[2]))
+        body, used = "", 0
+        for n, (_, file, _, text, score) in enumerate(mine, 1):
+            head = f"\n[{n}] (score {'NaN' if score != score else format(score, '.2f')} · {file})\n"
+            if len(body) + len(head) + len(text) + 1 > room:
+                if n == 1:
+                    body, used = head + text[: room - len(head) - 1] + "\n", 1
+                break
+            body, used = body + head + text + "\n", used + 1
+        assert (r["used"], r["text"]) == (used, inject.HEAD + body + inject.FOOT), r["query_id"]
